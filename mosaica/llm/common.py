@@ -67,3 +67,17 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """mapInArrow with this package on the workers."""
     ensure_on_workers(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def materialize_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared checkpoint folder (columnar, so smaller than a checkpoint)."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, simhash, substring_dedup
 from .common import table
 
 
@@ -14,5 +14,62 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: Word windows by list positions. Rows are taken apart by rowid, so that equal ids stay apart.
+OP6_SQL = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (SELECT rid, s, array_to_string(list_slice(words, s, s + 34), ' ') AS w FROM (SELECT rid, words, unnest(range(1, len(words) - 33)) AS s FROM docs)),
+twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY w) AS c FROM windows) WHERE c > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM twice),
+lost AS (SELECT rid, list(i) AS gone FROM gone GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN lost USING (rid)
+"""
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _sainte_lague_sql(name: str, parties: str, group: str, party: str, weight: str, total: str, seats: str) -> str:
+    part = f"PARTITION BY {group}" if group else ""
+    keys = f"{group}, {party}" if group else party
+    return f"""
+{name}_p AS (SELECT *, greatest(0, CAST(floor({seats} * {weight} / {total} + 0.5) AS BIGINT) - d) AS low
+             FROM (SELECT *, CAST(ceil(count(*) OVER ({part}) / 2 * {weight} / {total}) AS BIGINT) + 2 AS d FROM {parties} WHERE {weight} > 0 AND {seats} > 0)),
+{name}_r AS (SELECT *, {seats} - sum(low) OVER ({part}) AS rest FROM {name}_p),
+{name}_s AS (SELECT {keys}, rest, {weight} / (2 * (low + j) + 1) AS q, j FROM (SELECT *, unnest(range(0, 2 * d + 1)) AS j FROM {name}_r)),
+{name}_w AS (SELECT {keys}, count(*) AS won FROM (SELECT *, row_number() OVER ({part} ORDER BY q DESC, {party}, j) AS place FROM {name}_s) WHERE place <= rest GROUP BY {keys}),
+{name} AS (SELECT a.*, CAST(coalesce(r.low, 0) + coalesce(w.won, 0) AS BIGINT) AS quota FROM {parties} a LEFT JOIN {name}_r r USING ({keys}) LEFT JOIN {name}_w w USING ({keys}))"""
+
+
+OP8_SQL = r"""
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM per),
+weighed AS (SELECT *, CAST(1 + (sid - 1) % 3 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM ranked),
+leveled AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+targets AS (SELECT *, least(cap, max(level) OVER () * w) AS target, CAST(floor(total / 16 + 0.5) AS BIGINT) AS seats FROM leveled),
+""" + _sainte_lague_sql("bysource", "targets", "", "sid", "target", "total", "seats") + r""",
+placed AS (SELECT s.*, b.sid, b.source_size, b.target, b.quota AS source_quota, md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || '#8') AS mark,
+                  greatest(1, CAST(ceil(b.source_size / 1000000) AS BIGINT)) AS shards
+           FROM sizes s JOIN bysource b ON s.source IS NOT DISTINCT FROM b.source),
+dealt AS (SELECT *, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % shards AS shard FROM placed),
+shardsizes AS (SELECT sid, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(source_size) AS source_size, any_value(source_quota) AS source_quota FROM dealt GROUP BY sid, shard),
+""" + _sainte_lague_sql("byshard", "shardsizes", "sid", "shard", "shard_size", "source_size", "source_quota") + r""",
+takes AS (SELECT sid, shard, shard_size, CASE WHEN shard_size > 0 THEN least(quota * 16, shard_size * 3) // shard_size ELSE 0 END AS full_rounds,
+                 CASE WHEN shard_size > 0 THEN least(quota * 16, shard_size * 3) % shard_size ELSE 0 END AS rest,
+                 CAST('0x' || substr(md5(sid || '#' || shard || '#8'), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(shard_size / 16) AS BIGINT)) * 16 AS off
+          FROM byshard),
+laid AS (SELECT *, CAST(sum(size) OVER (PARTITION BY sid, shard ORDER BY mark, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM dealt)
+SELECT doc_id, size, source_size, target,
+       CAST(full_rounds * size + greatest(0, least(stop, off + rest) - greatest(stop - size, off)) + greatest(0, least(stop, off + rest - shard_size) - (stop - size)) AS BIGINT) AS taken
+FROM laid JOIN takes USING (sid, shard)
+"""
+
+QUERIES = {"op8_mixing": op8_mixing, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash}
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
