@@ -21,19 +21,18 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices_by_bytes
 
 TOKENIZER = "byte_bpe_50k"
-_CACHE_UNITS = 400_000  # bound of a worker's memory for units; what isn't in it is encoded again
 _LONG = 1_000_000
-_ODD = re.compile(r" (?=\s|$)|^ ")
+_BREAK = re.compile(r"(?<=\S) (?=\S)")
 _made: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(name_or_path: str = TOKENIZER) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit bytes, as the ``tokenizers`` file gives them.
 
-    The byte-level vocabulary's pre-tokens never reach over a space that stands
-    between two other characters; a space starts the unit after it. Units are
-    therefore encoded apart and remembered. Texts that hold a special token's
-    string, or white space next to a space, are encoded as a whole.
+    The same vocabulary's ranks are read by ``tiktoken``, which gives the same
+    ids in a fifth of the time; a text that holds a special token's string goes
+    to ``tokenizers`` itself. Very long texts are encoded in parts that begin at
+    a space between two other characters, which no pre-token reaches over.
     """
     if name_or_path not in _made:
         _made[name_or_path] = _encoder(name_or_path)
@@ -54,10 +53,6 @@ def _encoder(name: str) -> Callable[[str], bytes]:
     with open(json_path, encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f).get("added_tokens", [])]
     whole: list = []
-    cache: dict[str, bytes] = {}
-
-    def packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
@@ -65,28 +60,14 @@ def _encoder(name: str) -> Callable[[str], bytes]:
                 from tokenizers import Tokenizer
 
                 whole.append(Tokenizer.from_file(json_path))
-            return packed(whole[0].encode(text, add_special_tokens=False).ids)
-        if not text or _ODD.search(text):
-            return packed(fast(text)) if text else b""
-        out, at = [], 0
-        while at < len(text):
-            stop = text.find(" ", at + _LONG)
-            part = text[at:] if stop < 0 else text[at:stop]
-            first, *rest = part.split(" ")
-            units = [" " + u for u in rest]
-            if at == 0:
-                units.insert(0, first)
-            found = list(map(cache.get, units))
-            if None in found:
-                for i, x in enumerate(found):
-                    if x is None:
-                        u = units[i]
-                        found[i] = x = packed(fast(u))
-                        if len(cache) < _CACHE_UNITS and len(u) < 64:
-                            cache[u] = x
-            out.extend(found)
-            at = len(text) if stop < 0 else stop
-        return b"".join(out)
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(text) <= _LONG:
+            return np.array(fast(text), "<u4").tobytes()
+        cuts, at = [0], _LONG
+        while found := _BREAK.search(text, at):
+            cuts.append(found.start())
+            at = found.start() + _LONG
+        return b"".join(np.array(fast(text[a:b]), "<u4").tobytes() for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True))
 
     return encode
 

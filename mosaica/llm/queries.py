@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, substring_dedup
+from . import langid, mixing, packing, simhash, substring_dedup
 from .common import table
 
 
@@ -75,5 +75,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES = {"op1_packing": op1_packing, "op8_mixing": op8_mixing, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op5_language_id": op5_language_id, "op8_mixing": op8_mixing, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
