@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, langid, mixing, packing, quality, simhash, substring_dedup
+from . import ann, embedding_dedup, langid, mixing, packing, quality, simhash, substring_dedup
 from .common import table
 
 
@@ -87,5 +87,9 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op9_quality": op9_quality, "op5_language_id": op5_language_id, "op8_mixing": op8_mixing, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash}
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_nearest": op3_nearest, "op2_embedding_dedup": op2_embedding_dedup, "op9_quality": op9_quality, "op5_language_id": op5_language_id, "op8_mixing": op8_mixing, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash}
 ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
