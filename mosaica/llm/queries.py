@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, mixing, packing, quality, simhash, substring_dedup
+from . import ann, embedding_dedup, langid, licenses, mixing, packing, preference, quality, simhash, substring_dedup
 from .common import table
 
 
@@ -91,5 +91,54 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_nearest": op3_nearest, "op2_embedding_dedup": op2_embedding_dedup, "op9_quality": op9_quality, "op5_language_id": op5_language_id, "op8_mixing": op8_mixing, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash}
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL}
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.segments(preference.paired(table(spark, sf_dir, "conversations")))
+
+
+OP4_SQL = """
+WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(CAST(turn AS BIGINT), 9223372036854775807) AS turn,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT pair_id, turn, role, text, bool_or(chosen) AS c, bool_or(NOT chosen) AS j FROM t GROUP BY ALL),
+e AS (SELECT pair_id, min(turn) AS stop FROM r WHERE NOT (c AND j) GROUP BY pair_id),
+p AS (SELECT r.*, unnest(CASE WHEN stop IS NULL OR turn < stop THEN ['prompt'] WHEN c AND j THEN ['chosen', 'rejected'] WHEN c THEN ['chosen'] ELSE ['rejected'] END) AS part
+      FROM r LEFT JOIN e USING (pair_id)),
+m AS (SELECT *, part <> 'prompt' AND role = 'assistant' AS learns, length('<|im_start|>' || role || chr(10)) AS head FROM p)
+SELECT pair_id, part, nullif(turn, 9223372036854775807) AS turn, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS segment,
+       CAST(CASE WHEN learns THEN head ELSE 0 END AS INTEGER) AS mask_from, CAST(CASE WHEN learns THEN head + length(text) + 10 ELSE 0 END AS INTEGER) AS mask_to
+FROM m
+"""
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    text = ", ".join(f"({n}, '{name}', '{bigram}', {times}, {of})" for n, name, bigram, times, of in licenses.template_bigrams())
+    return f"""
+WITH known(template, license, bigram, times, total) AS (VALUES {text}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT rid, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS unit FROM d
+      UNION ALL SELECT rid, doc_id, 0, text FROM d WHERE contains(text, chr(10))),
+w AS (SELECT rid, doc_id, line, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM u),
+b AS (SELECT rid, doc_id, line, len(words) - 1 AS n, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(words))) AS i FROM w)),
+s AS (SELECT rid, doc_id, line, n, template, license, total, pair, least(count(*), max(times)) AS both_ FROM b JOIN known ON pair = bigram GROUP BY ALL),
+f AS (SELECT rid, doc_id, line, n, template, license, 2.0::DOUBLE * sum(both_) / (n + total) AS dice FROM s GROUP BY rid, doc_id, line, n, template, license, total)
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, dice, CAST(n AS BIGINT) AS bigrams
+FROM (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY dice DESC, license, template) AS place FROM f WHERE dice >= {licenses.THRESHOLD}) WHERE place = 1
+"""
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_nearest": op3_nearest,
+    "op4_preference": op4_preference,
+    "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
+}
+ORACLE_SQL = {"op4_preference": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_licenses": _op10_sql()}
