@@ -223,13 +223,13 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
                 out["kept_text"].append(b" ".join(compress(words, ~gone) if len(edge) else words).decode())
             digest = [hashlib.sha256(t.encode()).hexdigest() for t in out["kept_text"]]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(out["kept_text"], pa.string()), pa.array(digest)],
-                ["doc_id", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"],
+                [part.column("doc_id"), part.column("tag"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(out["kept_text"], pa.string()), pa.array(digest)],
+                ["doc_id", "tag", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"],
             )
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (start, length: the maximal repeated factors), kept_text, kept_sha256.
+    """doc_id, tag (hash of id and text), n_words, n_removed, spans (start, length: the maximal repeated factors), kept_text, kept_sha256.
 
     A word goes if a window of ``window`` words around it starts anywhere else
     too, in another document or in the same. Null and empty texts have no word;
@@ -256,6 +256,20 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFram
     twice = windows.groupBy("v", "w").agg(F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("tv"), F.col("w").alias("tw"))
     found = windows.where("ask").join(twice, (F.col("v") == F.col("tv")) & (F.col("w") == F.col("tw")), "left_semi")
     single = found.groupBy("k", "tag").agg(F.collect_set("start").alias("single"))
-    whole = packed.join(marks, ["k", "tag"], "left").join(single, ["k", "tag"], "left").select("doc_id", "z", "marks", "single")
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept_text string, kept_sha256 string"
+    whole = packed.join(marks, ["k", "tag"], "left").join(single, ["k", "tag"], "left").select("doc_id", "tag", "z", "marks", "single")
+    schema = "doc_id long, tag long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept_text string, kept_sha256 string"
     return map_arrow(whole, lambda b: _cut(b, window), schema)
+
+
+def cut_repeats(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without repeated passages, all columns kept: a text that loses words becomes its kept words, joined by one
+    space (``n_chars``, where present, follows); one that loses none stays as it was; one that loses all of them goes."""
+    cut = remove_repeats(docs, **options).where("n_removed > 0")
+    cut = cut.select(F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("tag").alias("_tag"), "kept_text", (F.col("n_removed") == F.col("n_words")).alias("_gone")).dropDuplicates(["_k", "_tag"])
+    tag = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_text_tag", tag)
+    rows = rows.join(cut, (F.col("_doc") == F.col("_k")) & (F.col("_text_tag") == F.col("_tag")), "left").where(~F.coalesce("_gone", F.lit(False)))
+    out = {"text": F.coalesce("kept_text", "text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
