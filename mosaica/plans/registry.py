@@ -2,5 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from importlib import import_module
+
+from .base import ORACLE_SQL, QUERIES
+
+for _name in ("allele_queries", "segment_queries", "dataset_queries", "association_queries", "kernel_queries", "score_queries", "statistics_queries", "variance_queries"):
+    try:
+        import_module(f"{__package__}.{_name}")
+    except ModuleNotFoundError as e:
+        if not str(e.name).endswith(_name):
+            raise
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
