@@ -241,6 +241,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFram
     # The index: minimisers that occur in more than one phrase occurrence. Partial aggregation makes hot ones cheap.
     index = runs.groupBy("v").agg(F.count("*").alias("c"), F.min("phrase").alias("a"), F.max("phrase").alias("b"), F.max("repeats").alias("r"))
     index = index.where("c > 1 or r > 0").select(F.col("v").alias("iv"), ((F.col("a") != F.col("b")) | (F.col("r") > 0)).alias("fine"))
+    # Written, so that the join is a plain shuffled one: Spark splits the partition of a minimiser that many texts share.
+    index = materialize_table(index)
     marked = materialize_table(runs.join(index, F.col("v") == F.col("iv")).select("k", "tag", "start", "n", "v", "phrase", "fine"))
     # Phrases seen twice are factors as a whole; one of them stands for all when windows at boundaries are compared.
     classes = marked.where("fine").groupBy("v", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("k", "tag", "start")).alias("first"))
@@ -254,6 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFram
     rows = packed.join(asking, ["k", "tag"]).select("k", "tag", "z", "marks")
     windows = materialize_table(map_arrow(rows, lambda b: _boundary_windows(b, window), "k long, tag long, v long, ask boolean, start int, w long"))
     twice = windows.groupBy("v", "w").agg(F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("tv"), F.col("w").alias("tw"))
+    twice = materialize_table(twice)
     found = windows.where("ask").join(twice, (F.col("v") == F.col("tv")) & (F.col("w") == F.col("tw")), "left_semi")
     single = found.groupBy("k", "tag").agg(F.collect_set("start").alias("single"))
     whole = packed.join(marks, ["k", "tag"], "left").join(single, ["k", "tag"], "left").select("doc_id", "tag", "z", "marks", "single")
