@@ -56,7 +56,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = with_views(sql)
+            # Adding zero turns a rounded -0.0 into 0.0, as r6 does.
+            ORACLE_SQL[name] = with_views(re.sub(r"\bround\(", "0e0 + round(", sql))
         return f
 
     return register
