@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERSON = Window.partitionBy("indiv").orderBy("stop")
+def person():
+    """A person's segments in order."""
+    return Window.partitionBy("indiv").orderBy("stop")
 
 
 def encode(geno: DataFrame) -> DataFrame:
@@ -15,12 +17,12 @@ def encode(geno: DataFrame) -> DataFrame:
     last = ahead[0].isNull() | (ahead[0] != F.col("c0")) | (ahead[1] != F.col("c1"))
     ends = geno.select("indiv", "snp", F.col("c0").alias("anc0"), F.col("c1").alias("anc1"), last.alias("_last"), F.first("snp").over(w).alias("_first")).where("_last")
     ends = ends.select("indiv", (F.col("snp") + 1).alias("stop"), "anc0", "anc1", "_first")
-    return ends.select("indiv", F.lag("stop").over(PERSON).alias("_prev"), "_first", "stop", "anc0", "anc1").select("indiv", F.coalesce("_prev", "_first").alias("start"), "stop", "anc0", "anc1")
+    return ends.select("indiv", F.lag("stop").over(person()).alias("_prev"), "_first", "stop", "anc0", "anc1").select("indiv", F.coalesce("_prev", "_first").alias("start"), "stop", "anc0", "anc1")
 
 
 def with_starts(breaks: DataFrame, first: int = 0) -> DataFrame:
     """(indiv, stop, anc0, anc1) -> segments with ``start`` from the stop before."""
-    start = F.lag("stop", 1, first).over(PERSON)
+    start = F.lag("stop", 1, first).over(person())
     return breaks.select("indiv", start.cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "anc0", "anc1")
 
 
@@ -44,11 +46,11 @@ def clean(breaks: DataFrame, order: str = "idx") -> DataFrame:
 
 def merge_runs(segments: DataFrame) -> DataFrame:
     """Join neighbours of equal ancestry; the last break of a run stays."""
-    nxt = [F.lead(c).over(PERSON) for c in ("anc0", "anc1")]
+    nxt = [F.lead(c).over(person()) for c in ("anc0", "anc1")]
     kept = segments.withColumn("_last", nxt[0].isNull() | (nxt[0] != F.col("anc0")) | (nxt[1] != F.col("anc1"))).where("_last")
     first = segments.groupBy("indiv").agg(F.min("start").alias("_first"))
     kept = kept.join(first, "indiv")
-    return kept.select("indiv", F.coalesce(F.lag("stop").over(PERSON), F.col("_first")).alias("start"), "stop", "anc0", "anc1")
+    return kept.select("indiv", F.coalesce(F.lag("stop").over(person()), F.col("_first")).alias("start"), "stop", "anc0", "anc1")
 
 
 def haplotype_segments(geno: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def average_ancestry(segments: DataFrame) -> DataFrame:
 
 def check(segments: DataFrame) -> DataFrame:
     """n_indiv, n_last (distinct last breaks; 1 if well formed), n_gap (starts that don't meet the break before)."""
-    gap = (F.coalesce(F.lag("stop").over(PERSON), F.lit(0)) != F.col("start")).cast("long")
+    gap = (F.coalesce(F.lag("stop").over(person()), F.lit(0)) != F.col("start")).cast("long")
     per = segments.withColumn("_gap", gap).groupBy("indiv").agg(F.max("stop").alias("_last"), F.sum("_gap").alias("_gaps"))
     return per.agg(F.count("*").alias("n_indiv"), F.countDistinct("_last").alias("n_last"), F.sum("_gaps").alias("n_gap"))
 
