@@ -96,7 +96,7 @@ def meta_analysis(df: DataFrame, keys: list[str], method: str = "random", weight
     j = d.join(first, keys)
     q = j.groupBy(*keys, "_n", "_w", "_w2").agg(F.sum(F.pow(F.col("effect") - F.col("_wd") / F.col("_w"), 2) / F.col("_v")).alias("q"))
     spread = F.col("_w") - F.col("_w2") / F.col("_w")
-    tau2 = F.greatest(F.lit(0.0), F.coalesce((F.col("q") - (F.col("_n") - 1)) / F.when(spread > 0, spread), F.lit(0.0)))
+    tau2 = F.greatest(F.lit(0.0), F.coalesce((F.col("q") - (F.col("_n") - 1)) / F.when((F.col("_n") > 1) & (spread > 0), spread), F.lit(0.0)))
     t = q.select(*keys, "q", tau2.alias("tau2"))
     j = d.join(t, keys)
     var = F.col("_v") + (F.col("tau2") if method == "random" else F.lit(0.0))

@@ -117,7 +117,7 @@ def effects(spark, d):
 
 
 def _meta(method: str) -> str:
-    tau = "greatest(0, (q - (n - 1)) / (w - w2 / w))" if method == "random" else "0"
+    tau = "CASE WHEN n > 1 THEN greatest(0, (q - (n - 1)) / (w - w2 / w)) ELSE 0 END" if method == "random" else "0"
     return f"""WITH {_EFFECTS}, f AS (SELECT study, count(*) AS n, sum(1 / se / se) AS w, sum(1 / pow(se, 4)) AS w2, sum(effect / se / se) / sum(1 / se / se) AS m FROM eff GROUP BY study),
        q AS (SELECT f.*, sum(pow(effect - m, 2) / se / se) AS q FROM f JOIN eff USING (study) GROUP BY ALL), t AS (SELECT *, {tau} AS tau2 FROM q)
        SELECT study, round(sum(effect / (se * se + tau2)) / sum(1 / (se * se + tau2)), 6) AS summary, round(sqrt(1 / sum(1 / (se * se + tau2))), 6) AS se, round(any_value(q), 5) AS q FROM t JOIN eff USING (study) GROUP BY study"""
