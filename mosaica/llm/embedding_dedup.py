@@ -170,15 +170,15 @@ def _counted(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         copies = chunk["copies"]
         for a, b in zip(starts, ends, strict=True):
             s = a + int((chunk["kind"][a:b] == 0).sum())
-            for p in range(a, b, 1024):
+            # A cell off the grid's diagonal has probing rows: there only they meet the stored ones, whose own pairs are counted on the diagonal.
+            for p in range(s if s < b else a, b, 1024):
                 q = min(b, p + 1024)
                 near = x[p:q] @ x[a:s].T >= least
-                stored = max(0, min(s, q) - p)
-                near[np.arange(stored), np.arange(p, p + stored) - a] = False
+                if s == b:
+                    near[np.arange(q - p), np.arange(p, q) - a] = False
+                else:
+                    links[a:s] += copies[p:q] @ near
                 links[p:q] += near @ copies[a:s]
-                if s < q:  # probing rows: the stored ones gain their copies, too
-                    first = max(p, s)
-                    links[a:s] += copies[first:q] @ near[first - p :]
         yield pa.RecordBatch.from_arrays([pa.array(chunk["rep"]), pa.array(links)], ["rep", "links"])
 
 
