@@ -21,7 +21,9 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """geno(snp, indiv, a0, a1, c0, c1): alleles and ancestries of both haplotypes."""
     snps = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("snp"))
     indivs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("indiv"))
-    pairs = snps.crossJoin(indivs)
+    # Variants are dealt out first: their table is one small file, which would make the whole panel one task.
+    parts = 2 * spark.sparkContext.defaultParallelism
+    pairs = snps.repartitionByRange(parts, "snp").crossJoin(indivs)
     anc = "(snp DIV (11 + indiv % 13) + indiv + {h} * (indiv % 5)) % 2"
     pairs = pairs.selectExpr("snp", "indiv", *[f"CAST({anc.format(h=h)} AS INT) AS c{h}" for h in (0, 1)])
     allele = "CAST(IF((snp * 7919 + indiv * 104729 + {h} * 1299709 + (snp * indiv) % 101) % 97 < 10 + (snp * 37) % 60 + 15 * c{h}, 1, 0) AS INT)"
