@@ -1,16 +1,8 @@
-"""All core queries and their SQL."""
+"""All core queries and their SQL: importing the query modules registers them."""
 
 from __future__ import annotations
 
-from importlib import import_module
-
+from . import allele_queries, association_queries, dataset_queries, kernel_queries, score_queries, segment_queries, statistics_queries, variance_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
-for _name in ("allele_queries", "segment_queries", "dataset_queries", "association_queries", "kernel_queries", "score_queries", "statistics_queries", "variance_queries"):
-    try:
-        import_module(f"{__package__}.{_name}")
-    except ModuleNotFoundError as e:
-        if not str(e.name).endswith(_name):
-            raise
-
 __all__ = ["ORACLE_SQL", "QUERIES"]
