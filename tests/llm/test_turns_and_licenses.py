@@ -63,3 +63,19 @@ def test_licenses(spark):
     want = sorted((i, *x) for i, t in [*enumerate(texts), (1, texts[1])] if t for x in brute_scan(t))
     assert got == want and len(want) > 6
     assert licenses.scan(docs.where("doc_id < 0")).count() == 0
+
+
+def test_licenses_at_the_size_bounds(spark):
+    """Units of exactly 1.5 and 2/3 times a template's bigrams, whose Dice is the threshold itself."""
+    texts = ["(c) All rights reserved.", "It is released under the MIT License."]
+    for _, template in licenses.TEMPLATES:
+        words = re.sub("[^a-z0-9]+", " ", template.lower()).split()
+        of = len(words) - 1
+        if of % 2 == 0:
+            texts.append(" ".join(words + [f"pad{i}" for i in range(of // 2)]))
+        if of % 3 == 0:
+            texts.append(" ".join(words[: of * 2 // 3 + 1]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["line"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs).collect())
+    want = sorted((i, *x) for i, t in enumerate(texts) for x in brute_scan(t))
+    assert got == want and sum(x[3] == 0.8 for x in want) >= 15
