@@ -15,6 +15,7 @@ ASE G_1..G_k | ADM L | HET equality of G_1..G_k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .._ship import ensure_on_workers
 from ..functions.special import chi2_sf, f_sf
 from .alleles import dosage, haplotypes_of, of_ancestry
+from .frames import cut
 
 METHODS = ("ATT", "SNP1", "TRACTOR", "JOINT", "ASE", "ADM", "HET")
 
@@ -143,31 +145,69 @@ def tests(sums: DataFrame, names: list[str], method: str, n_anc: int, n_cov: int
     return solved.select("snp", *[F.nullif(F.nanvl(c, F.lit(None)), F.lit(float("nan"))).alias(c) for c in cols], "N", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("STAT", "P")])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float, bool]:
-    """Coefficients, their covariance, log-likelihood, convergence, by iteratively reweighted least squares."""
-    beta, ll = np.zeros(x.shape[1]), -np.inf
-    for _ in range(steps):
-        eta = np.clip(x @ beta, -30, 30)
-        mu = 1 / (1 + np.exp(-eta))
-        w = np.maximum(mu * (1 - mu), 1e-12)
-        h = x.T @ (x * w[:, None])
+def _newton(pdf: pd.DataFrame, last: bool, tol: float = 1e-6) -> pd.DataFrame:
+    """One step of each variant's fit from its sums at ``beta``: the next coefficients, or how the fit ended (1 converged, -1 not)."""
+    out = []
+    for snp, n, beta, se, before, ll, g, h in zip(*[pdf[c] for c in ("snp", "n", "beta", "se", "before", "ll", "g", "h")], strict=True):
+        beta, g = np.asarray(beta), np.asarray(g)
+        h = np.asarray(h).reshape(len(g), len(g))
+        if abs(ll - before) < tol * (abs(ll) + tol):
+            out.append((snp, n, beta, se, ll, 1))
+            continue
         size = np.sqrt(np.diag(h))
-        if not (size > 1e-8).all() or np.linalg.eigvalsh(h / np.outer(size, size))[0] < 1e-10:
-            return beta, h, ll, False
-        beta = beta + np.linalg.solve(h, x.T @ (y - mu))
-        eta = np.clip(x @ beta, -30, 30)
-        new = float((y * eta - np.logaddexp(0, eta)).sum())
-        if abs(new - ll) < tol * (abs(new) + tol):
-            return beta, np.linalg.inv(h), new, True
-        ll = new
-    return beta, np.linalg.inv(h), ll, False
+        if last or not (size > 1e-8).all() or np.linalg.eigvalsh(h / np.outer(size, size))[0] < 1e-10:
+            out.append((snp, n, beta, se, ll, -1))
+            continue
+        # The first likelihood, at coefficients of 0, ends no fit.
+        out.append((snp, n, beta + np.linalg.solve(h, g), np.sqrt(np.diag(np.linalg.inv(h))), -np.inf if before == np.inf else ll, 0))
+    return pd.DataFrame(out, columns=["snp", "n", "beta", "se", "before", "state"])
+
+
+def _logistic(rows: DataFrame, names: list[str], steps: int = 100) -> DataFrame:
+    """snp, n, beta, se, before (the log-likelihood), state: iteratively reweighted least squares of y on ``names`` for every variant.
+
+    A step sums X'WX, X'(y - mu) and the log-likelihood per variant (map-side
+    combined) and solves only these; variants that have ended leave the next.
+    """
+    p = len(names)
+    schema = "snp long, n long, beta array<double>, se array<double>, before double, state int"
+    zeros = F.array(*[F.lit(0.0)] * p)
+    done, active, at = [], None, rows.select("snp", "y", *names, zeros.alias("beta"))
+    for step in range(steps + 1):
+        eta = sum((F.col("beta")[i] * F.col(c) for i, c in enumerate(names[1:], 1)), F.col("beta")[0] * F.col(names[0]))
+        e = at.withColumn("_e", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))).withColumn("_mu", 1 / (1 + F.exp(-F.col("_e"))))
+        e = e.withColumn("_w", F.greatest(F.col("_mu") * (1 - F.col("_mu")), F.lit(1e-12)))
+        ll = F.sum(F.col("y") * F.col("_e") - F.greatest(F.col("_e"), F.lit(0.0)) - F.log1p(F.exp(-F.abs("_e"))))
+        g = F.array(*[F.sum(F.col(c) * (F.col("y") - F.col("_mu"))) for c in names])
+        h = {(i, j): F.sum(F.col(names[i]) * F.col(names[j]) * F.col("_w")).alias(f"_h{i}_{j}") for i in range(p) for j in range(i, p)}
+        sums = e.groupBy("snp").agg(F.count("*").alias("n"), ll.alias("ll"), g.alias("g"), *h.values())
+        sums = sums.select("snp", "n", "ll", "g", F.array(*[F.col(f"_h{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]).alias("h"))
+        if active is None:
+            sums = sums.withColumn("beta", zeros).withColumn("se", zeros).withColumn("before", F.lit(float("inf")))
+        else:
+            sums = sums.join(active.select("snp", "beta", "se", "before"), "snp")
+
+        def run(frames: Iterator[pd.DataFrame], last: bool = step == steps) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    yield _newton(pdf, last)
+
+        now = cut(sums.select("snp", "n", "beta", "se", "before", "ll", "g", "h").mapInPandas(run, schema))
+        done.append(now.where("state <> 0"))
+        active = now.where("state = 0")
+        left = active.count()
+        if not left:
+            break
+        betas = active.select("snp", "beta")
+        at = rows.join(F.broadcast(betas) if left <= 50_000 else betas, "snp")
+    return reduce(DataFrame.unionByName, done)
 
 
 def logistic(geno: DataFrame, indivs: DataFrame, pheno: str, n_anc: int, method: str = "ATT", covariates: list[str] | None = None) -> DataFrame:
     """As ``linear`` for a phenotype of 0 and 1: likelihood-ratio tests of maximum-likelihood fits.
 
-    A variant's people are gathered in one row (their number is that of the
-    study, whatever the number of variants) and fitted in Arrow batches.
+    Every step of the fits is one map-side combined sum per variant, so no row
+    or group grows with the number of people. Steps run when this is called.
     """
     covariates = covariates or []
     variables, tested = design(method, n_anc)
@@ -180,32 +220,27 @@ def logistic(geno: DataFrame, indivs: DataFrame, pheno: str, n_anc: int, method:
     vs = [*variables, "G"] if method == "HET" else variables
     wide = geno.select("snp", "indiv", *[need[v].cast("double").alias(v) for v in dict.fromkeys(vs)])
     wide = wide.where(F.col(vs[0]).isNotNull()) if method == "ADM" else wide.where(F.concat(*vs).isNotNull())
-    packed = wide.join(people, "indiv").groupBy("snp").agg(F.collect_list(F.array(*xs, *dict.fromkeys(vs), "y")).alias("rows"))
+    ensure_on_workers(geno.sparkSession)
+    people = cut(people)
+    rows = wide.join(F.broadcast(people) if people.count() <= 50_000 else people, "indiv")
+    full = _logistic(rows, [*xs, *variables])
+    null = _logistic(rows, [*xs, "G"] if method == "HET" else [*xs, *[v for i, v in enumerate(variables) if i not in tested]])
+    both = full.join(null.select("snp", F.col("before").alias("null_ll"), F.col("state").alias("null_state")), "snp")
     cols = [f"{v}_{x}" for v in variables for x in ("BETA", "SE")]
     schema = "snp long, " + ", ".join(f"{c} double" for c in cols) + ", N long, STAT double, P double"
-    order = [*xs, *dict.fromkeys(vs), "y"]
+    q = n_anc - 1 if method == "HET" else len(tested)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for snp, rows in zip(pdf["snp"], pdf["rows"], strict=True):
-                m = np.array([np.asarray(r) for r in rows])
-                y = m[:, -1]
-                pick = lambda names, m=m: m[:, [order.index(v) for v in names]]
-                full = _logistic(pick([*xs, *variables]), y)
-                null = _logistic(pick([*xs, "G"] if method == "HET" else [*xs, *[v for i, v in enumerate(variables) if i not in tested]]), y)
-                q = n_anc - 1 if method == "HET" else len(tested)
-                row = [snp] + [np.nan] * len(cols) + [len(y), np.nan, np.nan]
-                if full[3] and null[3]:
-                    stat = max(0.0, 2 * (full[2] - null[2]))
-                    b = full[0][len(xs) :]
-                    se = np.sqrt(np.diag(full[1]))[len(xs) :]
-                    row = [snp, *np.stack([b, se], 1).ravel().tolist(), len(y), stat, float(chi2_sf(np.array([stat]), q)[0])]
-                out.append(row)
-            yield pd.DataFrame(out, columns=["snp", *cols, "N", "STAT", "P"])
-
-    ensure_on_workers(geno.sparkSession)
-    solved = packed.mapInPandas(run, schema)
+            if not len(pdf):
+                continue
+            ok = ((pdf["state"] == 1) & (pdf["null_state"] == 1)).to_numpy()
+            est = np.stack([np.stack(pdf["beta"].to_list()), np.stack(pdf["se"].to_list())], 2)[:, len(xs) :].reshape(len(pdf), -1)
+            stat = np.where(ok, np.maximum(0.0, 2 * (pdf["before"] - pdf["null_ll"]).to_numpy()), 0.0)
+            out = pd.DataFrame(np.where(ok[:, None], est, np.nan), columns=cols)
+            yield out.assign(snp=pdf["snp"].to_numpy(), N=pdf["n"].to_numpy(), STAT=np.where(ok, stat, np.nan), P=np.where(ok, chi2_sf(stat, q), np.nan))[["snp", *cols, "N", "STAT", "P"]]
+
+    solved = both.mapInPandas(run, schema)
     return solved.select("snp", *[F.nanvl(c, F.lit(None)).alias(c) for c in cols], "N", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("STAT", "P")])
 
 

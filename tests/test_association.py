@@ -114,3 +114,27 @@ def test_missing_allele_poisons_its_cell(spark):
     geno = spark.createDataFrame([(0, 0, None, 1, 0, 1), (0, 1, 1, 1, 0, 0)], "snp long, indiv long, a0 int, a1 int, c0 int, c1 int")
     got = {r["anc"]: (r["af"], r["n_haplo"]) for r in alleles.af_per_anc(geno, 3).collect()}
     assert got == {0: (None, 3), 1: (1.0, 1), 2: (None, 0)}
+
+
+def test_logistic_gathers_no_people(frames, study, monkeypatch):
+    """Estimates as from all of a variant's rows at once, though no row holds them; a constant variant has none."""
+    a, c, cov, _, b = study
+    geno, indivs = frames
+
+    def refuse(*_):
+        raise AssertionError("a variant's people in one row")
+
+    monkeypatch.setattr(A.F, "collect_list", refuse)
+    got = {r["snp"]: r for r in A.logistic(geno, indivs, "b", K, "ATT", ["x"]).collect()}
+    assert len(got) == M and got[7]["P"] is None and got[7]["N"] == N
+    for s in (0, 1, 3):
+        v, _ = design(a, c, s, "ATT")
+        keep = np.isfinite(v[:, 0])
+        x, y = np.hstack([np.ones((N, 1)), (cov - cov.mean())[:, None], v])[keep], b[keep]
+        w = np.zeros(3)
+        for _ in range(50):
+            mu = 1 / (1 + np.exp(-x @ w))
+            h = x.T @ (x * (mu * (1 - mu))[:, None])
+            w = w + np.linalg.solve(h, x.T @ (y - mu))
+        assert got[s]["N"] == keep.sum()
+        np.testing.assert_allclose([got[s]["G_BETA"], got[s]["G_SE"]], [w[2], np.sqrt(np.linalg.inv(h)[2, 2])], rtol=1e-3)
