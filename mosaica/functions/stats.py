@@ -73,8 +73,12 @@ def lambda_gc_bootstrap(df: DataFrame, key: str, chi2: str = "chi2", resamples:
         n = n + (u > cum).cast("int")
         term /= k
         cum += term
-    top = df.agg(F.max(chi2).alias("_top"))
-    rows = df.crossJoin(F.broadcast(top)).select(key, F.floor(F.least(F.sqrt(F.col(chi2)), F.sqrt("_top")) / F.sqrt("_top") * (bins - 1)).alias("_bin"), chi2)
+    # Bins are laid between ranks 8 standard errors off the median, so no strong locus coarsens them; the rest is two bins.
+    df = df.where(F.col(chi2).isNotNull())
+    d = min(0.5, 4 / max(1, df.count()) ** 0.5 + 0.001)
+    ends = df.agg(F.percentile_approx(chi2, [0.5 - d, 0.5 + d], 10_000).alias("_q")).select(F.sqrt(F.col("_q")[0]).alias("_lo"), F.sqrt(F.col("_q")[1]).alias("_hi"))
+    place = F.floor(F.coalesce(F.try_divide(F.sqrt(chi2) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * (bins - 2))
+    rows = df.crossJoin(F.broadcast(ends)).select(key, F.greatest(F.lit(-1), F.least(F.lit(bins - 2), place)).alias("_bin"), chi2)
     mean = rows.groupBy("_bin").agg(F.avg(chi2).alias("_x"))
     counted = rows.select(key, "_bin", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b")).withColumn("_n", n).groupBy("_b", "_bin").agg(F.sum("_n").alias("_n"))
     w = Window.partitionBy("_b")

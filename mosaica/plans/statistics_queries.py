@@ -72,7 +72,7 @@ def lambda_gc(spark, d):
 
 @query("lambda_gc_ci")
 def lambda_gc_ci(spark, d):
-    return T.lambda_gc_bootstrap(chi2(spark, d), "snp", resamples=199)
+    return T.lambda_gc_bootstrap(chi2(spark, d), "snp")
 
 
 _POST = f"{_CHI2}, post AS (SELECT snp, chrom, exp(chi2 / 2 - m) / sum(exp(chi2 / 2 - m)) OVER (PARTITION BY chrom) AS posterior FROM (SELECT *, max(chi2 / 2) OVER (PARTITION BY chrom) AS m FROM chi))"

@@ -88,3 +88,13 @@ def test_info_must_agree(spark):
 def test_dummies_keep_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "id int, g string")
     assert [tuple(r) for r in dataset.dummies(df, "g").orderBy("id").collect()] == [(1, 0, 0), (2, 1, 0), (3, None, None), (4, 0, 1)]
+
+
+def test_lambda_interval_with_a_strong_locus(spark):
+    x = np.random.default_rng(1).normal(size=4000) ** 2
+    null = spark.createDataFrame(list(enumerate(x.tolist())), "snp long, chi2 double")
+    strong = null.unionByName(spark.createDataFrame([(4000, 1e6)], null.schema))
+    low, high = stats.lambda_gc_bootstrap(strong, "snp", resamples=99).first()
+    # Order statistics about the median bound it as the bootstrap does.
+    want = np.quantile(x, [0.5 - 0.98 / 4000**0.5, 0.5 + 0.98 / 4000**0.5]) / special.CHI2_MEDIAN
+    np.testing.assert_allclose([low, high], want, atol=0.025)
