@@ -1,103 +1,197 @@
-"""Nearest neighbours by collision counting over query-aware projections.
-
-Rows are dealt into blocks of bounded size, queries into bounded chunks; each
-(block, chunk) is one unit of work. A block holds ``lines`` sorted arrays, each
-of one random projection. A query opens a window around its own projection in
-every array; virtual rehashing widens the windows step by step, reading only
-what is new. Vectors that stand in enough windows (the collision threshold) are
-verified by their cosine. A query is done in a block once its k-th best verified
-vector lies within the radius that the windows cover, so the true neighbours
-there have each passed the threshold with the probability that ``slack`` sets;
-without that, windows widen until the block is used up. Blocks' results merge
-by a window over k rows per block.
-
-Projections: for a pair at distance s the difference of projections is normal
-with deviation s, so windows of half-width tau * s catch it with one and the
-same probability p; the threshold is slack deviations below lines * p.
+"""Nearest neighbours by collision counting over query-aware projections, radius first.
+
+A block holds up to ``block_rows`` distinct vectors as ``lines`` sorted arrays,
+each of one random projection, built once. A query opens a window around its own
+projection in every array; virtual rehashing widens the windows, reading only
+what is new; vectors that stand in enough windows (the collision threshold) are
+verified by their cosine. Windows reach far enough once they cover ``tau`` times
+the distance of the k-th best vector known: for a pair at distance s the
+difference of projections is normal with deviation s, so such windows catch it
+with one and the same probability, and the threshold lies ``slack`` deviations
+below the number of windows expected then.
+
+1. Equal vectors are one, with their k + 1 smallest rows. A bounded sample of
+   vectors are pivots; a vector's cell is its nearest pivot, cells are cut into
+   shells of nearly equal distance from the pivot, and shells above a block's
+   size are dealt into several blocks.
+2. Each query is searched in its own block, which gives it a radius: the
+   distance of its k-th best there.
+3. It then visits only the blocks whose shell a ball of that radius meets (the
+   triangle inequality, so none that holds a nearer vector is left out), and
+   opens windows just to that radius.
+
+Scores are sums in a fixed order, column by column, so equal vectors have equal
+scores wherever they stand and ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import bounds, dealt
-from .common import map_arrow, materialize_table
-from .embedding_dedup import _chunks, usable
-
-TAU = 2 / 3
-P_TAU = 0.4950  # P(|N(0, 1)| <= TAU)
-
-
-def search_block(x: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, lines: int, slack: float, first: float, growth: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each unit query: (row numbers, cosines) of the k best found among unit rows x; ``own`` is the row left out or -1."""
-    n, d = x.shape
-    axes = np.random.default_rng(seed).normal(size=(d, lines))
-    p = np.ascontiguousarray((x @ axes).T)
-    order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
-    value = np.take_along_axis(p, order, 1)
-    centre = q @ axes
-    need = max(1, int(np.ceil(lines * P_TAU - slack * np.sqrt(lines * P_TAU * (1 - P_TAU)))))
-    m = len(q)
-    count = np.zeros((m, n), np.uint16 if lines > 255 else np.uint8)
-    lo = np.stack([np.searchsorted(value[a], centre[:, a]) for a in range(lines)], 1)
-    hi = lo.copy()
-    best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * m
-    seen = np.zeros((m, n), bool)
-    open_ = np.arange(m)
-    half = first
-    while len(open_):
-        low = np.stack([np.searchsorted(value[a], centre[open_, a] - half, "left") for a in range(lines)], 1)
-        high = np.stack([np.searchsorted(value[a], centre[open_, a] + half, "right") for a in range(lines)], 1)
-        still = []
-        for at, i in enumerate(open_):
-            fresh = [order[a, low[at, a] : lo[i, a]] for a in range(lines)] + [order[a, hi[i, a] : high[at, a]] for a in range(lines)]
-            count[i] += np.bincount(np.concatenate(fresh), minlength=n).astype(count.dtype)
-            lo[i], hi[i] = low[at], high[at]
-            done = bool((low[at] == 0).all() and (high[at] == n).all())
-            new = np.flatnonzero(((count[i] >= need) | done) & ~seen[i])
-            seen[i, new] = True
-            new = new[new != own[i]]
-            rows, score = np.concatenate((best[i][0], new)), np.concatenate((best[i][1], x[new] @ q[i]))
+from .common import broadcast_if_small, map_arrow, materialize_table, spread_join
+from .embedding_dedup import dots, unit, usable
+
+SHELLS = 64
+
+
+class Block:
+    """Sorted projections of unit vectors (n x d) with their numbers and smallest vec_ids."""
+
+    def __init__(self, x: np.ndarray, v: np.ndarray, low: np.ndarray, lines: int, seed: int):
+        self.v, self.low, self.lines = v, low, lines
+        self.xt = np.ascontiguousarray(x.T)
+        self.axes = np.random.default_rng(seed).normal(size=(x.shape[1], lines))
+        p = np.ascontiguousarray((x @ self.axes).T)
+        self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
+        self.value = np.take_along_axis(p, self.order, 1)
+        self.verified = self.counted = 0
+
+    def search(self, q: np.ndarray, radius: float, k: int, tau: float, slack: float, first: float, growth: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k best found for a unit vector, best first, ties to the smaller vec_id; with a finite
+        ``radius`` only what lies within it matters."""
+        n, lines = len(self.v), self.lines
+        hit = 2 * NormalDist().cdf(tau) - 1
+        need = max(1, int(np.ceil(lines * hit - slack * np.sqrt(lines * hit * (1 - hit)))))
+        centre = q @ self.axes
+        count = np.zeros(n, np.int64)
+        lo = np.array([np.searchsorted(self.value[a], centre[a]) for a in range(lines)])
+        hi = lo.copy()
+        seen = np.zeros(n, bool)
+        rows, score = np.empty(0, np.int64), np.empty(0)
+        half = tau * radius if np.isfinite(radius) else tau * first
+        while True:
+            low = np.array([np.searchsorted(self.value[a], centre[a] - half, "left") for a in range(lines)])
+            high = np.array([np.searchsorted(self.value[a], centre[a] + half, "right") for a in range(lines)])
+            outside = int((low + n - high).sum())
+            fresh = int((lo - low + high - hi).sum())
+            # What is new is counted in, or what lies outside is counted out, whichever is less.
+            if fresh <= outside:
+                part = [self.order[a, low[a] : lo[a]] for a in range(lines)] + [self.order[a, hi[a] : high[a]] for a in range(lines)]
+                count += np.bincount(np.concatenate(part), minlength=n)
+            else:
+                part = [self.order[a, : low[a]] for a in range(lines)] + [self.order[a, high[a] :] for a in range(lines)]
+                count = lines - np.bincount(np.concatenate(part), minlength=n)
+            self.counted += min(fresh, outside)
+            lo, hi = low, high
+            done = not outside
+            new = np.flatnonzero(((count >= need) | done) & ~seen)
+            seen[new] = True
+            self.verified += len(new)
+            rows = np.concatenate((rows, new))
+            score = np.concatenate((score, dots(self.xt[:, new], q[:, None])))
             if len(rows) > k:
-                keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])  # ties of the k-th stay
+                # Places k - 1 and on: everything that ties with the k-th is kept until ids decide.
+                keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
                 rows, score = rows[keep], score[keep]
-            best[i] = (rows, score)
-            # distance of unit vectors: sqrt(2 - 2 cos)
-            if not done and (len(rows) < k or np.sqrt(max(0.0, 2 - 2 * score.min())) > half / TAU):
-                still.append(i)
-        open_ = np.array(still, np.int64)
-        half *= growth
-    return best
-
-
-def _searched(batches: Iterator[pa.RecordBatch], k: int, lines: int, slack: float, first: float, growth: float, seed: int) -> Iterator[pa.RecordBatch]:
-    for chunk, x in _chunks(batches, ["key", "cell", "kind", "row", "vec_id"]):
-        for a, b in zip(*bounds(chunk), strict=True):
-            s = a + int((chunk["kind"][a:b] == 0).sum())
-            if s == a or s == b:
-                continue
-            x_, row, ids = x[a:s, : chunk["cell"][a]], chunk["row"][a:s], chunk["vec_id"][a:s]
-            where = {r: i for i, r in enumerate(row.tolist())}
-            for c in range(s, b, 256):
-                e = min(b, c + 256)
-                own = np.array([where.get(r, -1) for r in chunk["row"][c:e].tolist()])
-                found = search_block(x_, x[c:e, : chunk["cell"][a]], own, k, lines, slack, first, growth, seed)
-                n = [len(f[0]) for f in found]
-                at = np.concatenate([f[0] for f in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(chunk["row"][c:e], n)), pa.array(np.repeat(chunk["vec_id"][c:e], n)), pa.array(ids[at]), pa.array(np.clip(np.concatenate([f[1] for f in found]), -1.0, 1.0))],
-                    ["query_row", "query_id", "vec_id", "score"],
-                )
+            # Distance of unit vectors: sqrt(2 - 2 cos).
+            reach = min(radius, np.sqrt(max(0.0, 2 - 2 * score.min())) if len(rows) >= k else np.inf)
+            if done or half >= tau * reach:
+                best = np.lexsort((self.low[rows], -score))[:k]
+                return rows[best], score[best]
+            half = min(half * growth, tau * reach)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """Batches sorted by (key, cell, kind), cut where one of them changes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell, kind = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "cell", "kind"))
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip(np.concatenate(([0], edge)), np.append(edge, len(key)), strict=True):
+            yield (int(key[a]), int(cell[a])), int(kind[a]), batch.slice(a, b - a)
+
+
+def _matrix(part: pa.RecordBatch) -> np.ndarray:
+    """Unit vectors of a part whose rows have one width."""
+    c = part.column(part.schema.get_field_index("embedding"))
+    return unit(c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, lines: int, tau: float, slack: float, first: float, growth: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows come first and are indexed, then its queries pass by; only one block is held at a time."""
+    current, held, block = None, [], None
+    for key, kind, part in _parts(batches):
+        if key != current:
+            current, held, block = key, [], None
+        if kind == 0:
+            held.append(part)
+            continue
+        if not held and block is None:
+            continue
+        if block is None:
+            number = lambda c: np.concatenate([h.column(h.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for h in held])
+            block, held = Block(np.concatenate([_matrix(h) for h in held]), number("v"), number("low"), lines, seed), []
+        x = _matrix(part)
+        radius, asked = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("radius", "v"))
+        for a in range(0, len(x), 1024):
+            found = [block.search(x[i], radius[i], k, tau, slack, first, growth) for i in range(a, min(len(x), a + 1024))]
+            n = [len(f[0]) for f in found]
+            at = np.concatenate([f[0] for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked[a : a + 1024], n)), pa.array(block.v[at]), pa.array(block.low[at]), pa.array(np.concatenate([f[1] for f in found]))], ["q", "v", "low", "score"])
+
+
+class Pivots:
+    """Sampled unit vectors by width, with the shells around them: cuts, and the smallest and largest distance of each."""
+
+    def __init__(self, rows: list[list[float]]):
+        self.x: dict[int, np.ndarray] = {}
+        self.number: dict[int, np.ndarray] = {}
+        for w in sorted({len(r) for r in rows}):
+            at = [i for i, r in enumerate(rows) if len(r) == w]
+            self.x[w], self.number[w] = unit(np.array([rows[i] for i in at])), np.array(at)
+        self.cuts: dict[int, np.ndarray] = {}
+        self.shells: dict[int, dict[int, tuple[float, float, int, int]]] = {}  # cell -> shell -> (least, most, first block, blocks)
+        self.loose = 1  # blocks of a width without a pivot
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """To the pivots of that width, in one way for rows and queries."""
+        return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ self.x[x.shape[1]].T)))
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if x.shape[1] not in self.x:
+            return np.full(len(x), -x.shape[1]), np.zeros(len(x))
+        d = self.distances(x)
+        near = d.argmin(axis=1)
+        return self.number[x.shape[1]][near], d[np.arange(len(x)), near]
+
+    def visits(self, x: np.ndarray, radius: float, own: int) -> list[int]:
+        """Blocks other than its own that a unit vector's ball may meet."""
+        w = len(x)
+        if w not in self.x:
+            return [b for b in range(-w * self.loose, -w * self.loose + self.loose) if b != own]
+        out = []
+        for cell, d in zip(self.number[w], self.distances(x[None])[0], strict=True):
+            for least, most, start, blocks in self.shells.get(int(cell), {}).values():
+                if least - radius - 1e-6 <= d <= most + radius + 1e-6:
+                    out += [b for b in range(start, start + blocks) if b != own]
+        return out
+
+
+def _by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in batches:
+        for row in range(0, batch.num_rows, 2048):
+            part = batch.slice(row, 2048)
+            width = pc.list_value_length(part.column(part.schema.get_field_index("embedding"))).to_numpy(zero_copy_only=False)
+            for w in np.unique(width):
+                rows = part if (width == w).all() else part.filter(pa.array(width == w))
+                yield rows, _matrix(rows)
+
+
+def _with(part: pa.RecordBatch, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in columns.values())], [*part.schema.names, *columns])
 
 
 def nearest(
-    embeddings: DataFrame, is_query: Column | None = None, k: int = 5, lines: int = 128, slack: float = 1.9, first: float = 0.4, growth: float = 1.15,
-    block_rows: int = 8192, query_rows: int = 2048, seed: int = 3,
+    embeddings: DataFrame, is_query: Column | None = None, k: int = 5, lines: int = 128, tau: float = 1.3, slack: float = 1.9, first: float = 0.3, growth: float = 1.5,
+    block_rows: int = 8192, max_pivots: int = 1024, block_queries: int = 65_536, seed: int = 3,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each query, by largest cosine, ties to the smaller vec_id.
 
@@ -106,16 +200,103 @@ def nearest(
     empty, zero or hold null or non-finite components take no part, and vectors
     of different width are not compared. A repeated row is a candidate for its
     copy; fewer than k candidates are all returned; an empty table gives no row.
+    Only the columns vec_id and embedding are read. What the driver and tasks
+    share are ``max_pivots`` vectors and at most 64 shells of each.
     """
     rows = materialize_table(usable(embeddings).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding"))
     is_query = F.col("vec_id") % 50 == 0 if is_query is None else is_query
-    total, queries = rows.agg(F.count("*"), F.sum(is_query.cast("long"))).first()
-    blocks, parts = max(1, -(-total // block_rows)), max(1, -(-(queries or 0) // query_rows))
-    block, part = F.pmod(F.xxhash64("row"), F.lit(blocks)), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts))
-    width = F.size("embedding").cast("long")
-    data = rows.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"), block.alias("_b"), F.lit(0).alias("kind"), "row", "vec_id", "embedding", width.alias("cell"))
-    asked = rows.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), part.alias("_p"), F.lit(1).alias("kind"), "row", "vec_id", "embedding", width.alias("cell"))
-    work = data.unionByName(asked).withColumn("key", (F.col("_b") * parts + F.col("_p")).cast("long")).drop("_b", "_p")
-    found = map_arrow(dealt(work), lambda b: _searched(b, k, lines, slack, first, growth, seed), "query_row long, query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # The k + 1 smallest rows of each distinct vector; the limit acts before the shuffle, so a vector of many copies is as light as any.
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id", "row"))
+    few = rows.withColumn("_r", place).where(F.col("_r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("ids"))
+    distinct = materialize_table(few.select(F.monotonically_increasing_id().alias("v"), "embedding", "ids", F.col("ids")[0]["vec_id"].alias("low")))
+    asking = materialize_table(rows.where(is_query).select("row", "vec_id", "embedding", F.xxhash64("embedding").alias("h")))
+    asking = spread_join(asking, distinct.select(F.xxhash64("embedding").alias("h"), F.col("embedding").alias("_e"), "v"), ["h"], ["row"]).where(F.col("embedding") == F.col("_e"))
+    asking = materialize_table(asking.select("row", "vec_id", "v"))
+
+    total = distinct.count()
+    sample = distinct.orderBy(F.xxhash64("v", F.lit(seed)), "v").select("embedding").limit(max(1, min(max_pivots, 2 * total // block_rows))).collect()
+    pivots = Pivots([r[0] for r in sample])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _by_width(batches):
+            cell, distance = pivots.home(x)
+            yield _with(part, cell=cell.astype(np.int64), distance=distance)
+
+    held = materialize_table(map_arrow(distinct.select("v", "low", "embedding"), placed, "v long, low long, embedding array<double>, cell long, distance double"))
+    inner = [i / SHELLS for i in range(1, SHELLS)]
+    cells = held.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("distance", inner, 2000).alias("cuts")).collect()  # a row per pivot
+    for r in cells:
+        shells = max(1, min(SHELLS, r["n"] // block_rows))
+        pivots.cuts[r["cell"]] = np.array([r["cuts"][SHELLS * i // shells - 1] for i in range(1, shells)])
+    pivots.loose = max(1, -(-held.where("cell < 0").count() // block_rows))
+
+    numbers = lambda part, *names: (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names)
+
+    def shelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            cell, distance = numbers(part, "cell", "distance")
+            shell = np.zeros(len(cell), np.int64)
+            for c in np.unique(cell[cell >= 0]):
+                shell[cell == c] = np.searchsorted(pivots.cuts[c], distance[cell == c])
+            yield _with(part, shell=shell)
+
+    shells = map_arrow(held, shelled, "v long, low long, embedding array<double>, cell long, distance double, shell long")
+    start = 0
+    for r in shells.where("cell >= 0").groupBy("cell", "shell").agg(F.count("*").alias("n"), F.min("distance").alias("a"), F.max("distance").alias("b")).orderBy("cell", "shell").collect():
+        blocks = -(-r["n"] // block_rows)
+        pivots.shells.setdefault(r["cell"], {})[r["shell"]] = (r["a"], r["b"], start, blocks)
+        start += blocks
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in shelled(batches):
+            cell, shell, v = numbers(part, "cell", "shell", "v")
+            turn = ((v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            key = cell * pivots.loose + turn % pivots.loose
+            for at in np.flatnonzero(cell >= 0):
+                _, _, start, blocks = pivots.shells[cell[at]][shell[at]]
+                key[at] = start + turn[at] % blocks
+            yield _with(part.select(["v", "low", "embedding"]), key=key)
+
+    stored = materialize_table(map_arrow(held, keyed, "v long, low long, embedding array<double>, key long"))
+    wanted = asking.select("v").distinct()
+    stored_ = stored.select("key", F.lit(0).alias("kind"), "v", "low", "embedding", F.lit(float("inf")).alias("radius"))
+    queries = materialize_table(stored.join(wanted, "v", "left_semi").select("key", F.lit(1).alias("kind"), "v", "low", "embedding"))
+
+    def searched(asked: DataFrame) -> DataFrame:
+        # A block that very many queries visit is repeated for parts of them.
+        hot, n = broadcast_if_small(asked.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_queries).select("key", F.ceil(F.col("n") / block_queries).alias("parts")))
+        if n:
+            parts = F.coalesce("parts", F.lit(1)).cast("long")
+            base = stored_.join(hot, "key", "left").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+            asked = asked.join(hot, "key", "left").withColumn("cell", F.pmod(F.xxhash64("v"), parts)).drop("parts")
+        else:
+            base, asked = stored_.withColumn("cell", F.lit(0).cast("long")), asked.withColumn("cell", F.lit(0).cast("long"))
+        # Blocks that nobody visits aren't moved.
+        base = base.join(asked.select("key").distinct(), "key", "left_semi")
+        work = base.unionByName(asked).repartition("key", "cell").sortWithinPartitions("key", "cell", "kind")
+        return map_arrow(work, lambda b: _searched(b, k + 1, lines, tau, slack, first, growth, seed), "q long, v long, low long, score double")
+
+    near = materialize_table(searched(queries.withColumn("radius", F.lit(float("inf")))))
+    # k + 1, as the vector itself is among them.
+    known = near.groupBy("q").agg(F.when(F.count("*") > k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).otherwise(float("inf")).alias("radius"))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _by_width(batches):
+            key, radius = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "radius"))
+            for a in range(0, len(x), 64):
+                found = [pivots.visits(x[i], radius[i], key[i]) for i in range(a, min(len(x), a + 64))]
+                at = pa.array(np.repeat(np.arange(a, a + len(found)), [len(f) for f in found]))
+                yield _with(part.select(["kind", "v", "low", "embedding", "radius"]).take(at), key=np.concatenate([np.array(f, np.int64) for f in found]))
+
+    second = queries.join(known.withColumnRenamed("q", "v"), "v")
+    second = materialize_table(map_arrow(second, visits, "kind int, v long, low long, embedding array<double>, radius double, key long"))
+    best = near.unionByName(searched(second))
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "low"))).where(F.col("_r") <= k + 1)
+    # Vectors to rows: a query vector's list has k + 1 rows at most, and each query row leaves itself out.
+    best = spread_join(materialize_table(best.select("q", "v", "score")), distinct.select("v", "ids"), ["v"], ["q"])
+    each = best.select("q", "score", F.inline("ids"))
+    each = each.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("_r") <= k + 1)
+    lists = each.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "row"))).alias("list"))
+    out = spread_join(asking.select(F.col("v").alias("q"), "row", F.col("vec_id").alias("query_id")), lists, ["q"], ["row"])
+    out = out.select("query_id", F.posexplode(F.slice(F.filter("list", lambda x: x["row"] != F.col("row")), 1, k)).alias("at", "one"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -F.col("one.less"))).alias("score"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,17 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; only where neither it nor
-    a directory is set (as in a plain local test session) one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only a local master may do without and gets one of its own."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -69,15 +78,46 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables that ``materialize_table`` wrote inside; what is needed later must be written or counted before."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in made:
+            where = hadoop.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize_table(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared checkpoint folder (columnar, so smaller than a checkpoint)."""
-    import uuid
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for made in _SCOPES[-1:]:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", parts: int = 1024, least: int = 256) -> DataFrame:
+    """``big.join(small, on, how)`` where a few keys may hold much of ``big``; ``big`` should be a written table, as it is read twice.
+
+    Keys of more than 1 / ``parts`` of big's rows (and more than ``least``) are hot: there are fewer than ``parts`` of
+    them, so their list may be broadcast. A hot key's rows are dealt over salts by a hash of their ``by`` columns and
+    small's rows of that key are repeated for each salt, so no task gets a whole hot key.
+    """
+    limit = max(least, big.count() // parts)
+    hot = materialize(big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    b = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
+    s = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return b.join(s, [*on, "_salt"], how).drop("_salt")

@@ -75,7 +75,15 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     x = np.asarray(vectors, np.float64)
     # Scaled by the largest component first, so that tiny and huge vectors keep their precision.
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.sqrt(dots(x.T, x.T))[:, None]
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Column-wise products of (width, n) arrays, summed in one order, so that equal vectors give equal sums wherever they stand."""
+    out = np.zeros(np.broadcast_shapes(a.shape[1:], b.shape[1:]))
+    for i in range(a.shape[0]):
+        out += a[i] * b[i]
+    return out
 
 
 def usable(embeddings: DataFrame) -> DataFrame:

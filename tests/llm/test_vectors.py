@@ -72,7 +72,7 @@ def test_nearest_recall(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(900, 32))
     got = {}
-    for r in ann.nearest(frame(spark, v.tolist()), block_rows=200, query_rows=7).collect():
+    for r in ann.nearest(frame(spark, v.tolist()), block_rows=200, block_queries=7).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 900, 50))
     hit = 0
@@ -95,6 +95,69 @@ def test_nearest_edges(spark):
     assert [r["vec_id"] for r in ties] == [0, 1, 2, 3, 5]
 
 
+def exact(v, queries, k):
+    """Brute force in one fixed order of sums, so that copies tie."""
+    unit = []
+    for x in v:
+        x = np.array(x, float)
+        x = x / np.abs(x).max()
+        total = 0.0
+        for a in x:
+            total += a * a
+        unit.append(x / np.sqrt(total))
+    u = np.array(unit)
+    out = {}
+    for q in queries:
+        s = np.zeros(len(u))
+        for j in range(u.shape[1]):
+            s += u[:, j] * u[q, j]
+        order = [int(i) for i in np.lexsort((np.arange(len(u)), -s)) if i != q][:k]
+        out[q] = [(r + 1, i, min(1.0, s[i])) for r, i in enumerate(order)]
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 50, "block_queries": 3}])
+def test_nearest_copies_at_64_dimensions(spark, options):
+    """30 groups of many equal vectors, one of them very large: ids and scores equal brute force, ties by vec_id."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 64))
+    v = np.concatenate([np.repeat(centres, 9, axis=0), np.repeat(centres[:1], 180, axis=0), centres[:20] + rng.normal(size=(20, 64)) * 0.05, rng.normal(size=(30, 64))])
+    v = v[rng.permutation(len(v))]
+    got = {}
+    for r in ann.nearest(frame(spark, v.tolist()), is_query=F.col("vec_id") % 10 == 0, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = exact(v.tolist(), range(0, len(v), 10), 5)
+    same = sum(got[q] == want[q] for q in want)
+    assert set(got) == set(want) and same >= 0.9 * len(want)
+    for q in want:  # a query with copies of its own has nothing but them
+        if want[q][4][2] > 0.999:
+            assert got[q] == want[q]
+
+
+def test_nearest_repeated_ids(spark):
+    got = ann.nearest(frame(spark, [[1.0, 0.0], [0.6, 0.8], [1.0, 0.0]], ids=[50, 7, 50])).orderBy("query_id", "rank", "vec_id").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(50, 1, 50), (50, 1, 50), (50, 2, 7), (50, 2, 7)]
+
+
+def test_collision_counting_verifies_a_small_part():
+    """At the radius of the k-th best, far fewer than half of a block without structure are verified."""
+    rng = np.random.default_rng(5)
+    x = embedding_dedup.unit(rng.normal(size=(4000, 64)))
+    block = ann.Block(x, np.arange(4000), np.arange(4000), 128, 3)
+    s = x[:40] @ x.T
+    radius = np.sqrt(2 - 2 * np.sort(s, axis=1)[:, -6])
+    hit = 0
+    for i in range(40):
+        rows, _ = block.search(x[i], radius[i], 6, 1.3, 1.9, 0.3, 1.5)
+        hit += len(set(rows.tolist()) & set(np.argsort(-s[i])[:6].tolist()))
+    assert hit >= 0.9 * 240 and block.verified < 0.25 * 40 * 4000
+
+
+def test_repeated_ids_are_different_vectors(spark):
+    got = embedding_dedup.near_duplicates(frame(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 0.001]], [1, 1, 1], ids=[4, 4, 9])).orderBy("vec_id", "n_links").collect()
+    assert [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got] == [(4, 0, 4, True), (4, 1, 4, True), (9, 1, 4, False)]
+
+
 def test_empty(spark):
     none = frame(spark, [[1.0]], [1]).where("vec_id < 0")
     assert embedding_dedup.near_duplicates(none).count() == 0 and ann.nearest(none).count() == 0
