@@ -31,12 +31,11 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, map_arrow, materialize_table, spread_join
-from .embedding_dedup import dots, unit, usable
+from .embedding_dedup import by_width, dots, unit, unit_rows, usable
 
 SHELLS = 64
 
@@ -109,12 +108,6 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
             yield (int(key[a]), int(cell[a])), int(kind[a]), batch.slice(a, b - a)
 
 
-def _matrix(part: pa.RecordBatch) -> np.ndarray:
-    """Unit vectors of a part whose rows have one width."""
-    c = part.column(part.schema.get_field_index("embedding"))
-    return unit(c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1))
-
-
 def _searched(batches: Iterator[pa.RecordBatch], k: int, lines: int, tau: float, slack: float, first: float, growth: float, seed: int) -> Iterator[pa.RecordBatch]:
     """A block's rows come first and are indexed, then its queries pass by; only one block is held at a time."""
     current, held, block = None, [], None
@@ -128,8 +121,8 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int, lines: int, tau: float,
             continue
         if block is None:
             number = lambda c: np.concatenate([h.column(h.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for h in held])
-            block, held = Block(np.concatenate([_matrix(h) for h in held]), number("v"), number("low"), lines, seed), []
-        x = _matrix(part)
+            block, held = Block(np.concatenate([unit_rows(h) for h in held]), number("v"), number("low"), lines, seed), []
+        x = unit_rows(part)
         radius, asked = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("radius", "v"))
         for a in range(0, len(x), 1024):
             found = [block.search(x[i], radius[i], k, tau, slack, first, growth) for i in range(a, min(len(x), a + 1024))]
@@ -175,16 +168,6 @@ class Pivots:
         return out
 
 
-def _by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in batches:
-        for row in range(0, batch.num_rows, 2048):
-            part = batch.slice(row, 2048)
-            width = pc.list_value_length(part.column(part.schema.get_field_index("embedding"))).to_numpy(zero_copy_only=False)
-            for w in np.unique(width):
-                rows = part if (width == w).all() else part.filter(pa.array(width == w))
-                yield rows, _matrix(rows)
-
-
 def _with(part: pa.RecordBatch, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in columns.values())], [*part.schema.names, *columns])
 
@@ -218,7 +201,7 @@ def nearest(
     pivots = Pivots([r[0] for r in sample])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in _by_width(batches):
+        for part, x in by_width(batches):
             cell, distance = pivots.home(x)
             yield _with(part, cell=cell.astype(np.int64), distance=distance)
 
@@ -281,7 +264,7 @@ def nearest(
     known = near.groupBy("q").agg(F.when(F.count("*") > k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("score")))).otherwise(float("inf")).alias("radius"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in _by_width(batches):
+        for part, x in by_width(batches):
             key, radius = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "radius"))
             for a in range(0, len(x), 64):
                 found = [pivots.visits(x[i], radius[i], key[i]) for i in range(a, min(len(x), a + 64))]

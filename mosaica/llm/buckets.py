@@ -125,7 +125,10 @@ def forest(chunk: dict[str, np.ndarray], pairs_ok: Callable, row_ok: Callable) -
             stack, todo = [todo[0]], todo[1:]
             while stack and len(todo):
                 i = stack.pop()
-                ok = row_ok(i, todo)
+                # Two probes don't meet: a probe is compared with stored rows only.
+                meets = np.ones(len(todo), bool) if kind[i] == 0 else kind[todo] == 0
+                ok = np.zeros(len(todo), bool)
+                ok[meets] = row_ok(i, todo[meets])
                 found = todo[ok]
                 if len(found):
                     out_i.append(np.full(len(found), i))

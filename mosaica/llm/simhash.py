@@ -13,16 +13,17 @@ yield spanning forests of verified links, so no group is expanded into pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import map_arrow, materialize, slices_by_bytes
+from .common import map_arrow, materialize_table, slices_by_bytes, spread_join
 from .components import connected_components
 
 BITS = 64
@@ -52,14 +53,19 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every document; the text is read once, column by column, and never shuffled."""
+    """(doc_id, tag, fp) of every document: a hash of its id and text, and its fingerprint. The text is read once, column
+    by column, whole (hashes of long texts are added up in parts), and never shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_by_bytes(batches, "text"):
             fps = [fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tag"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "tag", "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag(), F.col("text").cast("string").alias("text")), run, "doc_id long, tag long, fp long")
+
+
+def _tag() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("tag")
 
 
 def segment_plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
@@ -113,29 +119,62 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(chunk["fp"][i[ok]]), pa.array(chunk["fp"][j[ok]])], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, segments: int = 3, shingle: int = 4, seed: int = 42, cap: int = 4096) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links at Hamming distance <= ``radius``).
+def segments_for(prints: int, radius: int) -> int:
+    """The number of segments that costs least: index rows a fingerprint (each about as much as 200 comparisons) and
+    comparisons in the buckets it meets, which fill as fingerprints grow in number. At least one ball has a radius."""
+    costs = {}
+    for m in range(2, radius + 1):
+        plan = segment_plan(radius, m)
+        width = min(w for _, w, _ in plan)
+        rows = sum(1 + (sum(math.comb(w, b) for b in range(1, r + 1)) + 1) // 2 for _, w, r in plan)
+        costs[m] = rows * (200 + prints / 2**width)
+    return min(costs, key=costs.get) if costs else 1
+
+
+def grouped(docs: DataFrame, radius: int = 4, segments: int | None = None, shingle: int = 4, seed: int = 42, cap: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, tag, fp) of every row, (fp, root) of every fingerprint): equal roots are one group."""
+    prints = materialize_table(fingerprints(docs, shingle, seed))
+    fps = materialize_table(prints.select("fp").distinct())
+    segments = segments or segments_for(fps.count(), radius)
+    rows = buckets.split_hot(index_rows(fps, radius, segments), hot_keys(fps, radius, segments, cap), "fp")
+    links = map_arrow(buckets.dealt(rows), lambda b: _links(b, radius), "u long, v long")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    return prints, materialize_table(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable by links at Hamming distance <= ``radius``, 4 unless given).
 
     Null and empty texts have fingerprint 0 and link like any other; a null
     doc_id gets a component_id through its fingerprint (null if the whole group
-    has none); repeated rows give repeated rows; an empty table gives no row.
+    has none); repeated rows give repeated rows; texts of any length are read
+    whole; further columns, whatever their names, are not read; an empty table
+    gives no row.
     """
-    prints = materialize(fingerprints(docs, shingle, seed))
+    prints, groups = grouped(docs, **options)
+    # Documents and fingerprints of one group may be a third of all: both joins deal them over tasks.
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    distinct = materialize(least)
-    fps = distinct.select("fp")
-    rows = buckets.split_hot(index_rows(fps, radius, segments), hot_keys(fps, radius, segments, cap), "fp")
-    links = map_arrow(buckets.dealt(rows), lambda b: _links(b, radius), "u long, v long")
-    roots = connected_components(links)
-    members = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    members = materialize_table(least.join(groups, "fp"))
     smallest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = members.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = materialize_table(spread_join(members, smallest, ["root"], ["fp"]).select("fp", "component_id"))
+    return spread_join(prints, of_fp, ["fp"], ["tag"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is the smallest of their group; all columns stay; identical repeated rows become one."""
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    whole = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return whole.dropDuplicates(["doc_id", "text"])
+    """One document of each group, that of smallest id (null ids last, then by text); all columns stay.
+
+    Identical rows (id and text) are one document. A document has to be the only
+    one of its group even if ids are null or shared: rows are told apart by id and text.
+    """
+    prints, groups = grouped(docs, **options)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))
+    least = materialize_table(prints.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp"))
+    kept = least.groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("_id"), F.col("first.tag").alias("_tag"))
+    times = prints.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("tag").alias("_tag")).agg((F.count("*") > 1).alias("_many"))
+    kept = materialize_table(kept.join(times, ["_id", "_tag"]))
+    # The document as one struct: no name of its columns can clash.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), _tag().alias("_tag"), F.struct(*docs.columns).alias("_doc")).join(kept, ["_id", "_tag"])
+    once = rows.where("NOT _many").select("_doc.*")
+    if kept.where("_many").isEmpty():
+        return once
+    return once.unionByName(rows.where("_many").dropDuplicates(["_id", "_tag"]).select("_doc.*"))
