@@ -105,18 +105,19 @@ def materialize_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", parts: int = 1024, least: int = 256) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: list[str], how: str = "inner", total: int | None = None, parts: int = 1024, least: int = 256) -> DataFrame:
     """``big.join(small, on, how)`` where a few keys may hold much of ``big``; ``big`` should be a written table, as it is read twice.
 
-    Keys of more than 1 / ``parts`` of big's rows (and more than ``least``) are hot: there are fewer than ``parts`` of
-    them, so their list may be broadcast. A hot key's rows are dealt over salts by a hash of their ``by`` columns and
-    small's rows of that key are repeated for each salt, so no task gets a whole hot key.
+    Keys of more than 1 / ``parts`` of big's rows (``total``, counted unless given, and more than ``least``) are hot:
+    there are fewer than ``parts`` of them, so their list is small. A hot key's rows are dealt over salts by a hash of
+    their ``by`` columns and small's rows of that key are repeated for each salt, so no task gets a whole hot key.
     """
-    limit = max(least, big.count() // parts)
-    hot = materialize(big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
-    if hot.isEmpty():
+    total = big.count() if total is None else total
+    limit = max(least, total // parts)
+    hot = [] if total <= limit else big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")).limit(parts).collect()
+    if not hot:
         return big.join(small, on, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(big.sparkSession.createDataFrame(hot, ", ".join(f"{c} {big.schema[c].dataType.simpleString()}" for c in on) + ", _salts int"))
     salts = F.coalesce("_salts", F.lit(1))
     b = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("_salts")
     s = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")

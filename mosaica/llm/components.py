@@ -23,17 +23,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
     e = materialize_table(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(e)
+    while before[0]:
         # One round: hang larger neighbours on the smallest one, then smaller neighbours likewise.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both.where(F.col("v") > F.col("u")), materialize_table(low), ["u"], ["v"])
+        large = spread_join(both.where(F.col("v") > F.col("u")), low, ["u"], ["v"], total=before[0])
         large = materialize_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = materialize_table(large.groupBy("u").agg(F.min("v").alias("m")))
-        rest = spread_join(large, low, ["u"], ["v"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        rest = spread_join(large, low, ["u"], ["v"], total=before[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize_table(rest.unionByName(low.withColumnRenamed("m", "v")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(e)
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            break
         before = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
