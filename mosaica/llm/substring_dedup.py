@@ -1,19 +1,28 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an indexed reference.
+"""Repeated passages by relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the corpus itself, in blocks; what is indexed of every block
-are its phrases. A phrase is content-defined: the run of consecutive windows of
+Reference. A text is cut by content into phrases: runs of consecutive windows of
 ``window`` words that share their minimiser (the smallest hash among the
-``seed``-word seeds inside the window) together with the words they cover. Equal
-passages are cut into equal phrases wherever they stand, so a document is parsed
-greedily against every block with equi-joins on the minimiser, not block by
-block: while the next phrase is in the index a factor goes on, and each factor
-has at least ``window`` words. Where a minimiser is in the index but its phrase
-is not the same - at a factor's two ends, or in text that repeats itself - the
-windows there are checked one by one. The union of phrases and windows found
-more than once is exactly the set of windows that occur more than once.
-
-Shuffled per document: about one small row for each 14 words, the compressed
-text, and single windows only at factor boundaries.
+``seed``-word seeds inside the window), with the words they cover. The reference
+is one copy of each distinct phrase whose minimiser occurs more than once; a
+phrase that occurs twice or more is a factor as a whole. Reference blocks of
+bounded size hold all phrases of their minimisers, one after the other, under a
+suffix array.
+
+Routing. Equal windows have the same minimiser, so the windows of a document
+under a minimiser can only match in that minimiser's block: parsing each phrase
+against its own block finds what parsing each document against every block
+would, without meeting every block (a test compares both).
+
+Parsing. The longest match of each position of a phrase with any other position
+of its block comes from its neighbours in the suffix array. Greedily from left
+to right the longest matches are factors (block, offset, length); those of
+``window`` words or more are duplicate spans. Windows that reach over a factor's
+boundary, and so lie in no factor, are checked by the same index one by one.
+
+A minimiser with more reference words than a block may hold is not put into one
+block: its windows are dealt by their hashes and counted (the exact way for
+the rest). Shuffled per document: about one small row for each 14 words, the
+compressed text, and the words of phrases that share a minimiser with others.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize_table, slices_by_bytes
+from .common import map_arrow, materialize_table, slices_by_bytes, spread_join
 
 R = 0x9E3779B97F4A7C15  # odd multiplier of the word-level rolling hash
 RB = 0xD6E8FEB86659FD93  # the same for bytes
@@ -65,8 +74,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     view = np.frombuffer(data, np.uint8)
     while at < len(data):
         stop = min(len(data), at + _CHUNK)
-        while stop < len(data) and not _SPACE[view[stop]]:
-            stop += 1
+        while stop < len(data):
+            space = np.flatnonzero(_SPACE[view[stop : stop + 65_536]])
+            stop += int(space[0]) if len(space) else min(65_536, len(data) - stop)
+            if len(space):
+                break
         b = view[at:stop]
         space = _SPACE[b]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
@@ -167,7 +179,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("k"), part.column("tag"), part.column("doc_id"), z], ["k", "tag", "doc_id", "z"])
 
 
-def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Word hashes of the phrases that go to a block, and window hashes (at most 4,096 a row) of those that are dealt singly."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
@@ -177,17 +190,19 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
             out: list[tuple] = []
             for k, tag, z, marks in zip(*(part.column(c).to_pylist() for c in ("k", "tag", "z", "marks")), strict=True):
                 h, _ = word_hashes(unpack(z))
-                for mark in marks:
-                    if mark["mode"]:
-                        starts = np.arange(mark["start"], mark["start"] + mark["n"])
-                        out.append((k, tag, mark["v"], mark["mode"] == 2, starts))
-                        out[-1] += (window_hashes_at(h, starts, window),)
+                for m in marks:
+                    if not m["mode"]:
+                        continue
+                    first, n = m["start"], m["n"]
+                    if not m["single"]:
+                        out.append((k, tag, m["v"], False, m["mode"] == 2, first, h[first : first + n + window - 1]))
+                        continue
+                    for at in range(first, first + n, 4096):
+                        out.append((k, tag, m["v"], True, m["mode"] == 2, at, window_hashes_at(h, np.arange(at, min(first + n, at + 4096)), window)))
             if out:
-                n = [len(x[4]) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.repeat(np.array([x[c] for x in out], kind), n)) for c, kind in ((0, np.int64), (1, np.int64), (2, np.int64), (3, bool))), pa.array(np.concatenate([x[4] for x in out]).astype(np.int32)), pa.array(np.concatenate([x[5] for x in out]).view(np.int64))],
-                    ["k", "tag", "v", "ask", "start", "w"],
-                )
+                words = pa.ListArray.from_arrays(np.cumsum([0] + [len(x[6]) for x in out]).astype(np.int32), pa.array(np.concatenate([x[6] for x in out]).view(np.int64)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)), words], ["k", "tag", "v", "single", "ask", "start", "words"])
 
 
 def window_hashes_at(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -196,6 +211,98 @@ def window_hashes_at(h: np.ndarray, starts: np.ndarray, window: int) -> np.ndarr
     return window_hashes(piece, starts - starts[0], window)
 
 
+def longest_matches(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, place) of the longest match of each position of ``x`` with another one, by a suffix array.
+
+    x: words of several phrases; ``ends``: where they end (exclusive). Matches
+    don't cross ends, as each has a separator of its own. Ranks of prefixes of
+    1, 2, 4 ... words are kept: they sort the suffixes and measure matches.
+    """
+    m = len(ends)
+    n = len(x) + m
+    at = np.arange(len(x)) + np.repeat(np.arange(m), np.diff(np.concatenate(([0], ends))))
+    rank = np.empty(n, np.int64)
+    _, ids = np.unique(x, return_inverse=True)
+    rank[at] = ids
+    separators = ends + np.arange(m)
+    rank[separators] = len(x) + np.arange(m)
+    levels = [np.unique(rank, return_inverse=True)[1]]
+    width = 1
+    while levels[-1].max() < n - 1:
+        r = levels[-1]
+        after = np.zeros(n, np.int64)
+        after[: n - width] = r[width:] + 1
+        levels.append(np.unique(r * (n + 1) + after, return_inverse=True)[1])
+        width *= 2
+    order = np.empty(n, np.int64)
+    order[levels[-1]] = np.arange(n)
+    i, j = order[:-1].copy(), order[1:].copy()
+    same = np.zeros(n - 1, np.int64)
+    for level in range(len(levels) - 2, -1, -1):
+        inside = np.flatnonzero((i < n) & (j < n))
+        eq = inside[levels[level][i[inside]] == levels[level][j[inside]]]
+        for a in (same, i, j):
+            a[eq] += 1 << level
+    length, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    before, after = np.concatenate(([0], same)), np.concatenate((same, [0]))
+    length[order] = np.maximum(before, after)
+    other = np.where(before >= after, np.concatenate(([0], order[:-1])), np.concatenate((order[1:], [0])))
+    place[order] = other
+    return length[at], place[at] - np.searchsorted(separators, place[at])
+
+
+def factors_of(length: np.ndarray, first: int, last: int, window: int) -> list[tuple[int, int]]:
+    """(position, words) of a stretch of repeated windows [first, last]: greedily the longest match at each place reached,
+    and after each the windows over its boundary, which lie in no factor and were looked up by themselves."""
+    out, p = [], first
+    while p <= last:
+        end = p + int(length[p])
+        out.append((p, end - p))
+        over, stop = end - window + 1, min(last, end - 1)
+        if over <= stop:
+            out.append((over, stop - over + window))
+        p = end
+    return out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Phrases sorted by block -> the spans of asked phrases: a factor, as far as windows over its boundaries carry it on."""
+    current, held = None, []
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        words = table.column("words").combine_chunks()
+        sizes = np.diff(words.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        length, place = longest_matches(words.flatten().to_numpy(), ends)
+        phrase = np.repeat(np.arange(len(sizes)), sizes)
+        dup = (length >= window) & table.column("ask").to_numpy()[phrase]
+        begin = np.flatnonzero(dup & ~np.concatenate(([False], dup[:-1] & (phrase[1:] == phrase[:-1]))))
+        last = np.flatnonzero(dup & ~np.concatenate((dup[1:] & (phrase[1:] == phrase[:-1]), [False])))
+        found = np.array([f for i, j in zip(begin.tolist(), last.tolist(), strict=True) for f in factors_of(length, i, j, window)], np.int64).reshape(-1, 2)
+        if len(found):
+            at, of = found[:, 0], phrase[found[:, 0]]
+            start = table.column("start").to_numpy()[of] + at - (ends - sizes)[of]
+            take = pa.array(of)
+            columns = [table.column(c).combine_chunks().take(take) for c in ("k", "tag")]
+            columns += [pa.array(x) for x in (start.astype(np.int32), found[:, 1].astype(np.int32), np.full(len(of), current), place[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "tag", "start", "words", "block", "offset"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column(batch.schema.get_field_index("block")).to_numpy()
+        edge = np.flatnonzero(block[1:] != block[:-1]) + 1
+        for a, b in zip(np.concatenate(([0], edge)), np.append(edge, len(block)), strict=True):
+            if block[a] != current:
+                yield from finish()
+                current, held = int(block[a]), []
+            held.append(batch.slice(a, b - a).select(["k", "tag", "ask", "start", "words"]))
+    yield from finish()
+
+
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -204,17 +311,16 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         for row in range(0, batch.num_rows, 64):
             part = batch.slice(row, 64)
             out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "spans", "kept_text")}
-            for z, marks, single in zip(*(part.column(c).to_pylist() for c in ("z", "marks", "single")), strict=True):
+            for z, marks, factors in zip(*(part.column(c).to_pylist() for c in ("z", "marks", "factors")), strict=True):
                 words = unpack(z).split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 for mark in marks or ():
                     if mark["mode"] < 2:
                         cover[mark["start"]] += 1
                         cover[mark["start"] + mark["n"] - 1 + window] -= 1
-                if single:
-                    at = np.array(single)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                for factor in factors or ():
+                    cover[factor["start"]] += 1
+                    cover[factor["start"] + factor["words"]] -= 1
                 gone = np.cumsum(cover[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).view(np.int8)))
                 out["n_words"].append(len(words))
@@ -223,44 +329,61 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
                 out["kept_text"].append(b" ".join(compress(words, ~gone) if len(edge) else words).decode())
             digest = [hashlib.sha256(t.encode()).hexdigest() for t in out["kept_text"]]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("tag"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(out["kept_text"], pa.string()), pa.array(digest)],
-                ["doc_id", "tag", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"],
+                [part.column("doc_id"), part.column("tag"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), part.column("factors"), pa.array(out["kept_text"], pa.string()), pa.array(digest)],
+                ["doc_id", "tag", "n_words", "n_removed", "spans", "factors", "kept_text", "kept_sha256"],
             )
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8) -> DataFrame:
-    """doc_id, tag (hash of id and text), n_words, n_removed, spans (start, length: the maximal repeated factors), kept_text, kept_sha256.
+def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8, block_words: int = 500_000) -> DataFrame:
+    """doc_id, tag (hash of id and text), n_words, n_removed, spans (start, length: the maximal repeated stretches),
+    factors (start, words, block, offset: found by parsing, beside whole phrases), kept_text, kept_sha256.
 
     A word goes if a window of ``window`` words around it starts anywhere else
     too, in another document or in the same. Null and empty texts have no word;
-    texts shorter than a window lose nothing; repeated rows are repeats of each
-    other; rows with a null doc_id take part; an empty table gives no row.
+    texts shorter than a window lose nothing; texts of any length are read
+    whole, in parts cut at white space; repeated rows are repeats of each other;
+    rows with a null doc_id take part; only doc_id and text are read, whatever
+    else there is; an empty table gives no row.
     """
     keyed = _keyed(docs)
     runs = map_arrow(keyed.select("k", "tag", "text"), lambda b: _phrases(b, window, seed), "k long, tag long, start int, n int, v long, phrase long, repeats int")
-    # The index: minimisers that occur in more than one phrase occurrence. Partial aggregation makes hot ones cheap.
+    # Minimisers that occur in more than one phrase occurrence. Partial aggregation makes hot ones cheap.
     index = runs.groupBy("v").agg(F.count("*").alias("c"), F.min("phrase").alias("a"), F.max("phrase").alias("b"), F.max("repeats").alias("r"))
     index = index.where("c > 1 or r > 0").select(F.col("v").alias("iv"), ((F.col("a") != F.col("b")) | (F.col("r") > 0)).alias("fine"))
     # Written, so that the join is a plain shuffled one: Spark splits the partition of a minimiser that many texts share.
     index = materialize_table(index)
     marked = materialize_table(runs.join(index, F.col("v") == F.col("iv")).select("k", "tag", "start", "n", "v", "phrase", "fine"))
-    # Phrases seen twice are factors as a whole; one of them stands for all when windows at boundaries are compared.
-    classes = marked.where("fine").groupBy("v", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("k", "tag", "start")).alias("first"))
-    classes = classes.select(F.col("v").alias("cv"), F.col("phrase").alias("cp"), "c", "first")
-    fine = marked.where("fine").join(classes, (F.col("v") == F.col("cv")) & (F.col("phrase") == F.col("cp")))
+    # Phrases seen twice are factors as a whole; the first of them stands for all in the reference.
+    fine = marked.where("fine")
+    classes = fine.groupBy("v", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("k", "tag", "start")).alias("first"), F.first("n").alias("_n"))
+    classes = materialize_table(classes)
+    # A minimiser's reference words, for its block; more than a fifth of a block go singly.
+    per = classes.groupBy("v").agg(F.sum(F.col("_n") + (window - 1)).alias("_w")).select("v", (F.col("_w") > block_words // 5).alias("single"))
+    classes = materialize_table(spread_join(classes, per, ["v"], ["phrase"]).drop("_n"))
+    fine = spread_join(fine, classes, ["v", "phrase"], ["k", "tag", "start"])
     mode = F.when(F.col("c") == 1, 2).when(F.col("first") == F.struct("k", "tag", "start"), 1).otherwise(0)
-    moded = fine.select("k", "tag", "start", "n", "v", mode.alias("mode")).unionByName(marked.where("not fine").select("k", "tag", "start", "n", "v", F.lit(0).alias("mode")))
-    marks = materialize_table(moded.groupBy("k", "tag").agg(F.collect_set(F.struct("start", "n", "v", "mode")).alias("marks")))
-    packed = map_arrow(keyed, _packed, "k long, tag long, doc_id long, z binary").repartition("k", "tag")
-    asking = marks.where(F.exists("marks", lambda m: m["mode"] > 0))
-    rows = packed.join(asking, ["k", "tag"]).select("k", "tag", "z", "marks")
-    windows = materialize_table(map_arrow(rows, lambda b: _boundary_windows(b, window), "k long, tag long, v long, ask boolean, start int, w long"))
-    twice = windows.groupBy("v", "w").agg(F.count("*").alias("c")).where("c > 1").select(F.col("v").alias("tv"), F.col("w").alias("tw"))
-    twice = materialize_table(twice)
-    found = windows.where("ask").join(twice, (F.col("v") == F.col("tv")) & (F.col("w") == F.col("tw")), "left_semi")
-    single = found.groupBy("k", "tag").agg(F.collect_set("start").alias("single"))
-    whole = packed.join(marks, ["k", "tag"], "left").join(single, ["k", "tag"], "left").select("doc_id", "tag", "z", "marks", "single")
-    schema = "doc_id long, tag long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, kept_text string, kept_sha256 string"
+    moded = fine.select("k", "tag", "start", "n", "v", mode.alias("mode"), "single").unionByName(marked.where("not fine").select("k", "tag", "start", "n", "v", F.lit(0).alias("mode"), F.lit(False).alias("single")))
+    marks = moded.groupBy("k", "tag").agg(F.collect_set(F.struct("start", "n", "v", "mode", "single")).alias("marks"))
+    packed = map_arrow(keyed, _packed, "k long, tag long, doc_id long, z binary")
+    whole = materialize_table(packed.join(marks, ["k", "tag"], "left"))
+    asking = whole.where(F.exists("marks", lambda m: m["mode"] > 0)).select("k", "tag", "z", "marks")
+    contents = materialize_table(map_arrow(asking, lambda b: _contents(b, window), "k long, tag long, v long, single boolean, ask boolean, start int, words array<long>"))
+    words = contents.where("NOT single").agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(64, -(-words // block_words))
+    phrases = contents.where("NOT single").withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks))).select("block", "k", "tag", "ask", "start", "words")
+    found = map_arrow(phrases.repartition("block").sortWithinPartitions("block"), lambda b: _parsed(b, window), "k long, tag long, start int, words int, block long, offset long")
+    # The rest: windows one by one, dealt by their hashes.
+    singly = contents.where("single").select("k", "tag", "v", "ask", "start", F.posexplode("words").alias("_i", "w"))
+    singly = singly.select("k", "tag", "v", "ask", (F.col("start") + F.col("_i")).alias("start"), "w")
+    if not contents.where("single").isEmpty():
+        singly = materialize_table(singly)
+        twice = materialize_table(singly.groupBy("v", "w").agg(F.count("*").alias("c")).where("c > 1").select("v", "w"))
+        one = spread_join(singly.where("ask"), twice, ["v", "w"], ["k", "tag", "start"])
+        found = found.unionByName(one.select("k", "tag", "start", F.lit(window).alias("words"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("offset")))
+    factors = found.groupBy("k", "tag").agg(F.array_sort(F.collect_set(F.struct("start", "words", "block", "offset"))).alias("factors"))
+    whole = whole.join(factors, ["k", "tag"], "left").select("doc_id", "tag", "z", "marks", "factors")
+    factor = "array<struct<start: int, words: int, block: long, offset: long>>"
+    schema = f"doc_id long, tag long, n_words long, n_removed long, spans array<struct<start: long, length: long>>, factors {factor}, kept_text string, kept_sha256 string"
     return map_arrow(whole, lambda b: _cut(b, window), schema)
 
 
@@ -268,11 +391,12 @@ def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated passages, all columns kept: a text that loses words becomes its kept words, joined by one
     space (``n_chars``, where present, follows); one that loses none stays as it was; one that loses all of them goes."""
     cut = remove_repeats(docs, **options).where("n_removed > 0")
-    cut = cut.select(F.coalesce("doc_id", F.lit(-1)).alias("_k"), F.col("tag").alias("_tag"), "kept_text", (F.col("n_removed") == F.col("n_words")).alias("_gone")).dropDuplicates(["_k", "_tag"])
+    cut = cut.select(F.coalesce("doc_id", F.lit(-1)).alias("k"), "tag", "kept_text", (F.col("n_removed") == F.col("n_words")).alias("gone")).dropDuplicates(["k", "tag"])
+    # The document as one struct: no name of its columns can clash.
     tag = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_text_tag", tag)
-    rows = rows.join(cut, (F.col("_doc") == F.col("_k")) & (F.col("_text_tag") == F.col("_tag")), "left").where(~F.coalesce("_gone", F.lit(False)))
-    out = {"text": F.coalesce("kept_text", "text")}
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), tag.alias("tag"), F.struct(*docs.columns).alias("d"))
+    rows = rows.join(cut, ["k", "tag"], "left").where(~F.coalesce("gone", F.lit(False)))
+    out = {"text": F.coalesce("kept_text", "d.text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+        out["n_chars"] = F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[out[c].alias(c) if c in out else F.col("d").getField(c).alias(c) for c in docs.columns])

@@ -93,6 +93,65 @@ def test_substring_dedup(spark, corpus, window, seed):
         assert sum(s["length"] for s in r["spans"]) == len(g)
 
 
+@pytest.mark.parametrize("block_words", [500_000, 300])
+def test_parsing_by_minimiser_loses_no_factor(spark, corpus, block_words):
+    """Longest matches against every other text, position by position, against what the routed parse covers; with tiny
+    blocks most minimisers take the way of single windows."""
+    gone = brute_repeats(corpus, 12)
+    parsed = 0
+    for r in substring_dedup.remove_repeats(frame(spark, corpus), 12, 4, block_words).collect():
+        covered = {i for s in r["spans"] for i in range(s["start"], s["start"] + s["length"])}
+        assert covered == gone[r["doc_id"]]
+        for f in r["factors"] or ():
+            parsed += f["block"] is not None
+            assert f["words"] >= 12 and set(range(f["start"], f["start"] + f["words"])) <= covered
+    assert parsed > 20 or block_words == 300
+
+
+def test_longest_matches_are_those_of_brute_force():
+    rng = np.random.default_rng(0)
+    phrases = [rng.integers(0, 3, rng.integers(1, 40)) for _ in range(30)]
+    x, ends = np.concatenate(phrases), np.cumsum([len(p) for p in phrases])
+    length, place = substring_dedup.longest_matches(x, ends)
+    stop = np.repeat(ends, [len(p) for p in phrases])
+
+    def common(i, j):
+        n = 0
+        while i + n < stop[i] and j + n < stop[j] and x[i + n] == x[j + n]:
+            n += 1
+        return n
+
+    for i in range(len(x)):
+        assert length[i] == max(common(i, j) for j in range(len(x)) if j != i)
+        assert length[i] == 0 or (place[i] != i and common(i, place[i]) == length[i])
+
+
+def test_factors_are_greedy_with_windows_over_boundaries():
+    assert substring_dedup.factors_of(np.array([0, 0, 6, 5, 7, 6, 5, 4, 5, 4, 3]), 2, 8, 4) == [(2, 6), (5, 6), (8, 5)]
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts far beyond the parts in which words are hashed, one of them without white space."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(50))
+    long = [" ".join(str(rng.randint(0, 10**9)) for _ in range(150_000)) for _ in range(2)]
+    texts = [f"{long[0]} {passage} tail", f"{passage} {long[1]}", "y" * 3_000_000, "z " * 40_000]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert [(got[i]["n_words"], got[i]["n_removed"]) for i in range(4)] == [(150_051, 50), (150_050, 50), (1, 0), (40_000, 40_000)]
+    prints = {r["doc_id"]: r["fp"] % 2**64 for r in simhash.near_duplicates(docs).collect()}
+    assert all(prints[i] == brute_fingerprint(t) for i, t in enumerate(texts) if i != 1)
+    assert [r["size"] for r in mixing.plan(docs).orderBy("doc_id").collect()] == [150_051, 150_050, 1, 40_000]
+
+
+def test_words_are_hashed_alike_in_parts(monkeypatch):
+    data = " ".join(f"w{i}" for i in range(500)).encode() + b"\t" + b"x" * 700 + b" end"
+    whole = substring_dedup.word_hashes(data)
+    monkeypatch.setattr(substring_dedup, "_CHUNK", 64)
+    parts = substring_dedup.word_hashes(data)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 def test_random_small_alphabet(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(40)]
