@@ -114,18 +114,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    text = ", ".join(f"({n}, '{name}', '{bigram}', {times}, {of})" for n, name, bigram, times, of in licenses.template_bigrams())
+    rows = licenses.template_rows()
+    text = ", ".join(f"({n}, '{name}', '{anchor}', {place}, {size})" for n, name, anchor, place, size, _ in rows)
+    sets = ", ".join(f"({n}, [{', '.join(repr(x) for x in bigrams)}])" for n, bigrams in {r[0]: r[5] for r in rows}.items())
     return f"""
-WITH known(template, license, bigram, times, total) AS (VALUES {text}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL),
-u AS (SELECT rid, doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS unit FROM d
-      UNION ALL SELECT rid, doc_id, 0, text FROM d WHERE contains(text, chr(10))),
-w AS (SELECT rid, doc_id, line, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM u),
-b AS (SELECT rid, doc_id, line, len(words) - 1 AS n, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(words))) AS i FROM w)),
-s AS (SELECT rid, doc_id, line, n, template, license, total, pair, least(count(*), max(times)) AS both_ FROM b JOIN known ON pair = bigram GROUP BY ALL),
-f AS (SELECT rid, doc_id, line, n, template, license, 2.0::DOUBLE * sum(both_) / (n + total) AS dice FROM s GROUP BY rid, doc_id, line, n, template, license, total)
-SELECT doc_id, CAST(line AS INTEGER) AS line, license, dice, CAST(n AS BIGINT) AS bigrams
-FROM (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY dice DESC, license, template) AS place FROM f WHERE dice >= {licenses.THRESHOLD}) WHERE place = 1
+WITH known(template, license, anchor, place, size) AS (VALUES {text}),
+sets(template, bigrams) AS (VALUES {sets}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM documents WHERE text IS NOT NULL),
+p AS (SELECT rid, doc_id, words, i, words[i + 1] || ' ' || words[i + 2] AS pair FROM (SELECT *, unnest(range(0, len(words) - 1)) AS i FROM d)),
+h AS (SELECT rid, doc_id, words, template, license, greatest(0, i - place) AS start, least(len(words), i - place + size) AS stop FROM p JOIN known ON pair = anchor),
+u AS (SELECT DISTINCT rid, doc_id, template, license, start, stop - start AS n, words[start + 1:stop] AS unit FROM h),
+b AS (SELECT rid, doc_id, template, license, start, n, bigrams, list_distinct(list_transform(range(1, n), lambda i: unit[i] || ' ' || unit[i + 1])) AS own FROM u JOIN sets USING (template)),
+f AS (SELECT rid, doc_id, template, license, start, n, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM b),
+g AS (SELECT * FROM f WHERE dice >= {licenses.THRESHOLD})
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS words, license, dice FROM g a
+WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.rid = a.rid AND a.start < b.start + b.n AND b.start < a.start + a.n
+                  AND row(-b.dice, -b.n, b.license, b.template, b.start) < row(-a.dice, -a.n, a.license, a.template, a.start))
 """
 
 

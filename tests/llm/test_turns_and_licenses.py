@@ -34,48 +34,79 @@ def test_edges(spark):
     assert preference.segments(turns(spark, rows[:1]).where("turn > 9")).count() == 0
 
 
-def brute_scan(text, threshold=0.8):
-    def bag(t):
-        w = re.sub("[^a-z0-9]+", " ", t.lower()).split()
-        return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-
-    units = list(enumerate(text.split("\n"), 1)) + ([(0, text)] if "\n" in text else [])
-    out = []
-    for line, unit in units:
-        a = bag(unit)
-        best = None
-        for number, (name, template) in enumerate(licenses.TEMPLATES):
-            b = bag(template)
-            both = sum(min(a.count(x), b.count(x)) for x in set(a))
-            d = 2 * both / (len(a) + len(b)) if a else 0
+def brute_scan(text, threshold=licenses.THRESHOLD):
+    """Every template laid at every place of the text, without anchors; of overlapping fits the best."""
+    w = licenses.words_of(text)
+    pairs = lambda x: {f"{a} {b}" for a, b in zip(x, x[1:], strict=False)}
+    fits = []
+    for number, (name, template) in enumerate(licenses.TEMPLATES):
+        t = licenses.words_of(template)
+        b = pairs(t)
+        for at in range(1 - len(t), len(w)):
+            start, stop = max(0, at), min(len(w), at + len(t))
+            a = pairs(w[start:stop])
+            d = 2 * len(a & b) / (len(a) + len(b)) if a else 0
             if d >= threshold:
-                best = min(best or (2,), (-d, name, number))
-        if best:
-            out.append((line, best[1], round(-best[0], 9)))
-    return out
+                fits.append((-d, start - stop, name, number, start, stop))
+    fits = sorted(set(fits))
+    return fits
+
+
+def the_best(fits):
+    return sorted({(f[4], f[5] - f[4], f[2], round(-f[0], 9)) for f in fits if not any(g < f and g[4] < f[5] and f[4] < g[5] for g in fits)})
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, words string, n int")
+    out = {}
+    for r in licenses.scan(docs).collect():
+        out.setdefault(r["doc_id"], []).append((r["start"], r["words"], r["license"], round(r["dice"], 9)))
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def of(name, least=300):
+    return next(t for n, t in licenses.TEMPLATES if n == name and len(t) > least)
 
 
 def test_licenses(spark):
-    mit = next(t for n, t in licenses.TEMPLATES if n == "mit" and len(t) > 500)
-    texts = ["Some words.\nReleased under the MIT License!\nmore", "released under THE mit license", mit, mit.replace(". ", ".\n"), "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0", "under the mit license license license", "one", "", None, "\n\n", "nothing of the kind " * 500]
-    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(1, texts[1], "x", 1)], "doc_id long, text string, line string, n int")
-    got = sorted((r["doc_id"], r["line"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs).collect())
-    want = sorted((i, *x) for i, t in [*enumerate(texts), (1, texts[1])] if t for x in brute_scan(t))
-    assert got == want and len(want) > 6
-    assert licenses.scan(docs.where("doc_id < 0")).count() == 0
-
-
-def test_licenses_at_the_size_bounds(spark):
-    """Units of exactly 1.5 and 2/3 times a template's bigrams, whose Dice is the threshold itself."""
-    texts = ["(c) All rights reserved.", "It is released under the MIT License."]
+    """Whole notices are where brute force has its best fit, and nothing is found where it has none."""
+    mit = of("mit")
+    texts = ["Some words.\nReleased under the MIT License!\nmore", "released under THE mit license", mit, mit.replace(". ", ".\n"), "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0", "under the mit license license license", "one", "", None, "\n\n", "nothing of the kind " * 500, "(c) All rights reserved. All rights reserved"]
+    texts += [" ".join(["before"] * 9 + licenses.words_of(t) + ["after"] * 9) for _, t in licenses.TEMPLATES]
+    got = found(spark, texts)
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == the_best(brute_scan(t or "")), t
+    docs = spark.createDataFrame([(None, mit), (None, mit)], "doc_id long, text string")
+    assert licenses.scan(docs).count() == 2 and licenses.scan(docs.where("doc_id < 0")).count() == 0
+
+
+def test_embedded_and_truncated_notices(spark):
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(300))
+    wrap = lambda t, mark, n=9: "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    cut = lambda t, share: " ".join(t.split()[: int(len(t.split()) * share)])
+    texts = [
+        wrap(of("mit"), " * ") + "\n" + code, code + "\n" + wrap(of("gpl-3.0-or-later", 100), "# ") + "\n" + code, "word " * 20_000 + of("apache-2.0") + " word" * 20_000,
+        wrap("Copyright 2001 Someone. " + of("bsd-3-clause"), "// ") + code, cut(of("mit"), 0.75), code + cut(of("zlib"), 0.8), cut(of("mit"), 0.5), of("mit").replace("the", "a"), of("mit") + "\n" + of("isc"),
+    ]
+    got = {i: [x[2] for x in v] for i, v in found(spark, texts).items()}
+    assert got == {0: ["mit"], 1: ["gpl-3.0-or-later"], 2: ["apache-2.0"], 3: ["bsd-3-clause"], 4: ["mit"], 5: ["zlib"], 7: ["mit"], 8: ["mit", "isc"]}
+
+
+def test_units_at_the_size_bound(spark):
+    """Texts that end after two thirds of a template's bigrams, whose Dice is the threshold itself."""
+    texts = []
+    for _, template in licenses.TEMPLATES:
+        w = licenses.words_of(template)
+        n = len({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+        if n % 3 == 0 and n == len(w) - 1:
+            texts.append(" ".join(w[: n * 2 // 3 + 1]))
+    got = found(spark, texts)
+    want = {i: the_best(brute_scan(t)) for i, t in enumerate(texts)}
+    assert {i: x for i, x in want.items() if x} == got and sum(x[-1][3] == 0.8 for x in want.values() if x) >= 2
+
+
+def test_anchors_leave_no_fit_of_short_templates_out():
     for _, template in licenses.TEMPLATES:
-        words = re.sub("[^a-z0-9]+", " ", template.lower()).split()
-        of = len(words) - 1
-        if of % 2 == 0:
-            texts.append(" ".join(words + [f"pad{i}" for i in range(of // 2)]))
-        if of % 3 == 0:
-            texts.append(" ".join(words[: of * 2 // 3 + 1]))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r["doc_id"], r["line"], r["license"], round(r["dice"], 9)) for r in licenses.scan(docs).collect())
-    want = sorted((i, *x) for i, t in enumerate(texts) for x in brute_scan(t))
-    assert got == want and sum(x[3] == 0.8 for x in want) >= 15
+        w = licenses.words_of(template)
+        n, places = len(w) - 1, licenses.anchors(w)
+        assert len(set(places)) == len(places) == min(8, int(n / 3 + 1e-9) + 1)
