@@ -72,6 +72,37 @@ def slices_by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int =
             start = stop
 
 
+def pieces(keys: pa.RecordBatch, found: list[tuple | None], kinds: list[pa.DataType], names: list[str], longest: int = 512) -> Iterator[pa.RecordBatch]:
+    """Rows of sparse arrays (None: left out) as rows of at most ``longest`` entries with a ``part`` number, so that a batch
+    of rows is bounded whatever the texts are."""
+    import numpy as np
+
+    out = [(i, part, [a[part * longest : (part + 1) * longest] for a in arrays]) for i, arrays in enumerate(found) if arrays is not None for part in range(max(1, -(-len(arrays[0]) // longest)))]
+    if out:
+        take = pa.array([o[0] for o in out])
+        lists = [pa.array([o[2][k] for o in out], pa.list_(kind)) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*(c.take(take) for c in keys.columns), pa.array(np.array([o[1] for o in out], np.int32)), *lists], [*keys.schema.names, "part", *names])
+
+
+def joined(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[dict]:
+    """Pieces in order, put together again: a dict of each row, its arrays as numpy."""
+    import numpy as np
+
+    row: dict | None = None
+    for batch in batches:
+        plain = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names) if c not in names}
+        lists = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+        for i in range(batch.num_rows):
+            if row is None or any(row[k] != plain[k][i] for k in keys):
+                if row is not None:
+                    yield row | {c: np.concatenate(row[c]) for c in names}
+                row = {c: v[i] for c, v in plain.items()} | {c: [] for c in names}
+            for c in names:
+                row[c].append(lists[c][i].values.to_numpy(zero_copy_only=False))
+    if row is not None:
+        yield row | {c: np.concatenate(row[c]) for c in names}
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with this package on the workers."""
     ensure_on_workers(df.sparkSession)

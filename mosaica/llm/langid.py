@@ -7,10 +7,11 @@ length. The model is trained with follow-the-regularised-leader (proximal
 updates with per-coordinate rates, elastic-net penalties) on a bounded sample of
 labelled documents, then its temperature is calibrated on another part of them.
 
-Spark counts document frequencies over every training text, reduces the sample's
-texts to sparse counts on the executors (at most ``dim`` numbers a document, so
-what reaches the driver is bounded by sample size and dimension, never by text)
-and scores all texts with the small model.
+Spark counts document frequencies over every training text and reduces the
+sample's texts to sparse counts, in pieces of bounded size. Those stream through
+one task in seeded order, as the updates are sequential: it holds the updates'
+state (``dim`` x languages) and one document at a time. The driver gets the
+weights that are not zero; most are, as the l1 penalty is chosen for that.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, slices_by_bytes
+from .common import held_out, joined, map_arrow, materialize_table, pieces, slices_by_bytes
 
 UNKNOWN = "und"
 _CHUNK = 1 << 18
@@ -85,52 +86,70 @@ def vector(ids: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Sparse weights by feature: those of feature i are at first[i] .. first[i + 1], each with its language's number."""
+
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # dim x languages
+    first: np.ndarray
+    of: np.ndarray
+    weight: np.ndarray
     bias: np.ndarray
     temperature: float
     dim: int
     longest: int
 
+    def logits(self, ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return self.bias + products(self.first, self.of, self.weight, ids, x, len(self.languages))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = counts(text, self.dim, self.longest) if text else None
         if found is None or not self.languages:
             return UNKNOWN, 0.0
-        p = softmax((vector(*found, self.idf) @ self.weights[found[0]] + self.bias) / self.temperature)
+        p = softmax(self.logits(found[0], vector(*found, self.idf)) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
 
+def products(first: np.ndarray, of: np.ndarray, weight: np.ndarray, ids: np.ndarray, x: np.ndarray, classes: int) -> np.ndarray:
+    n = first[ids + 1] - first[ids]
+    at = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.bincount(of[at], weights=weight[at] * np.repeat(x, n), minlength=classes)
+
+
+def by_feature(feature: np.ndarray, dim: int) -> np.ndarray:
+    """Where each feature's weights begin, for weights sorted by feature."""
+    return np.searchsorted(feature, np.arange(dim + 1))
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int, classes: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias after passes in seeded order; only a row's own coordinates are touched."""
-    z, n = np.zeros((dim + 1, classes)), np.zeros((dim + 1, classes))
-
-    def current(at: np.ndarray) -> np.ndarray:
-        zz = z[at]
-        w = (np.sign(zz) * l1 - zz) / ((beta + np.sqrt(n[at])) / alpha + l2)
-        return np.where(np.abs(zz) <= l1, 0.0, w)
-
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for r in order.permutation(len(rows)):
-            ids, x, y = rows[r]
-            at = np.append(ids, dim)
-            x = np.append(x, 1.0)
-            w = current(at)
-            p = softmax(x @ w)
-            p[y] -= 1
-            g = x[:, None] * p[None, :]
-            sq = n[at]
-            z[at] += g - (np.sqrt(sq + g * g) - np.sqrt(sq)) / alpha * w
-            n[at] = sq + g * g
-    w = current(np.arange(dim + 1))
-    return w[:dim], w[dim]
+class Ftrl:
+    """Follow-the-regularised-leader with per-coordinate rates and elastic net; a row touches its own coordinates only.
+    The last coordinate is the bias, whose input is 1."""
+
+    def __init__(self, dim: int, classes: int, alpha: float, beta: float, l1: float, l2: float):
+        self.z, self.n = np.zeros((dim + 1, classes)), np.zeros((dim + 1, classes))
+        self.alpha, self.beta, self.l1, self.l2, self.dim = alpha, beta, l1, l2, dim
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        z = self.z[at]
+        # The bias isn't penalised.
+        l1 = np.where(at == self.dim, 0.0, self.l1)[:, None]
+        w = (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
+        return np.where(np.abs(z) <= l1, 0.0, w)
+
+    def step(self, ids: np.ndarray, x: np.ndarray, y: int) -> None:
+        at, x = np.append(ids, self.dim), np.append(x, 1.0)
+        w = self.weights(at)
+        p = softmax(x @ w)
+        p[y] -= 1
+        g = x[:, None] * p[None, :]
+        sq = self.n[at]
+        self.z[at] += g - (np.sqrt(sq + g * g) - np.sqrt(sq)) / self.alpha * w
+        self.n[at] = sq + g * g
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
@@ -157,7 +176,7 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(
     docs: DataFrame, dim: int = 1 << 15, longest: int = 3, sample: int = 4000, calibration: int = 1000,
-    alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, epochs: int = 2, seed: int = 5,
+    alpha: float = 0.5, beta: float = 1.0, l1: float = 1.0, l2: float = 1e-4, epochs: int = 2, seed: int = 5,
 ) -> Model:
     """Learn from text and lang of the rows whose crc32(doc_id) mod 4 is not 2.
 
@@ -193,30 +212,49 @@ def train(
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_by_bytes(batches, "text"):
-            ok, ids, ns = [], [], []
-            for i, t in enumerate(part.column("text").to_pylist()):
-                c = counts(t, dim, longest)
-                if c is not None:
-                    ok.append(i)
-                    ids.append(c[0])
-                    ns.append(c[1])
-            if ok:
-                yield pa.RecordBatch.from_arrays([part.column("h").take(pa.array(ok)), part.column("lang").take(pa.array(ok)), pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], ["h", "lang", "ids", "ns"])
-
-    # The hashes that bound the sample, found without texts: only the sample's texts are then reduced and collected.
+            found = [counts(t, dim, longest) for t in part.column("text").to_pylist()]
+            yield from pieces(part.select(["r", "h", "lang"]), found, [pa.int32(), pa.int32()], ["ids", "ns"])
+
+    # The hashes that bound the sample, found without texts: only the sample's texts are then reduced.
     limit = sample + calibration
     top = chosen.select("h").orderBy("h").limit(limit).agg(F.max("h"), F.count("*")).first()
+    nothing = Model([], idf, np.zeros(dim + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 1.0, dim, longest)
     if not top[1]:
-        return Model([], idf, np.zeros((dim, 0)), np.zeros(0), 1.0, dim, longest)
-    got = map_arrow(chosen.where(F.col("h") <= top[0]).select("h", "lang", "text"), sparse, "h long, lang string, ids array<int>, ns array<int>").orderBy("h").limit(limit).collect()
-    languages = sorted({r["lang"] for r in got})
-    data = [(np.array(r["ids"]), vector(np.array(r["ids"]), np.array(r["ns"]), idf), languages.index(r["lang"])) for r in got]
-    # Part by hash order: the last fifth calibrates.
-    cut = max(1, len(data) * sample // limit)
-    weights, bias = ftrl(data[:cut], dim, len(languages), alpha, beta, l1, l2, epochs, seed)
-    held = data[cut:]
-    logits = np.array([x @ weights[ids] + bias for ids, x, _ in held]).reshape(len(held), len(languages))
-    return Model(languages, idf, weights, bias, calibrate(logits, np.array([y for *_, y in held], int)), dim, longest)
+        return nothing
+    taken = chosen.where(F.col("h") <= top[0]).select(F.monotonically_increasing_id().alias("r"), "h", "lang", "text")
+    taken = materialize_table(map_arrow(taken, sparse, "r long, h long, lang string, part int, ids array<int>, ns array<int>"))
+    languages = [r[0] for r in taken.select("lang").distinct().orderBy("lang").limit(limit).collect()]
+    if not languages:
+        return nothing
+    # One part in five calibrates; the others come once an epoch, in an order seeded by it.
+    held = F.pmod(F.xxhash64("h", F.lit("calibrate")), F.lit(limit)) < calibration
+    turns = F.when(held, F.array(F.lit(epochs))).otherwise(F.sequence(F.lit(0), F.lit(epochs - 1)))
+    stream = taken.withColumn("turn", F.explode(turns)).withColumn("place", F.xxhash64("h", "turn", F.lit(seed)))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Ftrl(dim, len(languages), alpha, beta, l1, l2)
+        logits, truth, dense = [], [], None
+        for row in joined(batches, ["turn", "r"], ["ids", "ns"]):
+            ids, y = row["ids"], languages.index(row["lang"])
+            x = vector(ids, row["ns"], idf)
+            if row["turn"] < epochs:
+                model.step(ids, x, y)
+                continue
+            dense = model.weights(np.arange(dim + 1)) if dense is None else dense
+            logits.append(x @ dense[ids] + dense[dim])
+            truth.append(y)
+        dense = model.weights(np.arange(dim + 1)) if dense is None else dense
+        at, of = np.nonzero(dense[:dim])
+        classes = np.arange(len(languages))
+        t = calibrate(np.array(logits).reshape(len(truth), len(languages)), np.array(truth, int))
+        columns = [np.concatenate((at, np.full(len(classes), dim), [dim + 1])), np.concatenate((of, classes, [0])), np.concatenate((dense[at, of], dense[dim], [t]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["feature", "of", "weight"])
+
+    # One task: at most ``sample`` + ``calibration`` documents, each in pieces, pass by it in order.
+    fit = map_arrow(stream.repartition(1).sortWithinPartitions("turn", "place", "r", "part"), fitted, "feature long, of long, weight double")
+    got = fit.toPandas().sort_values(["feature", "of"])  # at most (dim + 1) x languages + 1 rows
+    w = got[got.feature < dim]
+    return Model(languages, idf, by_feature(w.feature.to_numpy(), dim), w.of.to_numpy(), w.weight.to_numpy(), got.weight[got.feature == dim].to_numpy(), float(got.weight.iloc[-1]), dim, longest)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow, slices_by_bytes
+from .common import held_out, joined, map_arrow, materialize_table, pieces, slices_by_bytes
 from .substring_dedup import word_hashes
 
 #: Structure statistics and metadata, in the order of ``structure``.
@@ -95,6 +95,89 @@ def interactions(w0: float, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> floa
     return float(w0 + x @ w + 0.5 * (s @ s - ((x * x) @ (v * v)).sum()))
 
 
+class Machine:
+    """Adaptive-gradient descent on log loss, one row at a time; a row touches its own features only."""
+
+    def __init__(self, model: Model, rate: float, l2: float):
+        self.m, self.rate, self.l2 = model, rate, l2
+        self.gw, self.gv = np.full(model.w.shape, 1e-2), np.full(model.v.shape, 1e-2)
+
+    def step(self, ids: np.ndarray, x: np.ndarray, y: float) -> None:
+        m = self.m
+        x = m.prepared(ids, x)
+        w, v = m.w[ids], m.v[ids]
+        s = x @ v
+        out = m.w0 + x @ w + 0.5 * (s @ s - ((x * x) @ (v * v)).sum())
+        g = 1 / (1 + np.exp(-np.clip(out, -35, 35))) - y
+        m.w0 -= 0.01 * g
+        dw = g * x + self.l2 * w
+        dv = g * (x[:, None] * s[None, :] - (x * x)[:, None] * v) + self.l2 * v
+        self.gw[ids] += dw * dw
+        self.gv[ids] += dv * dv
+        m.w[ids] = w - self.rate * dw / np.sqrt(self.gw[ids])
+        m.v[ids] = v - self.rate * dv / np.sqrt(self.gv[ids])
+
+
+def start(dim: int, rank: int, share: float, mean: np.ndarray, scale: np.ndarray, seed: int) -> Model:
+    """The machine before its first row: the labels' share as bias, and small seeded factors."""
+    size, share = dim + len(STATISTICS), min(max(share, 0.01), 0.99)
+    return Model(dim, float(np.log(share / (1 - share))), np.zeros(size), np.random.default_rng(seed).normal(0, 0.02, (size, rank)), mean, scale)
+
+
+def train(docs: DataFrame, labels: DataFrame, dim: int = 1 << 16, rank: int = 8, sample: int = 6000, epochs: int = 4, rate: float = 0.1, l2: float = 1e-5, seed: int = 9) -> Model:
+    """Learn ``quality`` from labelled rows whose crc32(doc_id) mod 4 is not 2.
+
+    ``sample`` bounds what is fitted: the labelled ids of smallest hash. Only
+    their ids are broadcast. Their features, in pieces of bounded size, stream
+    through one task in seeded order, as the updates are sequential; the driver
+    gets the factors, whose size is fixed. Null labels and ids teach nothing; an
+    id with several labels has their mean; without labels every score is 0.5.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
+    marks = marks.groupBy("_id").agg(F.avg("_y").alias("y")).withColumn("h", F.xxhash64("_id", F.lit(seed))).orderBy("h", "_id").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    # At most `sample` ids: a size fixed by the parameter, not by the data.
+    rows = texts.join(F.broadcast(marks), "_id").select(F.monotonically_increasing_id().alias("r"), "h", "y", "text")
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices_by_bytes(batches, "text"):
+            found = [features(t, dim) for t in part.column("text").to_pylist()]
+            yield from pieces(part.select(["r", "h", "y"]), found, [pa.int64(), pa.float64()], ["ids", "x"])
+
+    taken = materialize_table(map_arrow(rows, sparse, "r long, h long, y double, part int, ids array<long>, x array<double>"))
+    # The last piece of a row ends with its statistics.
+    k = len(STATISTICS)
+    last = taken.select("y", "part", F.posexplode("ids").alias("i", "id"), F.col("x")).where(F.col("id") >= dim).select("y", (F.col("id") - dim).alias("s"), F.element_at("x", F.col("i") + 1).alias("x"))
+    found = {r["s"]: r for r in last.groupBy("s").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.avg("y").alias("share")).collect()}  # a row for each statistic
+    mean = np.array([found[i]["mean"] if found else 0.0 for i in range(k)])
+    scale = np.array([max(found[i]["sd"], 1e-3) if found else 1.0 for i in range(k)])
+    model = start(dim, rank, found[0]["share"] if found else 0.5, mean, scale, seed)
+    if not found:
+        return model
+    stream = taken.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("place", F.xxhash64("h", "turn", F.lit(seed)))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(start(dim, rank, found[0]["share"], mean, scale, seed), rate, l2)
+        for row in joined(batches, ["turn", "r"], ["ids", "x"]):
+            machine.step(row["ids"], row["x"], row["y"])
+        m = machine.m
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(m.w))), pa.array(np.concatenate(([m.w0], m.w))), pa.array([None, *m.v], pa.list_(pa.float64()))], ["feature", "w", "v"])
+
+    got = map_arrow(stream.repartition(1).sortWithinPartitions("turn", "place", "r", "part"), fitted, "feature long, w double, v array<double>").toPandas().sort_values("feature")  # dim + 16 rows
+    return Model(dim, float(got.w.iloc[0]), got.w.to_numpy()[1:].copy(), np.stack(got.v.to_numpy()[1:]), mean, scale)
+
+
+def score(self, text: str | None) -> float:
+        ids, x = features(text, self.dim)
+        return float(1 / (1 + np.exp(-np.clip(interactions(self.w0, self.w[ids], self.v[ids], self.prepared(ids, x)), -35, 35))))
+
+
+def interactions(w0: float, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> float:
+    """The machine's sum for one row, linear in its features: the square of sums less the sum of squares."""
+    s = x @ v
+    return float(w0 + x @ w + 0.5 * (s @ s - ((x * x) @ (v * v)).sum()))
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], dim: int, rank: int, epochs: int, rate: float, l2: float, seed: int) -> Model:
     """Adaptive-gradient descent on log loss, in seeded order."""
     rng = np.random.default_rng(seed)

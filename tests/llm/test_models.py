@@ -37,6 +37,131 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_weights_are_sparse_and_those_of_dense_updates(spark):
+    """The model of a table of texts against updates of all coordinates, written down plainly, in the same order."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    words = {"en": "the cat and dog of house with tree".split(), "fr": "le chat et chien de maison avec arbre".split(), "de": "die katze und hund von haus mit baum".split()}
+    rows = [(i, " ".join(rng.choice(words[lang], rng.integers(3, 12))), lang) for i, lang in enumerate(["en", "fr", "de"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    options = {"dim": 256, "longest": 2, "sample": 60, "calibration": 20, "alpha": 0.5, "beta": 1.0, "l1": 0.5, "l2": 1e-2, "epochs": 3, "seed": 5}
+    model = langid.train(docs, **options)
+    dense = np.zeros((256, 3))
+    dense[np.repeat(np.arange(256), np.diff(model.first)), model.of] = model.weight
+
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    got = [langid.counts(t, 256, 2) for _, t, _ in seen]
+    df = np.zeros(256)
+    for ids, _ in got:
+        df[ids] += 1
+    idf = np.log((1 + len(seen)) / (1 + df)) + 1
+    np.testing.assert_allclose(model.idf, idf)
+    limit = 80
+    keyed = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).alias("h"))
+    keyed = keyed.select("doc_id", "h", (F.pmod(F.xxhash64("h", F.lit("calibrate")), F.lit(limit)) < 20).alias("cal"), *[F.xxhash64("h", F.lit(e), F.lit(5)).alias(f"p{e}") for e in range(4)])
+    keys = {r["doc_id"]: r for r in keyed.collect()}
+    taken = sorted((r for r in seen), key=lambda r: keys[r[0]]["h"])[:limit]
+    langs = ["de", "en", "fr"]
+
+    def features(text):
+        ids, n = langid.counts(text, 256, 2)
+        x = np.zeros(257)
+        x[ids] = (1 + np.log(n)) * idf[ids]
+        x /= np.linalg.norm(x)
+        x[256] = 1.0
+        return x
+
+    z, n = np.zeros((257, 3)), np.zeros((257, 3))
+    l1 = np.full((257, 1), 0.5)
+    l1[256] = 0
+    weights = lambda: np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((1.0 + np.sqrt(n)) / 0.5 + 1e-2), 0.0)
+    for e in range(3):
+        for r in sorted((r for r in taken if not keys[r[0]]["cal"]), key=lambda r: keys[r[0]][f"p{e}"]):
+            x, w = features(r[1]), weights()
+            p = np.exp(x @ w) / np.exp(x @ w).sum()
+            g = np.outer(x, p - np.eye(3)[langs.index(r[2])])
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.5 * w
+            n += g * g
+    w = weights()
+    np.testing.assert_allclose(dense, w[:256], atol=1e-9)
+    np.testing.assert_allclose(model.bias, w[256], atol=1e-9)
+    held = [r for r in taken if keys[r[0]]["cal"]]
+    logits = np.array([features(r[1]) @ w for r in held])
+    loss = lambda t: -np.mean([(np.log(np.exp(q / t) / np.exp(q / t).sum()) * np.where(np.arange(3) == langs.index(r[2]), (len(held) + 1) / (len(held) + 2), 1 / (len(held) + 2) / 2)).sum() for q, r in zip(logits, held, strict=True)])
+    assert len(held) > 5 and loss(model.temperature) <= min(loss(t) for t in np.geomspace(0.02, 20, 300)) + 1e-6
+    assert (dense == 0).mean() > 0.5
+    for _, t, _ in rows[:30]:
+        p = np.exp(features(t) @ w / model.temperature)
+        lang, score = model.predict(t)
+        assert lang == langs[p.argmax()] and score == pytest.approx(p.max() / p.sum())
+
+
+@real
+def test_most_weights_vanish(spark):
+    docs = table(spark, DATA, "documents")
+    model = langid.train(docs)
+    assert len(model.weight) < 0.05 * model.dim * len(model.languages) and len(model.languages) > 1
+
+
+def test_machine_is_that_of_dense_updates():
+    """Updates of a row's own features against full-length vectors with all pairs written out."""
+    rng = np.random.default_rng(1)
+    dim, k = 32, len(quality.STATISTICS)
+    texts = ["good plain words here and there", "BAD!! BAD!! 77 ##", "one two three one", "", "Zed zed ZED\nzed"] * 6
+    found = [quality.features(t, dim) for t in texts]
+    y = rng.integers(0, 2, len(texts)).astype(float)
+    stats = np.array([x[-k:] for _, x in found])
+    mean, scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
+    machine = quality.Machine(quality.start(dim, 3, y.mean(), mean, scale, 4), 0.1, 1e-3)
+    w0, w, v = machine.m.w0, machine.m.w.copy(), machine.m.v.copy()
+    gw, gv = np.full(w.shape, 1e-2), np.full(v.shape, 1e-2)
+    for (ids, x), t in zip(found, y, strict=True):
+        machine.step(ids, x, t)
+        full = np.zeros(dim + k)
+        full[ids] = x
+        full[dim:] = np.clip((full[dim:] - mean) / scale, -4, 4) / 4
+        has = np.zeros(dim + k, bool)
+        has[ids] = True
+        out = w0 + w @ full + sum((v[i] @ v[j]) * full[i] * full[j] for i in ids for j in ids if i < j)
+        g = 1 / (1 + np.exp(-out)) - t
+        w0 -= 0.01 * g
+        dw = np.where(has, g * full + 1e-3 * w, 0)
+        dv = np.where(has[:, None], g * np.array([full[i] * sum(full[j] * v[j] for j in ids if j != i) for i in range(dim + k)]) + 1e-3 * v, 0)
+        gw, gv = gw + dw * dw, gv + dv * dv
+        w, v = w - 0.1 * dw / np.sqrt(gw), v - 0.1 * dv / np.sqrt(gv)
+    assert machine.m.w0 == pytest.approx(w0)
+    np.testing.assert_allclose(machine.m.w, w, atol=1e-9)
+    np.testing.assert_allclose(machine.m.v, v, atol=1e-9)
+    for t in texts[:5]:
+        ids, x = quality.features(t, dim)
+        x = machine.m.prepared(ids, x)
+        out = w0 + sum(w[i] * a for i, a in zip(ids, x, strict=True)) + sum((v[i] @ v[j]) * a * b for i, a in zip(ids, x, strict=True) for j, b in zip(ids, x, strict=True) if i < j)
+        assert machine.m.score(t) == pytest.approx(1 / (1 + np.exp(-out)))
+
+
+def test_structure_statistics():
+    """The statistics of a text counted by hand."""
+    text = "Ab cd 12 !\nAb cd 12 !\n\u00e9 x x"
+    ids, x = quality.features(text, 64)
+    s = dict(zip(quality.STATISTICS, x[-len(quality.STATISTICS) :], strict=True))
+    size = len(text.encode())
+    want = {"chars": np.log1p(size) / 10, "words": np.log1p(11) / 10, "lines": np.log1p(3) / 5, "upper": 2 / 10, "digits": 4 / size * 5, "symbols": 2 / size * 5, "non_ascii": 2 / size,
+            "distinct_words": 6 / 11, "top_word": 2 / 11, "distinct_lines": 2 / 3, "repeated_next": 1 / 10, "lone_symbols": 2 / 11 * 3, "line_ends": 3 / 11, "short": 0.0}
+    for name, value in want.items():
+        assert s[name] == pytest.approx(value), name
+    assert np.linalg.norm(x[: -len(quality.STATISTICS)]) == pytest.approx(1)
+
+
+def test_very_long_texts(spark):
+    text = "plain words of a long text " * 120_000
+    docs = spark.createDataFrame([(1, text), (2, "x" * 2_500_000), (3, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert all(0 <= r["score"] <= 1 for r in quality.quality(docs, labels).collect())
+    found = langid.language(docs.withColumn("lang", F.lit("en"))).collect()
+    assert {r["lang_pred"] for r in found} == {"en"}
+
+
 def test_chunks_count_like_one_pass(monkeypatch):
     text = "Ünïcode wörds, 日本語 and more " * 40
     whole = langid.counts(text, 1 << 12, 3)
