@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No SQL states the trained language model and XXH64; tests hold the stages against brute force.
+#: No SQL states the trained language model and XXH64; tests/llm/test_pipeline.py holds each stage and the whole against brute force.
 ORACLE_SQL = None

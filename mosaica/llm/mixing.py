@@ -57,16 +57,23 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def mark_of(seed: int) -> Column:
+    """What places a document: a digest of its id and its text, so that rows that share an id are spread like any others."""
+    return seeded(seed, F.col("doc_id").cast("long"), F.md5(F.col("text").cast("string").cast("binary")))
+
+
 def plan(docs: DataFrame, block_words: int = 16, shard_words: int = 1_000_000, repeat: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 8) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, shard, full (whole copies),
+    """One row per document: doc_id, mark (a digest of id and text), source, size, source_size, target, shard, full (whole copies),
     part_from and part (a run of words from that word on, around the document's end), taken = full * size + part.
 
     Null texts have size 0; a null source is a source of its own, the last; a
     null doc_id is a document like any other; repeated rows count each time; an
-    empty table gives no row. No document is taken more than ``repeat`` times.
+    empty table gives no row; texts of any length are counted whole; columns
+    other than doc_id, text and source are not read. No document is taken more
+    than ``repeat`` times. Steps over sources hold one row per source.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sizes = materialize_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")))
+    sizes = materialize_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), mark_of(seed).alias("mark")))
     # One row per source from here to `sources`.
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     all_ = Window.partitionBy(F.lit(0))
@@ -81,9 +88,8 @@ def plan(docs: DataFrame, block_words: int = 16, shard_words: int = 1_000_000, r
     per = sainte_lague(per, [], "sid", "target", "weighed", "seats")
     sources = per.select("source", "sid", "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards"))
     sources, _ = broadcast_if_small(sources)
-    mark = seeded(seed, F.col("doc_id"))
     placed = sizes.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = placed.withColumn("mark", mark).withColumn("shard", F.pmod(_number(F.col("mark")), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(_number(F.col("mark")), F.col("shards")))
     shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("source_quota").alias("source_quota"))
     shards = sainte_lague(shards, ["sid"], "shard", "shard_size", "source_size", "source_quota")
     take = F.least(F.col("quota") * block_words, F.col("shard_size") * repeat)
@@ -102,31 +108,36 @@ def plan(docs: DataFrame, block_words: int = 16, shard_words: int = 1_000_000, r
     direct = F.greatest(zero, F.least(F.col("stop"), off_end) - F.greatest(F.col("start"), F.col("off")))
     around = F.greatest(zero, F.least(F.col("stop"), off_end - F.col("shard_size")) - F.col("start"))
     part_from = F.when(direct > 0, F.greatest(F.col("start"), F.col("off")) - F.col("start")).otherwise(zero)
-    laid = laid.select("doc_id", "source", "size", "source_size", "target", "shard", "full", part_from.alias("part_from"), (direct + around).alias("part"))
+    laid = laid.select("doc_id", "mark", "source", "size", "source_size", "target", "shard", "full", part_from.alias("part_from"), (direct + around).alias("part"))
     return laid.withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, all columns kept: whole copies as often as taken, and the taken run of words of a document
     that is taken in part (words joined by one space; ``n_chars``, where present, follows)."""
-    found = plan(docs, **options).where("taken > 0")
-    keys = found.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("full", "part_from", "part"))).alias("_takes"))
-    keys = keys.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_takes")
-    columns = docs.columns
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size).join(keys, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    # Rows that share id, source and size share one list of takes; each is given its own by its place among them.
-    nth = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("text"))
-    rows = rows.withColumn("_take", F.when(F.size("_takes") > 1, F.try_element_at("_takes", nth)).otherwise(F.when(nth == 1, F.element_at("_takes", 1))))
-    rows = rows.where(F.col("_take").isNotNull())
-    # 0..full-1: whole copies; -1: the run of words taken in part.
-    copies = F.concat(F.when(F.col("_take.full") > 0, F.sequence(F.lit(1).cast("long"), F.col("_take.full"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_take.part") > 0, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_copy", F.explode(copies))
-    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
-    first = F.least(F.col("_take.part"), F.col("_size") - F.col("_take.part_from")).cast("int")
+    found = materialize_table(plan(docs, **options).where("taken > 0").select("mark", "source", "full", "part_from", "part", "size"))
+    keys = ["_mark", "_source"]
+    takes = found.groupBy(F.col("mark").alias("_mark"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")).agg(F.sort_array(F.collect_list(F.struct("full", "part_from", "part", "size"))).alias("_takes"))
+    # The document as one struct: no name of its columns can clash.
+    rows = docs.select(mark_of(options.get("seed", 8)).alias("_mark"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"), F.struct(*docs.columns).alias("_doc"))
+    rows = rows.join(takes, keys)
+    # Equal rows share one list of takes; each is given its own by its place among them.
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_doc.text")))
+    one = rows.where(F.size("_takes") == 1).select("_doc", F.element_at("_takes", 1).alias("_take"), *keys)
+    if not found.groupBy("mark", "source").count().where("count > 1").isEmpty():
+        many = rows.where(F.size("_takes") > 1).select("_doc", F.try_element_at("_takes", nth).alias("_take"), *keys)
+        one = one.unionByName(many)
+    once = one.where(F.col("_take").isNotNull())
+    none = F.array().cast("array<bigint>")
+    # 1..full: whole copies; -1: the run of words taken in part.
+    copies = F.concat(F.when(F.col("_take.full") > 0, F.sequence(F.lit(1).cast("long"), F.col("_take.full"))).otherwise(none), F.when(F.col("_take.part") > 0, F.array(F.lit(-1).cast("long"))).otherwise(none))
+    once = once.select("_doc", "_take", F.explode(copies).alias("_copy"))
+    whole = F.col("_doc").getField("text")
+    words = F.regexp_extract_all(whole, F.lit(WORD_PATTERN), F.lit(0))
+    first = F.least(F.col("_take.part"), F.col("_take.size") - F.col("_take.part_from")).cast("int")
     run = F.concat(F.slice(words, (F.col("_take.part_from") + 1).cast("int"), first), F.slice(words, F.lit(1), (F.col("_take.part") - first).cast("int")))
-    text = F.when(F.col("_copy") > 0, F.col("text")).when(F.col("_take.part") == F.col("_size"), F.col("text")).otherwise(F.array_join(run, " "))
-    out = rows.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    text = F.when((F.col("_copy") > 0) | (F.col("_take.part") == F.col("_take.size")), whole).otherwise(F.array_join(run, " "))
+    out = {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return once.select(*[out[c].alias(c) if c in out else F.col("_doc").getField(c).alias(c) for c in docs.columns])

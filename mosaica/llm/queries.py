@@ -48,14 +48,14 @@ def _sainte_lague_sql(name: str, parties: str, group: str, party: str, weight: s
 
 
 OP8_SQL = r"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(text) AS digest FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM per),
 weighed AS (SELECT *, CAST(1 + (sid - 1) % 3 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM ranked),
 leveled AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (SELECT *, least(cap, max(level) OVER () * w) AS target, CAST(floor(total / 16 + 0.5) AS BIGINT) AS seats FROM leveled),
 """ + _sainte_lague_sql("bysource", "targets", "", "sid", "target", "total", "seats") + r""",
-placed AS (SELECT s.*, b.sid, b.source_size, b.target, b.quota AS source_quota, md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || '#8') AS mark,
+placed AS (SELECT s.*, b.sid, b.source_size, b.target, b.quota AS source_quota, md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || '#' || coalesce(s.digest, '') || '#8') AS mark,
                   greatest(1, CAST(ceil(b.source_size / 1000000) AS BIGINT)) AS shards
            FROM sizes s JOIN bysource b ON s.source IS NOT DISTINCT FROM b.source),
 dealt AS (SELECT *, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % shards AS shard FROM placed),

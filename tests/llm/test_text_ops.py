@@ -244,6 +244,18 @@ def test_multi_index_hashing_finds_every_link(spark, segments, cap):
     assert len(set(zip(mine, want, strict=True))) == len(set(want)) == len(set(mine))
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    """One document of each group, though ids are null or stand for several texts; all columns as they were."""
+    same, near = "the same text here today and more of it follows now", "the same text here today and more of it follows now"
+    texts = [same, near, same.upper(), "quite another thing altogether now", "and one more text of its own kind", "", None]
+    docs = frame(spark, texts, ids=[None, None, 4, 4, 4, None, 9]).withColumn("_id", F.lit(5)).withColumn("_doc", F.lit(6))
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:9].lower()) for r in out.collect()) == [(4, "and one m"), (4, "quite ano"), (4, "the same "), (9, "")]
+    nulls = simhash.keep_one(frame(spark, [same, same + " x", None], ids=[None, None, None]))
+    assert nulls.count() == len({r["fp"] for r in simhash.near_duplicates(frame(spark, [same, same + " x", None])).select(F.col("component_id").alias("fp")).collect()})
+
+
 def test_keep_one(spark):
     texts = ["the same text here today", "the same text here today", "quite another thing altogether now", None, ""]
     docs = frame(spark, texts, ids=[5, 3, 9, 11, 12])
@@ -311,6 +323,17 @@ def test_mix_texts(spark):
         assert sum(t == texts[d] for t in got.get(d, [])) >= r["full"]
 
 
+def test_mix_equal_rows_and_shared_ids(spark):
+    """Rows that share an id, or are equal, are each taken as planned; clashing column names come through."""
+    texts = [f"{i} a b c d e f" for i in range(40)] * 2 + ["same words here"] * 30
+    docs = frame(spark, texts, ["s" if i % 2 else None for i in range(110)], ids=[1 if i < 20 else None for i in range(110)]).withColumn("_doc", F.lit(1)).withColumn("_mark", F.lit(2)).withColumn("mark", F.lit("m"))
+    plan = mixing.plan(docs).groupBy("source").agg(F.sum("taken")).collect()
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and out.select("_doc", "_mark", "mark").distinct().count() == 1
+    got = out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).cast("long")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plan), key=repr)
+
+
 def test_sainte_lague_is_highest_quotients(spark):
     rng = random.Random(5)
     for seats in (1, 7, 40, 333):
