@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import average_rank
 from .special import CHI2_MEDIAN, probit
 
 
 def rank_fraction(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Add ``fraction`` = (average rank - 1/2) / n of the values that are present; null stays null."""
     keys = by or []
-    present = F.col(value).isNotNull()
-    group = Window.partitionBy(*keys, present) if keys else Window.partitionBy(present)
-    ties = Window.partitionBy(*keys, value)
-    rank = F.rank().over(group.orderBy(value)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-    return df.withColumn("fraction", F.when(present, (rank - 0.5) / F.count(F.lit(1)).over(group)))
+    n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    ranked = average_rank(df, value, "_rank", keys)
+    if keys:
+        same = ranked.alias("r").join(n.alias("n"), [F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+        ranked = same.select("r.*", "n._n")
+    else:
+        ranked = ranked.crossJoin(F.broadcast(n))
+    return ranked.withColumn("fraction", (F.col("_rank") - 0.5) / F.col("_n")).drop("_rank", "_n")
 
 
 def quantile_normalize(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

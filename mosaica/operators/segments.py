@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import running_sum
+
 def person():
     """A person's segments in order."""
     return Window.partitionBy("indiv").orderBy("stop")
@@ -132,7 +134,6 @@ def impute(segments: DataFrame, source: DataFrame, target: DataFrame) -> DataFra
     # For every source index: how many targets map to a smaller one (targets keep file order, so the map is monotone).
     per = mapped.groupBy("source_idx").agg(F.count("*").alias("_n"))
     upto = source.select(F.col("idx").cast("long").alias("_idx")).join(per, F.col("_idx") == F.col("source_idx"), "left")
-    before = F.coalesce(F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    upto = upto.select((F.col("_idx") + 1).alias("_stop"), before.alias("_new"))
+    upto = running_sum(upto, F.coalesce("_n", F.lit(0)), ["_idx"], "_new").select((F.col("_idx") + 1).alias("_stop"), "_new")
     moved = segments.join(upto, F.col("stop") == F.col("_stop")).select("indiv", F.col("_new").alias("stop"), "anc0", "anc1", F.col("stop").alias("idx"))
     return merge_runs(with_starts(clean(moved)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +16,44 @@ BED_MAGIC = b"\x6c\x1b\x01"
 _STEP = 1 << 20
 
 
-def read_kernel(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """(i, j, value), ids (i, fid, iid) from <prefix>.grm.bin (float32, lower triangle by rows) and .grm.id."""
+def ranges(spark: SparkSession, path: str, header: int, record: int, fn: Callable[[int, bytes], pa.RecordBatch], schema: str, step: int = _STEP, most: int | None = None) -> DataFrame:
+    """A file of ``header`` bytes and fixed records, read by many tasks: fn(number of the first record, bytes) of every range (the first ``most``).
+
+    Only the length comes from the file's listing; each task opens the file at its own ranges.
+    """
     ensure_on_workers(spark)
+    path, length = spark.read.format("binaryFile").load(path).select("path", "length").first()
+    n = (length - header) // record
+    if header + n * record != length:
+        raise ValueError(f"{path}: {length} bytes are no whole number of records")
+    rows = max(1, step // record)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                v = np.frombuffer(content.as_buffer(), "<f4")
-                for a in range(0, len(v), _STEP):
-                    k = np.arange(a, min(len(v), a + _STEP), dtype=np.int64)
-                    i = ((np.sqrt(8.0 * k + 1) - 1) / 2).astype(np.int64)
-                    i += (i + 1) * (i + 2) // 2 <= k  # roots of large numbers may be one off
-                    i -= i * (i + 1) // 2 > k
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k - i * (i + 1) // 2), pa.array(v[a : a + _STEP].astype(float))], ["i", "j", "value"])
-
-    kernel = spark.read.format("binaryFile").load(f"{prefix}.grm.bin").select("content").mapInArrow(run, "i long, j long, value double")
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        with system.open_input_file(name) as f:
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    first = part * rows
+                    yield fn(first, f.read_at(min(rows, n - first) * record, header + first * record))
+
+    parts = min(-(-n // rows), most or n)
+    return spark.range(0, parts, 1, max(1, min(parts, 10_000))).mapInArrow(run, schema)
+
+
+def read_kernel(spark: SparkSession, prefix: str, step: int = _STEP) -> tuple[DataFrame, DataFrame]:
+    """(i, j, value), ids (i, fid, iid) from <prefix>.grm.bin (float32, lower triangle by rows) and .grm.id."""
+
+    def decoded(first: int, data: bytes) -> pa.RecordBatch:
+        v = np.frombuffer(data, "<f4")
+        k = np.arange(first, first + len(v), dtype=np.int64)
+        i = ((np.sqrt(8.0 * k + 1) - 1) / 2).astype(np.int64)
+        i += (i + 1) * (i + 2) // 2 <= k  # roots of large numbers may be one off
+        i -= i * (i + 1) // 2 > k
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(k - i * (i + 1) // 2), pa.array(v.astype(float))], ["i", "j", "value"])
+
+    kernel = ranges(spark, f"{prefix}.grm.bin", 0, 4, decoded, "i long, j long, value double", step)
     ids = whitespace_table(spark, f"{prefix}.grm.id", ["fid", "iid"]).select(F.col("line").cast("long").alias("i"), "fid", "iid")
     return kernel, ids
 
@@ -46,25 +68,21 @@ def write_kernel(kernel: DataFrame, ids: list[tuple[str, str]], n_snp: int, pref
         out.writelines(f"{f}\t{i}\n" for f, i in ids)
 
 
-def read_bed(spark: SparkSession, path: str, n_indiv: int) -> DataFrame:
+def read_bed(spark: SparkSession, path: str, n_indiv: int, step: int = _STEP) -> DataFrame:
     """snp, indiv, g: counts of the first allele in the variant table from a two-bit file in variant order; null where missing."""
-    ensure_on_workers(spark)
     width = (n_indiv + 3) // 4
     codes = np.array([2, -1, 1, 0], np.int8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                b = np.frombuffer(content.as_buffer(), np.uint8)
-                if b[:3].tobytes() != BED_MAGIC:
-                    raise ValueError("not a variant-major two-bit genotype file")
-                body = b[3:].reshape(-1, width)
-                for a in range(0, len(body), max(1, _STEP // max(n_indiv, 1))):
-                    part = body[a : a + max(1, _STEP // max(n_indiv, 1))]
-                    g = codes[np.stack([(part >> s) & 3 for s in (0, 2, 4, 6)], 2).reshape(len(part), -1)[:, :n_indiv]]
-                    snp = np.repeat(np.arange(a, a + len(part), dtype=np.int64), n_indiv)
-                    indiv = np.tile(np.arange(n_indiv, dtype=np.int64), len(part))
-                    flat = g.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(snp), pa.array(indiv), pa.array(flat.astype(np.int32), mask=flat < 0)], ["snp", "indiv", "g"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "snp long, indiv long, g int")
+    def magic(first: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([data])], ["m"])
+
+    if ranges(spark, path, 0, 1, magic, "m binary", 3, most=1).first()[0] != BED_MAGIC:
+        raise ValueError("not a variant-major two-bit genotype file")
+
+    def decoded(first: int, data: bytes) -> pa.RecordBatch:
+        body = np.frombuffer(data, np.uint8).reshape(-1, width)
+        g = codes[np.stack([(body >> s) & 3 for s in (0, 2, 4, 6)], 2).reshape(len(body), -1)[:, :n_indiv]].ravel()
+        snp = np.repeat(np.arange(first, first + len(body), dtype=np.int64), n_indiv)
+        return pa.RecordBatch.from_arrays([pa.array(snp), pa.array(np.tile(np.arange(n_indiv, dtype=np.int64), len(body))), pa.array(g.astype(np.int32), mask=g < 0)], ["snp", "indiv", "g"])
+
+    return ranges(spark, path, 3, width, decoded, "snp long, indiv long, g int", step // 4)

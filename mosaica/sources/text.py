@@ -1,23 +1,33 @@
 """Readers and writers of the text interchange formats.
 
-Lines whose order matters are read file by file and numbered inside the file,
-so line numbers don't depend on how Spark splits input; files (one per
-chromosome or study) are read in parallel. Parquet is the store for panels.
+Files are read in Spark's splits, whatever their size. Where a line's number in
+its file matters it is made from the splits: lines before the split, counted,
+and the line's place in it. Parquet is the store for panels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.frames import counted
+
 META = "##"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line (from 0), value: the non-empty lines of each file in order."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("_l"))
-    return raw.select("file", F.posexplode("_l").alias("line", "value")).where("value <> ''")
+    """file, line (from 0), value: the non-empty lines of each file, numbered in order.
+
+    Rows of a split have consecutive numbers in their task, so a line's place in
+    its split is a difference; the table of splits has one row for each of them.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = counted(splits.select("file", "_block", "_first", before.alias("_before")))
+    numbered = raw.join(splits, ["file", "_block"])
+    return numbered.select("file", (F.col("_id") - F.col("_first") + F.col("_before")).cast("long").alias("line"), "value").where("value <> ''")
 
 
 def expand(path: str, spark: SparkSession) -> list[str]:

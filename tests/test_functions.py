@@ -22,6 +22,26 @@ def test_tails():
     assert special.norm_ppf(np.array([0.975, 0.0, 1.0])).tolist() == [pytest.approx(1.959963984540054), -math.inf, math.inf]
 
 
+def test_ordering_over_ranges(spark):
+    """Numbers, sums and average ranks over several ranges, with many ties and groups, as one sorted list gives them."""
+    from mosaica.functions import ordering
+
+    rng = np.random.default_rng(2)
+    v = [None if i % 11 == 0 else float(x) for i, x in enumerate(rng.integers(0, 12, 300))]
+    g = [None if x == 3 else int(x) for x in rng.integers(0, 4, 300)]
+    df = spark.createDataFrame(list(zip(range(300), v, g, strict=True)), "id int, v double, g int").repartition(4)
+    got = {r["id"]: r["n"] for r in ordering.dense_index(df, "id", "n", 7).collect()}
+    assert got == {i: i for i in range(300)}
+    sums = {r["id"]: (r["s"], r["b"]) for r in ordering.running_sum(ordering.running_sum(df, F.col("id"), ["id"], "s", parts=7), F.col("id"), ["id"], "b", False, 5).collect()}
+    assert sums == {i: (i * (i + 1) // 2, i * (i - 1) // 2) for i in range(300)}
+    for keys in ([], ["g"]):
+        got = {r["id"]: r["r"] for r in ordering.average_rank(df, "v", "r", keys, 6).collect()}
+        assert len(got) == 300
+        for i in range(300):
+            mates = sorted(x for x, k in zip(v, g, strict=True) if x is not None and (not keys or k == g[i]))
+            assert got[i] == (None if v[i] is None else mates.index(v[i]) + 1 + (mates.count(v[i]) - 1) / 2)
+
+
 def test_normal_scores(spark):
     df = spark.createDataFrame([(1, 3.0), (2, 1.0), (3, None), (4, 1.0), (5, 9.0)], "id int, v double")
     got = {r["id"]: r["v"] for r in stats.quantile_normalize(df, "v").collect()}

@@ -84,6 +84,9 @@ def test_kernel_files(spark, tmp_path):
     binary.write_kernel(spark.createDataFrame(rows, "i long, j long, value double"), [("f", str(i)) for i in range(n)], 5, str(tmp_path / "k"))
     kernel, ids = binary.read_kernel(spark, str(tmp_path / "k"))
     assert sorted(map(tuple, kernel.collect())) == rows and ids.count() == n
+    # Ranges of three entries, read by several tasks, give the same.
+    small, _ = binary.read_kernel(spark, str(tmp_path / "k"), 12)
+    assert small.rdd.getNumPartitions() > 1 and sorted(map(tuple, small.collect())) == rows
 
 
 def test_bed(spark, tmp_path):
@@ -92,6 +95,27 @@ def test_bed(spark, tmp_path):
     (tmp_path / "a.bed").write_bytes(binary.BED_MAGIC + bytes([first, 0]))
     got = [r["g"] for r in binary.read_bed(spark, str(tmp_path / "a.bed"), 5).orderBy("indiv").collect()]
     assert got == [2, 1, 0, None, 2]
+    body = [int(x) for x in np.random.default_rng(1).integers(0, 256, 2 * 40)]
+    (tmp_path / "b.bed").write_bytes(binary.BED_MAGIC + bytes(body))
+    whole, split = (binary.read_bed(spark, str(tmp_path / "b.bed"), 7, step) for step in (1 << 20, 32))
+    assert split.rdd.getNumPartitions() > 1 and sorted(map(repr, whole.collect())) == sorted(map(repr, split.collect())) and whole.count() == 280
+    (tmp_path / "c.bed").write_bytes(b"abc" + bytes(body))
+    with pytest.raises(ValueError):
+        binary.read_bed(spark, str(tmp_path / "c.bed"), 7)
+
+
+def test_lines_of_a_file_in_several_splits(spark, tmp_path):
+    want = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(5000)]
+    (tmp_path / "long.txt").write_text("\n".join(want) + "\n")
+    (tmp_path / "other.txt").write_text("a\nb\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = text.lines(spark, [str(tmp_path / "long.txt"), str(tmp_path / "other.txt")])
+        assert got.rdd.getNumPartitions() > 4
+        rows = {(os.path.basename(r["file"]), r["line"]): r["value"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == {("long.txt", i): v for i, v in enumerate(want) if v} | {("other.txt", 0): "a", ("other.txt", 1): "b"}
 
 
 @pytest.fixture
