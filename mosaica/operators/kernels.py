@@ -2,9 +2,10 @@
 
 The entities (people for a GRM, variants for LD) are cut into tiles. A
 feature's values for a tile are packed into one row; pairs of tiles are cells,
-each summed up by one task that streams its features in blocks through BLAS
-and holds two tiles and their product, whatever the number of features. No row
-per pair and feature is ever made.
+and where cells are few their features are dealt over several tasks. A task
+streams its features in blocks through BLAS and holds two tiles and their
+product, whatever the number of features; partial products are added up. No row
+per pair and feature is ever made, and with a window only neighbouring tiles meet.
 """
 
 from __future__ import annotations
@@ -13,21 +14,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._ship import ensure_on_workers
+from ..functions.ordering import dense_index
 from .alleles import dosage, of_ancestry
+from .frames import written
 
 TILE = 512
 BLOCK = 1024
 
 
-def cross_products(values: DataFrame, names: list[str], tile: int = TILE) -> DataFrame:
+def cross_products(values: DataFrame, names: list[str], tile: int = TILE, within: int | None = None, tasks: int | None = None) -> DataFrame:
     """(block, feature, entity, <names>) -> block, i, j (i >= j), and <a>_<b> = sum over features of a_i * b_j for all names a, b.
 
-    Entities are compared inside their ``block`` only (a chromosome, or 0 for all). Nulls count as 0.
+    Entities are compared inside their ``block`` only (a chromosome, or 0 for
+    all), and with ``within`` only those fewer places apart. Nulls count as 0.
+    A block of few cells is dealt over about ``tasks`` tasks by features.
     """
+    tasks = tasks or min(64, max(8, values.sparkSession.sparkContext.defaultParallelism))
+    if within is not None:
+        tile = min(tile, max(16, within))
     v = values.select("block", "feature", "entity", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
     v = v.withColumn("tile", F.floor(F.col("entity") / tile))
     rows = F.sort_array(F.collect_list(F.struct("entity", *names)))
@@ -35,9 +43,12 @@ def cross_products(values: DataFrame, names: list[str], tile: int = TILE) -> Dat
     packed = packed.select("block", "feature", "tile", F.col("_r").getField("entity").alias("ids"), *[F.col("_r").getField(n).alias(n) for n in names])
     tiles = v.select("block", "tile").distinct().groupBy("block").agg(F.sort_array(F.collect_set("tile")).alias("_t"))
     # A tile goes to the cells it is the larger or the smaller half of.
-    cells = packed.join(tiles, "block").withColumn("_o", F.explode("_t"))
-    cells = cells.select("block", F.greatest("tile", "_o").alias("ti"), F.least("tile", "_o").alias("tj"), "feature", "tile", "ids", *names)
-    cells = cells.repartition("block", "ti", "tj").sortWithinPartitions("block", "ti", "tj", "feature", "tile")
+    near = F.col("_t") if within is None else F.filter("_t", lambda o: F.abs(o - F.col("tile")) <= -(-(within - 1) // tile))
+    count = F.size("_t") * (F.size("_t") + 1) / 2 if within is None else F.size("_t") * (2 if within > 1 else 1)
+    part = F.pmod(F.xxhash64("feature"), F.greatest(F.lit(1), F.ceil(F.lit(tasks) / count))).cast("int")
+    cells = packed.join(tiles, "block").withColumn("part", part).withColumn("_o", F.explode(near))
+    cells = cells.select("block", F.greatest("tile", "_o").alias("ti"), F.least("tile", "_o").alias("tj"), "part", "feature", "tile", "ids", *names)
+    cells = cells.repartition("block", "ti", "tj", "part").sortWithinPartitions("block", "ti", "tj", "part", "feature", "tile")
     outs = [f"{a}_{b}" for a in names for b in names]
     schema = "block long, i long, j long, " + ", ".join(f"{o} double" for o in outs)
 
@@ -63,17 +74,19 @@ def cross_products(values: DataFrame, names: list[str], tile: int = TILE) -> Dat
             if state["key"] is None:
                 return
             fold()
-            block, ti, tj = state["key"]
+            block, ti, tj, _ = state["key"]
             a, b = np.flatnonzero(state["has"][0]), np.flatnonzero(state["has"][0] if ti == tj else state["has"][1])
             for part in np.array_split(a, max(1, len(a) // 64)):
                 i, j = np.meshgrid(part, b, indexing="ij")
                 keep = (i >= j) if ti == tj else np.ones(i.shape, bool)
+                if within is not None:
+                    keep &= i + ti * tile - j - tj * tile < within
                 i, j = i[keep], j[keep]
                 yield pd.DataFrame({"block": block, "i": i + ti * tile, "j": j + tj * tile} | {o: state["sum"][k // len(names), k % len(names)][i, j] for k, o in enumerate(outs)})
 
         for pdf in frames:
             for row in pdf.itertuples(index=False):
-                key = (row.block, row.ti, row.tj)
+                key = (row.block, row.ti, row.tj, row.part)
                 if key != state["key"]:
                     yield from finish()
                     m = len(names)
@@ -91,7 +104,8 @@ def cross_products(values: DataFrame, names: list[str], tile: int = TILE) -> Dat
         yield from finish()
 
     ensure_on_workers(values.sparkSession)
-    return cells.select("block", "ti", "tj", "feature", "tile", "ids", *names).mapInPandas(run, schema)
+    partial = cells.select("block", "ti", "tj", "part", "feature", "tile", "ids", *names).mapInPandas(run, schema)
+    return partial.groupBy("block", "i", "j").agg(*[F.sum(o).alias(o) for o in outs])
 
 
 def standardised(geno: DataFrame, method: str = "std", groups: DataFrame | None = None) -> DataFrame:
@@ -194,29 +208,47 @@ def tagging(ld: DataFrame) -> DataFrame:
     return both.join(d, ["chrom", "tag"]).select("chrom", "tag", "causal", ((F.col("_c") * r1 - F.col("_b") * r2) / det).alias("beta1"), ((F.col("_a") * r2 - F.col("_b") * r1) / det).alias("beta2"))
 
 
-def correlations(geno: DataFrame, snps: DataFrame) -> DataFrame:
-    """chrom, s, t (s > t), corr of mean-imputed dosages inside chromosomes; pairs with a constant variant are left out."""
+def correlations(geno: DataFrame, snps: DataFrame, within: int | None = None) -> DataFrame:
+    """chrom, s, t (s > t), corr of mean-imputed dosages inside chromosomes, with ``within`` only of variants fewer places
+    apart; pairs with a constant variant are left out."""
     z = standardised(geno, "std").join(snps.select("snp", "chrom"), "snp")
     v = z.select(F.col("chrom").cast("long").alias("block"), F.col("indiv").alias("feature"), F.col("snp").alias("entity"), "z")
     n = geno.agg(F.countDistinct("indiv").alias("_n"))
-    p = cross_products(v, ["z"]).crossJoin(F.broadcast(n)).select(F.col("block").cast("int").alias("chrom"), F.col("i").alias("s"), F.col("j").alias("t"), (F.col("z_z") / F.col("_n")).alias("corr"))
+    p = cross_products(v, ["z"], within=within).crossJoin(F.broadcast(n)).select(F.col("block").cast("int").alias("chrom"), F.col("i").alias("s"), F.col("j").alias("t"), (F.col("z_z") / F.col("_n")).alias("corr"))
     useful = p.where("s = t AND corr > 0.5").select(F.col("s").alias("_v"))
     return p.where("s > t").join(useful, F.col("s") == F.col("_v"), "left_semi").join(useful, F.col("t") == F.col("_v"), "left_semi")
 
 
-def prune(r2: DataFrame, snps: DataFrame, window: int = 100, least: float = 0.1) -> DataFrame:
+def stretches(links: DataFrame) -> DataFrame:
+    """(chrom, a, b; a > b) -> with ``stretch``: links in different stretches of a chromosome share no variant, as no link
+    crosses the gap between them. What is decided along linked variants is decided stretch by stretch."""
+    line = Window.partitionBy("chrom").orderBy("b", "a")
+    reach = F.max("a").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.coalesce((F.col("b") > reach).cast("int"), F.lit(1))
+    return links.withColumn("_f", first).withColumn("stretch", F.sum("_f").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
+
+
+def prune(r2: DataFrame, snps: DataFrame, window: int = 100, least: float = 0.1, frequency: str | None = None) -> DataFrame:
     """Variants that stay when, in order, each that is linked (r2 above ``least``, fewer than ``window`` places apart) to one
-    that stays is dropped. A chromosome's strong links go through one task: they are few once the window and r2 filter them."""
+    that stays is dropped. The order is that of variants, or with ``frequency`` (a column of snps) that of falling minor
+    frequency, so that of two linked variants the rarer goes. A task has a stretch of linked variants, not a chromosome."""
     pairs = r2.where((F.col("r2") > least) & (F.abs(F.col("s") - F.col("t")) < window)).select("chrom", F.greatest("s", "t").alias("a"), F.least("s", "t").alias("b"))
+    minor = snps.select("snp", F.least(F.col(frequency), 1 - F.col(frequency)).cast("double").alias("f") if frequency else F.lit(0.0).alias("f"))
+    pairs = stretches(pairs).join(minor.select(F.col("snp").alias("a"), F.col("f").alias("fa")), "a").join(minor.select(F.col("snp").alias("b"), F.col("f").alias("fb")), "b")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for a, b in sorted(zip(pdf["a"], pdf["b"], strict=True)):
-            if b not in gone:
-                gone.add(a)
-        return pd.DataFrame({"snp": sorted(gone)}, dtype="int64")
-
-    dropped = pairs.groupBy("chrom").applyInPandas(greedy, "snp long")
+        order = {v: (-f, v) for v, f in [*zip(pdf["a"], pdf["fa"], strict=True), *zip(pdf["b"], pdf["fb"], strict=True)]}
+        linked: dict[int, list[int]] = {v: [] for v in order}
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            linked[a].append(b)
+            linked[b].append(a)
+        kept: set[int] = set()
+        for v in sorted(order, key=order.get):
+            if kept.isdisjoint(linked[v]):
+                kept.add(v)
+        return pd.DataFrame({"snp": sorted(set(order) - kept)}, dtype="int64")
+
+    dropped = pairs.groupBy("chrom", "stretch").applyInPandas(greedy, "snp long")
     return snps.join(dropped, "snp", "left_anti")
 
 
@@ -232,6 +264,7 @@ def clump(stats: DataFrame, candidates: DataFrame, p1: float) -> DataFrame:
     """chrom, index, members: index variants in order of p take the candidates that no better index has taken."""
     tops = stats.where(F.col("p") <= p1).select("chrom", F.col("snp").alias("index"), F.col("p").alias("index_p"), F.lit(None).cast("long").alias("snp"))
     rows = tops.unionByName(candidates.select("chrom", "index", "index_p", "snp"))
+    spans = rows.select("chrom", "index", "index_p", "snp", F.greatest("index", F.coalesce("snp", "index")).alias("a"), F.least("index", F.coalesce("snp", "index")).alias("b"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[int] = set()
@@ -244,25 +277,117 @@ def clump(stats: DataFrame, candidates: DataFrame, p1: float) -> DataFrame:
             out.append((int(pdf["chrom"].iloc[0]), int(index), mine))
         return pd.DataFrame(out, columns=["chrom", "index", "members"])
 
-    return rows.groupBy("chrom").applyInPandas(greedy, "chrom int, index long, members array<long>")
-
-
-def principal_components(kernel: DataFrame, k: int = 10, max_n: int = 20_000) -> DataFrame:
-    """entity, pc1..pck of a kernel (i, j, value), scaled as unit eigenvectors. The n x n matrix is factored on the driver,
-    so n is checked against ``max_n`` first."""
-    n = kernel.where("i = j").count()
-    if n > max_n:
-        raise ValueError(f"{n} entities: over {max_n} do not fit the driver")
-    pdf = kernel.toPandas()
-    ids = np.unique(pdf["i"])
-    a = np.zeros((n, n))
-    i, j = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
-    a[i, j] = a[j, i] = pdf["value"]
-    value, vector = np.linalg.eigh(a)
-    order = np.argsort(-value)[:k]
-    v = vector[:, order] * np.where(vector[np.abs(vector[:, order]).argmax(axis=0), order] < 0, -1, 1)
+    return stretches(spans).select("chrom", "stretch", "index", "index_p", "snp").groupBy("chrom", "stretch").applyInPandas(greedy, "chrom int, index long, members array<long>")
+
+
+class Tiles:
+    """A symmetric kernel (i, j, value; i >= j) as a written table of dense tiles, which multiplies thin matrices.
+
+    A product is one pass over the tiles in parallel; what driver and tasks
+    share is the thin matrix (entities x columns), never the kernel.
+    """
+
+    def __init__(self, kernel: DataFrame, columns: list[str], tile: int = TILE):
+        spark = kernel.sparkSession
+        ensure_on_workers(spark)
+        self.columns, self.tile = columns, tile
+        index = dense_index(kernel.select(F.col("i").alias("entity")).unionByName(kernel.select(F.col("j").alias("entity"))).distinct(), "entity", "at")
+        index = written(index.select("entity", "at"))
+        self.ids = np.array([r[0] for r in index.orderBy("at").select("entity").toLocalIterator()], np.int64)  # a number for each entity
+        at = lambda c, name: index.select(F.col("entity").alias(c), F.col("at").alias(name))
+        k = kernel.join(at("i", "_x"), "i").join(at("j", "_y"), "j")
+        k = k.select(F.greatest("_x", "_y").alias("x"), F.least("_x", "_y").alias("y"), *columns)
+        k = k.select(F.floor(F.col("x") / tile).alias("ti"), F.floor(F.col("y") / tile).alias("tj"), "x", "y", *columns)
+
+        def dense(pdf: pd.DataFrame) -> pd.DataFrame:
+            ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
+            row: dict = {"ti": [ti], "tj": [tj]}
+            for c in columns:
+                a = np.zeros((tile, tile))
+                a[pdf["x"].to_numpy() - ti * tile, pdf["y"].to_numpy() - tj * tile] = pdf[c].to_numpy(float)
+                row[c] = [(a + np.tril(a, -1).T if ti == tj else a).ravel()]
+            return pd.DataFrame(row)
+
+        schema = "ti long, tj long, " + ", ".join(f"{c} array<double>" for c in columns)
+        self.table = written(k.groupBy("ti", "tj").applyInPandas(dense, schema))
+
+    def times(self, v: np.ndarray) -> dict[str, np.ndarray]:
+        """Each kernel times v (entities x columns)."""
+        tile, names, n, width = self.tile, self.columns, len(self.ids), v.shape[1]
+        shared = self.table.sparkSession.sparkContext.broadcast(np.vstack((v, np.zeros((-n % tile, width)))))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # Sums of a task's tiles: one row for each stretch of entities it met.
+            sums: dict[tuple[int, str], np.ndarray] = {}
+            for pdf in frames:
+                for row in pdf.itertuples(index=False):
+                    for c in names:
+                        a = np.asarray(getattr(row, c)).reshape(tile, tile)
+                        for side, other, m in ((row.ti, row.tj, a),) + (((row.tj, row.ti, a.T),) if row.ti != row.tj else ()):
+                            part = m @ shared.value[other * tile : (other + 1) * tile]
+                            sums[side, c] = sums[side, c] + part if (side, c) in sums else part
+            yield pd.DataFrame({"t": [t for t, _ in sums], "c": [c for _, c in sums], "p": [p.ravel() for p in sums.values()]})
+
+        add = "aggregate(collect_list(p), cast(null as array<double>), (a, b) -> if(a is null, b, zip_with(a, b, (x, y) -> x + y)))"
+        out = {c: np.zeros((n + -n % tile, width)) for c in names}
+        for r in self.table.mapInPandas(run, "t long, c string, p array<double>").groupBy("t", "c").agg(F.expr(add).alias("p")).toLocalIterator():
+            out[r["c"]][r["t"] * tile : (r["t"] + 1) * tile] = np.asarray(r["p"]).reshape(tile, width)
+        shared.unpersist()
+        return {c: x[:n] for c, x in out.items()}
+
+    def whole(self, c: str) -> np.ndarray:
+        """The kernel as one matrix, for few entities."""
+        n, tile = len(self.ids), self.tile
+        out = np.zeros((n + -n % tile,) * 2)
+        for r in self.table.select("ti", "tj", c).toLocalIterator():
+            a = np.asarray(r[c]).reshape(tile, tile)
+            out[r["ti"] * tile : (r["ti"] + 1) * tile, r["tj"] * tile : (r["tj"] + 1) * tile] = a
+            out[r["tj"] * tile : (r["tj"] + 1) * tile, r["ti"] * tile : (r["ti"] + 1) * tile] = a.T
+        return out[:n, :n]
+
+
+def principal_components(kernel: DataFrame, k: int = 10, tile: int = TILE, direct: int = 2048, depth: int = 6, tolerance: float = 1e-9, restarts: int = 200, seed: int = 7) -> DataFrame:
+    """entity, pc1..pck of a kernel (i, j, value), scaled as unit eigenvectors; the largest entry of each is positive.
+
+    Up to ``direct`` entities are factored at once. Beyond, a block Krylov space
+    of the kernel is built, reduced to its best vectors and restarted until
+    residuals are small: each step is one product of the distributed tiles with
+    a thin matrix, so what the driver holds grows with the entities, not with
+    their square.
+    """
+    tiles = Tiles(kernel.select("i", "j", "value"), ["value"], tile)
+    n = len(tiles.ids)
+    if n <= direct:
+        value, vector = np.linalg.eigh(tiles.whole("value"))
+        v = vector[:, np.argsort(-value)[:k]]
+    else:
+        width = min(n, k + 4)
+        v = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+        for _ in range(restarts):
+            basis, images, w = [], [], v
+            for _ in range(depth):
+                basis.append(w)
+                images.append(tiles.times(w)["value"])
+                q = np.hstack(basis)
+                w = images[-1] - q @ (q.T @ images[-1])
+                w -= q @ (q.T @ w)
+                w, r = np.linalg.qr(w)
+                w = w[:, np.abs(np.diag(r)) > 1e-12 * max(1.0, np.abs(r).max())]
+                if not w.shape[1] or q.shape[1] + w.shape[1] > n:
+                    break
+            q, kq = np.hstack(basis), np.hstack(images)
+            h = q.T @ kq
+            value, y = np.linalg.eigh((h + h.T) / 2)
+            y = y[:, np.argsort(-value)[:width]]
+            value = np.sort(value)[::-1][:width]
+            v = np.linalg.qr(q @ y)[0]
+            residual = np.linalg.norm((kq @ y - (q @ y) * value)[:, :k], axis=0)
+            if residual.max() <= tolerance * max(abs(value[0]), 1e-300) or q.shape[1] >= n:
+                break
+        v = v[:, :k]
+    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1)
     out = pd.DataFrame(v, columns=[f"pc{c + 1}" for c in range(v.shape[1])])
-    out.insert(0, "entity", ids)
+    out.insert(0, "entity", tiles.ids)
     return kernel.sparkSession.createDataFrame(out)
 
 

@@ -73,6 +73,46 @@ def quantitative_1pop(geno: DataFrame, prior: DataFrame, hsq: float, n_causal: i
     return g.withColumn("pheno", F.col("g") + math.sqrt(max(1 - hsq, 0.0)) * normal(seed + 100, "indiv"))
 
 
+def from_kernels(kernels: DataFrame, variances: dict[str, float], covariates: DataFrame | None = None, effects: dict[str, float] | None = None, n_sim: int = 10, seed: int = 1, tile: int = 512, direct: int = 2048, steps: int = 80) -> DataFrame:
+    """indiv, sim, pheno: draws from a normal with covariance sum of variance x kernel (``e``: the identity) around the
+    covariates' effects (drawn by seed where not given).
+
+    kernels: i, j (i >= j) and a column for each variance but e. A draw is the
+    root of the covariance times normal numbers: by Cholesky up to ``direct``
+    people, beyond by Lanczos on products of the distributed tiles.
+    """
+    from .kernels import Tiles
+    from .variance import _triangle, lanczos
+
+    names = [k for k in variances if k != "e"]
+    tiles = Tiles(kernels.select("i", "j", *names), names, tile)
+    n = len(tiles.ids)
+    z = np.random.default_rng(seed).normal(size=(n, n_sim))
+    if n <= direct:
+        y = np.linalg.cholesky(sum((variances[k] * tiles.whole(k) for k in names), variances["e"] * np.eye(n))) @ z
+    else:
+        def apply(v: np.ndarray) -> np.ndarray:
+            got = tiles.times(v)
+            return sum((variances[k] * got[k] for k in names), variances["e"] * v)
+
+        alphas, betas, basis = lanczos(apply, z, min(steps, n), keep=True)
+        y = np.zeros_like(z)
+        for c in range(n_sim):
+            value, vector = _triangle(alphas, betas, c)
+            root = vector @ (np.sqrt(np.maximum(value, 0.0)) * vector[0])
+            y[:, c] = np.linalg.norm(z[:, c]) * sum(r * q[:, c] for r, q in zip(root, basis, strict=True))
+    spark = kernels.sparkSession
+    wide = spark.createDataFrame(pd.DataFrame(y, columns=[f"s{c}" for c in range(n_sim)]).assign(indiv=tiles.ids))
+    out = wide.select("indiv", F.posexplode(F.array(*[f"s{c}" for c in range(n_sim)])).alias("sim", "pheno"))
+    names = [c for c in covariates.columns if c != "indiv"] if covariates is not None else []
+    if names:
+        drawn = np.random.default_rng([seed, 1]).normal(size=len(names))
+        b = {c: (effects or {}).get(c, float(x)) for c, x in zip(names, drawn, strict=True)}
+        fixed = sum((F.lit(b[c]) * F.col(c) for c in names[1:]), F.lit(b[names[0]]) * F.col(names[0]))
+        out = out.join(covariates.select("indiv", fixed.alias("_f")), "indiv").withColumn("pheno", F.col("pheno") + F.col("_f")).drop("_f")
+    return out
+
+
 def binary(values: DataFrame, prevalence: float, method: str = "probit", seed: int = 1) -> DataFrame:
     """Add ``case`` to (indiv, pheno). probit: the liability, centred, at or above its threshold; logit: Bernoulli of the logistic
     value, whose intercept brings the mean to the prevalence (30 bisection steps over a histogram of the values)."""
@@ -151,7 +191,30 @@ def independent_genotypes(ancestry: DataFrame, freqs: DataFrame, seed: int = 1)
     return j.select("snp", "indiv", *[(uniform(seed + 2 * h, "snp", "indiv") < F.element_at(f, F.col(f"c{h}") + 1)).cast("int").alias(f"a{h}") for h in (0, 1)], "c0", "c1")
 
 
+def gamma(shape: Column, seed: int, *keys: str | Column, tries: int = 12) -> Column:
+    """A gamma draw of scale 1 by squeezed normals: of ``tries`` hashed proposals the first accepted (each is with a chance of
+    over 0.95); a shape below 1 is drawn one higher and scaled by a power of a uniform number."""
+    d = F.when(shape < 1, shape + 1).otherwise(shape) - 1 / 3
+    c = 1 / F.sqrt(9 * d)
+    tried = []
+    for t in range(tries):
+        x, u = normal(seed + 10 * t, *keys), uniform(seed + 10 * t + 5, *keys)
+        v = F.pow(1 + c * x, F.lit(3.0))
+        tried.append(F.when((v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(v)), d * v))
+    low = F.when(shape < 1, F.pow(uniform(seed + 7, *keys), 1 / shape)).otherwise(1.0)
+    return F.coalesce(*tried, d) * low
+
+
 def balding_nichols(freqs: DataFrame, fst: float, n_anc: int, seed: int = 1) -> DataFrame:
-    """snp, f1..fk: ancestry frequencies around ``freq`` by a normal approximation to the beta with the same mean and variance, kept in [0.001, 0.999]."""
-    sd = F.sqrt(F.lit(fst) * F.col("freq") * (1 - F.col("freq")))
-    return freqs.select("snp", *[F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("freq") + sd * normal(seed + 2 * a, "snp"))).alias(f"f{a + 1}") for a in range(n_anc)])
+    """snp, f1..fk: ancestry frequencies drawn from the beta with mean ``freq`` and variance fst freq (1 - freq), as a quotient
+    of two gammas. Frequencies 0 and 1 and fst 0 stay as they are."""
+    scale = (1 - fst) / fst if fst > 0 else None
+
+    def draw(a: int) -> Column:
+        if scale is None:
+            return F.col("freq")
+        p = F.col("freq")
+        x, y = gamma(p * scale, seed + 1000 * a, "snp"), gamma((1 - p) * scale, seed + 1000 * a + 500, "snp")
+        return F.when((p <= 0) | (p >= 1), p).otherwise(F.coalesce(F.try_divide(x, x + y), p))
+
+    return freqs.select("snp", *[draw(a).alias(f"f{a + 1}") for a in range(n_anc)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ensure_on_workers
 from ..functions.special import chi2_sf
+from .kernels import Tiles
 
 
 def with_identity(kernels: DataFrame, name: str = "e") -> DataFrame:
@@ -92,23 +93,54 @@ def mixed(kernels: DataFrame, grid: list[float]) -> DataFrame:
     return kernels.select(points.alias("rg"), "i", "j", "k1", "k2").select("rg", "i", "j", (F.col("k1") + F.col("rg") * F.col("k2")).alias("value"))
 
 
-def reml(k: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
-    """(restricted log-likelihood, genetic variance, environmental variance): one eigen-decomposition, then a search over the ratio of variances."""
-    u, _, _ = np.linalg.svd(c, full_matrices=True)
-    q = u[:, np.linalg.matrix_rank(c) :]
-    s, v = np.linalg.eigh(q.T @ k @ q)
-    z = (v.T @ (q.T @ y)) ** 2
-    n = len(z)
+DIRECT = 2048
+
+
+def lanczos(apply: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Alphas and betas (steps x columns) of the Lanczos recurrence from every column, and the vectors if asked for. A
+    column whose space is used up goes on with zeros, which have no weight."""
+    v = start / np.maximum(np.linalg.norm(start, axis=0), 1e-300)
+    before, beta = np.zeros_like(v), np.zeros(v.shape[1])
+    alphas, betas, basis = [], [], []
+    for _ in range(steps):
+        if keep:
+            basis.append(v)
+        w = apply(v) - beta * before
+        alpha = (w * v).sum(axis=0)
+        w -= alpha * v
+        for q in basis:  # only where vectors are kept: they stay orthogonal
+            w -= (q * w).sum(axis=0) * q
+        size = np.linalg.norm(w, axis=0)
+        live = size > 1e-10 * np.maximum(1.0, np.abs(alpha))
+        alphas.append(alpha)
+        betas.append(np.where(live, size, 0.0))
+        before, beta, v = v, betas[-1], np.where(live, w / np.where(live, size, 1.0), 0.0)
+        if not live.any():
+            break
+    return np.array(alphas), np.array(betas), basis
+
+
+def _triangle(alphas: np.ndarray, betas: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+    t = np.diag(alphas[:, c]) + np.diag(betas[:-1, c], 1) + np.diag(betas[:-1, c], -1)
+    return np.linalg.eigh(t)
+
+
+def maximise(theta: np.ndarray, z: np.ndarray, weight: np.ndarray, n: int) -> tuple[float, float, float]:
+    """(restricted log-likelihood, genetic variance, environmental variance) for eigenvalues with squared coordinates ``z`` of
+    y and counts ``weight`` (ones if all n eigenvalues are listed), by a search over the genetic share."""
+    seen = theta[(weight > 1e-12) | (z > 0)]
 
     def at(t: float) -> tuple[float, float]:
-        d = t * s + (1 - t)
-        if d.min() <= 1e-10:
+        d = t * theta + (1 - t)
+        if (t * seen + (1 - t)).min() <= 1e-10:
             return -np.inf, 0.0
-        var = (z / d).mean()
-        return -0.5 * (n * np.log(2 * np.pi * var) + np.log(d).sum() + n), var
+        d = np.maximum(d, 1e-10)
+        var = (z / d).sum() / n
+        return -0.5 * (n * np.log(2 * np.pi * var) + (weight * np.log(d)).sum() + n), var
 
-    # t is the genetic share; shares below 0 are allowed as far as the matrix stays positive.
-    lowest = -0.5 if s.max() <= 0 else max(-0.5, -0.99 / max(s.max() - 1, 1e-6)) if s.max() > 1 else -0.5
+    top = seen.max()
+    # Shares below 0 are allowed as far as the matrix stays positive.
+    lowest = max(-0.5, -0.99 / max(top - 1, 1e-6)) if top > 1 else -0.5
     grid = np.linspace(lowest, 0.999, 60)
     best = int(np.argmax([at(t)[0] for t in grid]))
     a, b, g = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)], (np.sqrt(5) - 1) / 2
@@ -119,38 +151,180 @@ def reml(k: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float, flo
     return float(ll), float(var * (a + b) / 2), float(var * (1 - (a + b) / 2))
 
 
-def correlation_curve(kernels: DataFrame, people: DataFrame, covariates: list[str], grid: list[float] | None = None, max_n: int = 20_000) -> DataFrame:
-    """rg, loglkl, vg, ve: the restricted likelihood of K1 + rg K2 at each grid point, points in parallel.
+def reml(k: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[float, float, float]:
+    """(restricted log-likelihood, genetic variance, environmental variance) by one eigen-decomposition."""
+    u, _, _ = np.linalg.svd(c, full_matrices=True)
+    q = u[:, np.linalg.matrix_rank(c) :]
+    s, v = np.linalg.eigh(q.T @ k @ q)
+    return maximise(s, (v.T @ (q.T @ y)) ** 2, np.ones(len(s)), len(s))
+
+
+def _people(kernels: DataFrame, people: DataFrame, columns: list[str], names: list[str], tile: int) -> tuple[Tiles, np.ndarray]:
+    """Tiles over the people of both tables without a null, and their columns in the tiles' order (a number per person and column)."""
+    who = people.select("indiv", *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    ids = who.select("indiv")
+    k = kernels.join(ids.withColumnRenamed("indiv", "i"), "i", "left_semi").join(ids.withColumnRenamed("indiv", "j"), "j", "left_semi")
+    tiles = Tiles(k.select("i", "j", *names), names, tile)
+    rows = who.toPandas().drop_duplicates("indiv").set_index("indiv").loc[tiles.ids]
+    return tiles, rows[columns].to_numpy(float).reshape(len(tiles.ids), len(columns))
+
 
-    The kernels' n x n values are sent to the tasks, so n is checked first;
-    people missing from either side are left out.
+def correlation_curve(kernels: DataFrame, people: DataFrame, covariates: list[str], grid: list[float] | None = None, tile: int = 512, direct: int = DIRECT, probes: int = 10, steps: int = 60, seed: int = 5) -> DataFrame:
+    """rg, loglkl, vg, ve: the restricted likelihood of K1 + rg K2 at each grid point. People missing from either side are left out.
+
+    Up to ``direct`` people, the matrices are shared (67 MB) and points are
+    factored in parallel. Beyond, no matrix leaves its tiles: Lanczos recurrences
+    of all points, from y and from ``probes`` random vectors, run side by side
+    on products of tiles with a thin matrix; quadratic forms of y are exact to
+    rounding after few steps, the log determinant is a mean over the probes,
+    which are the same at every point, so that curves are smooth.
     """
     spark = kernels.sparkSession
     grid = [i / 20 for i in range(21)] if grid is None else grid
-    n = kernels.where("i = j").count()
-    if n > max_n:
-        raise ValueError(f"{n} people: over {max_n} do not fit a task")
-    who = people.select("indiv", "y", *covariates).dropna().toPandas().sort_values("indiv")
-    k = kernels.toPandas()
-    ids = np.intersect1d(np.unique(k["i"]), who["indiv"])
-    who = who[who["indiv"].isin(ids)]
-    k = k[k["i"].isin(ids) & k["j"].isin(ids)]
-    i, j = np.searchsorted(ids, k["i"]), np.searchsorted(ids, k["j"])
-    mats = []
-    for name in ("k1", "k2"):
-        m = np.zeros((len(ids),) * 2)
-        m[i, j] = m[j, i] = k[name]
-        mats.append(m)
-    shared = spark.sparkContext.broadcast((mats[0], mats[1], who["y"].to_numpy(float), who[covariates].to_numpy(float) if covariates else np.ones((len(ids), 1))))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k1, k2, y, c = shared.value
-        for pdf in frames:
-            yield pd.DataFrame([(g, *reml(k1 + g * k2, y, c)) for g in pdf["rg"]], columns=["rg", "loglkl", "vg", "ve"])
-
-    ensure_on_workers(spark)
-    points = spark.createDataFrame([(float(g),) for g in grid], "rg double").repartition(len(grid))
-    return points.mapInPandas(run, "rg double, loglkl double, vg double, ve double")
+    tiles, x = _people(kernels, people, ["y", *covariates], ["k1", "k2"], tile)
+    n = len(tiles.ids)
+    y, c = x[:, 0], x[:, 1:] if covariates else np.ones((n, 1))
+    schema = "rg double, loglkl double, vg double, ve double"
+    if n <= direct:
+        shared = spark.sparkContext.broadcast((tiles.whole("k1"), tiles.whole("k2"), y, c))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            k1, k2, y, c = shared.value
+            for pdf in frames:
+                yield pd.DataFrame([(g, *reml(k1 + g * k2, y, c)) for g in pdf["rg"]], columns=["rg", "loglkl", "vg", "ve"])
+
+        ensure_on_workers(spark)
+        points = spark.createDataFrame([(float(g),) for g in grid], "rg double").repartition(len(grid))
+        return points.mapInPandas(run, schema)
+    q = np.linalg.qr(c)[0][:, : np.linalg.matrix_rank(c)]
+    off = lambda v: v - q @ (q.T @ v)
+    free = n - q.shape[1]
+    z = off(np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes)))
+    first = np.column_stack((off(y), z))
+    w = first.shape[1]
+    rg = np.repeat(np.array(grid, float), w)
+
+    def apply(v: np.ndarray) -> np.ndarray:
+        got = tiles.times(v)
+        return off(got["k1"] + rg * got["k2"])
+
+    alphas, betas, _ = lanczos(apply, np.tile(first, (1, len(grid))), min(steps, free))
+    out = []
+    for g, point in enumerate(grid):
+        theta, squares, counts = [], [], []
+        for i in range(w):
+            value, vector = _triangle(alphas, betas, g * w + i)
+            mass = vector[0] ** 2
+            theta.append(value)
+            squares.append(mass * (first[:, 0] @ first[:, 0]) if i == 0 else np.zeros(len(mass)))
+            counts.append(mass * free / probes if i else np.zeros(len(mass)))
+        out.append((float(point), *maximise(np.concatenate(theta), np.concatenate(squares), np.concatenate(counts), free)))
+    return spark.createDataFrame(out, schema)
+
+
+def he_covariance(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], tile: int = 512, columns: int = 256, probes: int | None = None, seed: int = 5) -> tuple[dict[str, float], np.ndarray]:
+    """(variances of the kernels and e, their sampling covariance D^-1 V D^-1) of Haseman-Elston regression.
+
+    With G_a = K_a P and S the sum of the kernels at their variances times P, V is
+    2 tr((S G_a)' (S G_b)). The trace is exact as a sum over unit vectors, which
+    pass the tiles ``columns`` at a time; with ``probes`` it is a mean over so
+    many random vectors instead.
+    """
+    est = he_regression(kernels, names, people, covariates)
+    full = [*names, "e"]
+    tiles, x = _people(kernels, people, ["y", *covariates], names, tile)
+    n = len(tiles.ids)
+    q = np.linalg.qr(x[:, 1:])[0] if covariates else np.zeros((n, 0))
+    off = lambda v: v - q @ (q.T @ v)
+
+    def each(v: np.ndarray) -> list[np.ndarray]:
+        v = off(v)
+        return [*tiles.times(v).values(), v]
+
+    v = np.zeros((len(full),) * 2)
+    random = np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes)) if probes else None
+    for a in range(0, probes or n, columns):
+        start = random[:, a : a + columns] if probes else np.eye(n, min(columns, n - a), -a)
+        images = each(start)
+        width = start.shape[1]
+        stacked = each(np.hstack(images))
+        total = sum(est[name] * s for name, s in zip(full, stacked, strict=True))
+        parts = [total[:, i * width : (i + 1) * width] for i in range(len(full))]
+        v += 2 * np.array([[(s * t).sum() for t in parts] for s in parts]) / (probes or 1)
+    design = np.zeros((len(full),) * 2)
+    for row in he_moments(with_identity(kernels), full, people, covariates)[0].collect():
+        i, j = full.index(row["a"]), full.index(row["b"])
+        design[i, j] = design[j, i] = row["value"]
+    inv = np.linalg.inv(design)
+    return est, inv @ v @ inv
+
+
+def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], tile: int = 512, direct: int = DIRECT, probes: int = 40, rounds: int = 50, tolerance: float = 1e-6, seed: int = 5) -> dict:
+    """Variances of several kernels and e by restricted maximum likelihood: {"var", "varcov", "rounds"}.
+
+    Average-information steps. What is needed of V^-1 is its product with y, the
+    covariates and vectors that come of them, and traces of P K_a: up to
+    ``direct`` people from the inverse, beyond by conjugate gradients on products
+    of tiles, with traces as means over ``probes`` random vectors.
+    """
+    tiles, x = _people(kernels, people, ["y", *covariates], names, tile)
+    n = len(tiles.ids)
+    y, c = x[:, 0], x[:, 1:] if covariates else np.ones((n, 1))
+    full = [*names, "e"]
+    dense = [tiles.whole(k) for k in names] if n <= direct else None
+    z = np.eye(n) if dense else np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes))
+
+    def each(v: np.ndarray) -> list[np.ndarray]:
+        return [*((k @ v for k in dense) if dense else tiles.times(v).values()), v]
+
+    def solve(var: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if dense:
+            return np.linalg.solve(sum(s * k for s, k in zip(var, [*dense, np.eye(n)], strict=True)), b)
+        out, r = np.zeros_like(b), b.copy()
+        p, size = r.copy(), (r * r).sum(axis=0)
+        least = 1e-20 * np.maximum(size, 1e-300)
+        for _ in range(n):
+            vp = sum(s * k for s, k in zip(var, each(p), strict=True))
+            step = np.where(size > least, size / np.where(size > least, (p * vp).sum(axis=0), 1.0), 0.0)
+            out, r = out + step * p, r - step * vp
+            new = (r * r).sum(axis=0)
+            if (new <= least).all():
+                break
+            p, size = r + np.where(size > least, new / np.where(size > least, size, 1.0), 0.0) * p, new
+        return out
+
+    var = np.full(len(full), y.var() / len(full))
+    for round_ in range(1, rounds + 1):
+        inverse = solve(var, np.column_stack((y, c, z)))
+        vy, vc, vz = inverse[:, 0], inverse[:, 1 : 1 + c.shape[1]], inverse[:, 1 + c.shape[1] :]
+        middle = np.linalg.inv(c.T @ vc)
+        project = lambda raw, b: raw - vc @ (middle @ (vc.T @ b))  # noqa: E731, B023
+        py, pz = project(vy, y), project(vz, z)
+        kpy = np.column_stack(each(py[:, None]))
+        pkpy = project(solve(var, kpy), kpy)
+        ai = kpy.T @ pkpy / 2
+        traces = np.array([(pz * k).sum() for k in each(z)]) * (1 if dense else 1 / probes)
+        score = ((kpy * py[:, None]).sum(axis=0) - traces) / 2
+        step = np.linalg.solve(ai, score)
+        scale = 1.0
+        while scale > 1e-3 and sum(var + scale * step) <= 0:
+            scale /= 2
+        # The environment's share has to stay positive, or V would be singular.
+        while (var + scale * step)[-1] <= 0 and scale > 1e-6:
+            scale /= 2
+        var = var + scale * step
+        if np.abs(scale * step).max() <= tolerance * y.var():
+            break
+    return {"var": dict(zip(full, var.tolist(), strict=True)), "varcov": np.linalg.inv(ai), "rounds": round_}
+
+
+def estimate(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], method: str = "HE", **options) -> dict[str, float]:
+    """Variances of kernels and e by moments (HE) or restricted likelihood (REML)."""
+    if method == "HE":
+        return he_regression(kernels, names, people, covariates)
+    if method == "REML":
+        return reml_components(kernels, names, people, covariates, **options)["var"]
+    raise ValueError("method is HE or REML")
 
 
 def sum_curves(curves: DataFrame) -> DataFrame:
@@ -159,26 +333,36 @@ def sum_curves(curves: DataFrame) -> DataFrame:
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline whose third derivative is continuous at the second and the last but one knot."""
+    """Cubic spline whose third derivative is continuous at the second and the last but one knot, in time linear in the knots."""
     n = len(x)
     if n < 4:
         return np.polyval(np.polyfit(x, y, n - 1), at)
     h = np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    a[0, :3] = -h[1], h[0] + h[1], -h[0]
-    a[-1, -3:] = -h[-1], h[-2] + h[-1], -h[-2]
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    m = np.linalg.solve(a, b)
+    # Three diagonals for the inner second derivatives; the ends are put in terms of their neighbours.
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    b = 6 * (np.diff(y[1:]) / h[1:] - np.diff(y[:-1]) / h[:-1])
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    up[0] -= h[0] * h[0] / h[1]
+    mid[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    m = np.zeros(n)
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        b[i] -= f * b[i - 1]
+    m[n - 2] = b[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (b[i] - up[i] * m[i + 2]) / mid[i]
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-2] + h[-1]) * m[-2] - h[-1] * m[-3]) / h[-2]
     k = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     lo, hi = x[k + 1] - at, at - x[k]
     return (m[k] * lo**3 + m[k + 1] * hi**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * lo + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * hi
 
 
 def summary(curve: DataFrame, points: int = 1001) -> dict:
-    """Mode, 50 % and 95 % intervals of highest density and the p value of rg = 1, from a curve of at most some hundred grid points."""
-    rows = curve.select("rg", "loglkl").orderBy("rg").limit(10_000).collect()
+    """Mode, 50 % and 95 % intervals of highest density and the p value of rg = 1, from a curve: one row per grid point."""
+    rows = curve.select("rg", "loglkl").orderBy("rg").collect()
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     fine = np.linspace(x[0], x[-1], points)
     ll = not_a_knot(x, y, fine)
