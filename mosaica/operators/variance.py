@@ -271,15 +271,25 @@ def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, cov
     n = len(tiles.ids)
     y, c = x[:, 0], x[:, 1:] if covariates else np.ones((n, 1))
     full = [*names, "e"]
-    dense = [tiles.whole(k) for k in names] if n <= direct else None
-    z = np.eye(n) if dense else np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes))
+    if n <= direct:
+        # Factored in a task, as bounded work for an executor.
+        spark = kernels.sparkSession
+        shared = spark.sparkContext.broadcast(([tiles.whole(k) for k in names], y, c))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            dense, y, c = shared.value
+            for _ in frames:
+                var, cov, done = _dense_components(dense, y, c, rounds, tolerance)
+                yield pd.DataFrame({"var": [var], "cov": [cov.ravel()], "rounds": [done]})
+
+        ensure_on_workers(spark)
+        got = spark.range(0, 1, 1, 1).mapInPandas(run, "var array<double>, cov array<double>, rounds int").first()
+        return {"var": dict(zip(full, got["var"], strict=True)), "varcov": np.array(got["cov"]).reshape(len(full), -1), "rounds": got["rounds"]}
 
     def each(v: np.ndarray) -> list[np.ndarray]:
-        return [*((k @ v for k in dense) if dense else tiles.times(v).values()), v]
+        return [*tiles.times(v).values(), v]
 
     def solve(var: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if dense:
-            return np.linalg.solve(sum(s * k for s, k in zip(var, [*dense, np.eye(n)], strict=True)), b)
         out, r = np.zeros_like(b), b.copy()
         p, size = r.copy(), (r * r).sum(axis=0)
         least = 1e-20 * np.maximum(size, 1e-300)
@@ -293,29 +303,50 @@ def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, cov
             p, size = r + np.where(size > least, new / np.where(size > least, size, 1.0), 0.0) * p, new
         return out
 
-    var = np.full(len(full), y.var() / len(full))
-    for round_ in range(1, rounds + 1):
+    z = np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes))
+    var, cov, done = _average_information(each, solve, lambda v: v[-1] > 0, y, c, z, 1 / probes, rounds, tolerance)
+    return {"var": dict(zip(full, var.tolist(), strict=True)), "varcov": cov, "rounds": done}
+
+
+def _dense_components(dense: list[np.ndarray], y: np.ndarray, c: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    one = np.eye(len(y))
+    total = lambda v: sum(s * k for s, k in zip(v, [*dense, one], strict=True))
+
+    def positive(v: np.ndarray) -> bool:
+        try:
+            np.linalg.cholesky(total(v))
+        except np.linalg.LinAlgError:
+            return False
+        return bool(v[-1] > 0)
+
+    return _average_information(lambda v: [*(k @ v for k in dense), v], lambda v, b: np.linalg.solve(total(v), b), positive, y, c, one, 1.0, rounds, tolerance)
+
+
+def _average_information(each: Callable, solve: Callable, positive: Callable, y: np.ndarray, c: np.ndarray, z: np.ndarray, weight: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(variances, their covariance, rounds): ``each`` multiplies by every kernel, ``solve`` by the inverse covariance; traces
+    are ``weight`` times sums over the columns of z."""
+    var = np.full(len(each(y[:, None])), y.var())
+    var /= len(var)
+    for done in range(1, rounds + 1):
         inverse = solve(var, np.column_stack((y, c, z)))
         vy, vc, vz = inverse[:, 0], inverse[:, 1 : 1 + c.shape[1]], inverse[:, 1 + c.shape[1] :]
         middle = np.linalg.inv(c.T @ vc)
         project = lambda raw, b: raw - vc @ (middle @ (vc.T @ b))  # noqa: E731, B023
         py, pz = project(vy, y), project(vz, z)
         kpy = np.column_stack(each(py[:, None]))
-        pkpy = project(solve(var, kpy), kpy)
-        ai = kpy.T @ pkpy / 2
-        traces = np.array([(pz * k).sum() for k in each(z)]) * (1 if dense else 1 / probes)
-        score = ((kpy * py[:, None]).sum(axis=0) - traces) / 2
-        step = np.linalg.solve(ai, score)
+        ai = kpy.T @ project(solve(var, kpy), kpy) / 2
+        score = ((kpy * py[:, None]).sum(axis=0) - weight * np.array([(pz * k).sum() for k in each(z)])) / 2
+        step = np.linalg.lstsq(ai, score, rcond=None)[0]
+        # The covariance has to stay positive: a step that leaves is halved.
         scale = 1.0
-        while scale > 1e-3 and sum(var + scale * step) <= 0:
-            scale /= 2
-        # The environment's share has to stay positive, or V would be singular.
-        while (var + scale * step)[-1] <= 0 and scale > 1e-6:
+        while scale > 1e-6 and not (np.isfinite(step).all() and positive(var + scale * step)):
             scale /= 2
+        if scale <= 1e-6:
+            break
         var = var + scale * step
         if np.abs(scale * step).max() <= tolerance * y.var():
             break
-    return {"var": dict(zip(full, var.tolist(), strict=True)), "varcov": np.linalg.inv(ai), "rounds": round_}
+    return var, np.linalg.pinv(ai), done
 
 
 def estimate(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], method: str = "HE", **options) -> dict[str, float]:
