@@ -289,25 +289,43 @@ def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, cov
     def each(v: np.ndarray) -> list[np.ndarray]:
         return [*tiles.times(v).values(), v]
 
-    def solve(var: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out, r = np.zeros_like(b), b.copy()
-        p, size = r.copy(), (r * r).sum(axis=0)
-        least = 1e-20 * np.maximum(size, 1e-300)
-        for _ in range(n):
-            vp = sum(s * k for s, k in zip(var, each(p), strict=True))
-            step = np.where(size > least, size / np.where(size > least, (p * vp).sum(axis=0), 1.0), 0.0)
-            out, r = out + step * p, r - step * vp
-            new = (r * r).sum(axis=0)
-            if (new <= least).all():
-                break
-            p, size = r + np.where(size > least, new / np.where(size > least, size, 1.0), 0.0) * p, new
-        return out
-
     z = np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes))
-    var, cov, done = _average_information(each, solve, lambda v: v[-1] > 0, y, c, z, 1 / probes, rounds, tolerance)
+    var, cov, done = stochastic_components(each, y, c, z, rounds, tolerance)
     return {"var": dict(zip(full, var.tolist(), strict=True)), "varcov": cov, "rounds": done}
 
 
+def stochastic_components(each: Callable, y: np.ndarray, c: np.ndarray, z: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Components from products with the kernels alone; conjugate gradients meet a negative curvature where the covariance isn't positive."""
+
+    def positive(v: np.ndarray) -> bool:
+        try:
+            conjugate_gradients(each, v, np.column_stack((y, z[:, :2])))
+        except np.linalg.LinAlgError:
+            return False
+        return bool(v[-1] > 0)
+
+    return _average_information(each, lambda v, b: conjugate_gradients(each, v, b), positive, y, c, z, 1 / z.shape[1], rounds, tolerance)
+
+
+def conjugate_gradients(each: Callable, var: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(sum of var x kernel)^-1 b for all columns side by side; ``each`` multiplies by every kernel."""
+    out, r = np.zeros_like(b), b.copy()
+    p, size = r.copy(), (r * r).sum(axis=0)
+    least = 1e-20 * np.maximum(size, 1e-300)
+    for _ in range(2 * len(b)):
+        vp = sum(s * k for s, k in zip(var, each(p), strict=True))
+        bend = (p * vp).sum(axis=0)
+        if (bend[size > least] <= 0).any():
+            raise np.linalg.LinAlgError("not positive")
+        step = np.where(size > least, size / np.where(size > least, bend, 1.0), 0.0)
+        out, r = out + step * p, r - step * vp
+        new = (r * r).sum(axis=0)
+        if (new <= least).all():
+            break
+        p, size = r + np.where(size > least, new / np.where(size > least, size, 1.0), 0.0) * p, new
+    return out
+
+
 def _dense_components(dense: list[np.ndarray], y: np.ndarray, c: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
     one = np.eye(len(y))
     total = lambda v: sum(s * k for s, k in zip(v, [*dense, one], strict=True))

@@ -145,8 +145,12 @@ def test_components_by_restricted_likelihood(spark, study):
     at = list(found["var"].values())
     best = ll(*at)
     assert all(ll(*(np.array(at) + d)) <= best + 1e-7 for d in 0.02 * np.vstack((np.eye(3), -np.eye(3))))
-    rough = variance.reml_components(kernels, ["k1", "k2"], people, ["one", "cov"], tile=16, direct=0, probes=400, rounds=8)["var"]
-    assert all(abs(rough[k] - found["var"][k]) < 0.3 for k in rough)
+    each = lambda v: [k1 @ v, k2 @ v, v]
+    b = np.random.default_rng(1).normal(size=(40, 3))
+    np.testing.assert_allclose(variance.conjugate_gradients(each, np.array([0.5, 0.2, 0.3]), b), np.linalg.solve(0.5 * k1 + 0.2 * k2 + 0.3 * np.eye(40), b), rtol=1e-6)
+    z = np.random.default_rng(2).choice([-1.0, 1.0], size=(40, 2000))
+    rough, _, _ = variance.stochastic_components(each, y, c, z, 50, 1e-6)
+    np.testing.assert_allclose(rough, at, atol=0.25)
     assert found["varcov"].shape == (3, 3) and variance.estimate(kernels, ["k1"], people, ["one"], "HE").keys() == {"k1", "e"}
 
 
