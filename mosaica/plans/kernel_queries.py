@@ -88,13 +88,13 @@ def snp_corr(spark, d):
 
 @query("ld_r2_window", f"WITH {_CORR} SELECT chrom, s, t, round(corr * corr, 6) AS r2 FROM r WHERE s - t < 20 AND corr * corr > 0.1")
 def ld_r2_window(spark, d):
-    r2 = K.correlations(B.genotypes(spark, d), B.variants(spark, d)).withColumn("r2", F.col("corr") * F.col("corr"))
+    r2 = K.correlations(B.genotypes(spark, d), B.variants(spark, d), 20).withColumn("r2", F.col("corr") * F.col("corr"))
     return r2.where("s - t < 20 AND r2 > 0.1").select("chrom", "s", "t", r6("r2"))
 
 
 @query("ld_prune")
 def ld_prune(spark, d):
-    r2 = K.correlations(B.genotypes(spark, d), B.variants(spark, d)).withColumn("r2", F.col("corr") * F.col("corr"))
+    r2 = K.correlations(B.genotypes(spark, d), B.variants(spark, d), 100).withColumn("r2", F.col("corr") * F.col("corr"))
     return K.prune(r2, B.variants(spark, d)).select("snp", "chrom", "pos")
 
 

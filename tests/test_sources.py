@@ -172,3 +172,34 @@ def test_commands(spark, stored, tmp_path):
     cli.main(["summarize-genet-cor", "--curves", str(tmp_path / "curve"), "--out", str(tmp_path / "s.json")])
     assert 0 <= json.load(open(tmp_path / "s.json"))["rg_mode"] <= 1
     cli.main(["simulate-pheno", "--panel", path, "--out", str(tmp_path / "sim"), "--n-causal", "5", "--prevalence", "0.3"])
+
+
+def test_alignment_commands(spark, stored, tmp_path):
+    path, geno = stored
+    (tmp_path / "a.pvar").write_text("#CHROM\tPOS\tID\tREF\tALT\n1\t10\trs1\tA\tC\n1\t20\trs2\tG\tT\n2\t5\trs3\tA\tG\n")
+    (tmp_path / "b.pvar").write_text("#CHROM\tPOS\tID\tREF\tALT\n1\t10\tx1\tC\tA\n1\t20\tx2\tG\tT\n1\t30\tx3\tA\tG\n")
+    (tmp_path / "chain.tsv").write_text("chrom\tstart\tstop\tto_chrom\tto_start\tforward\n1\t0\t15\t7\t100\ttrue\n1\t15\t25\t8\t200\tfalse\n")
+    a, b, out = (str(tmp_path / x) for x in ("a.pvar", "b.pvar", "out"))
+    cli.main(["pfile-align-snp", "--left", a, "--right", b, "--out", out])
+    assert sorted((r["snp1"], r["snp2"], r["flip"]) for r in spark.read.parquet(out).collect()) == [(0, 0, -1), (1, 1, 1)]
+    cli.main(["subset-hapmap3", "--variants", a, "--reference", b, "--out", out])
+    assert sorted(r[0] for r in spark.read.text(out).collect()) == ["rs1", "rs2"]
+    cli.main(["liftover", "--variants", a, "--chain", str(tmp_path / "chain.tsv"), "--out", out])
+    assert sorted(map(tuple, spark.read.parquet(out).select("snp", "chrom", "pos").collect())) == [(0, 7, 110), (1, 8, 204), (2, -1, -1)]
+    cli.main(["pfile-merge-indiv", "--left", path, "--right", path, "--out", out])
+    assert spark.read.parquet(out).count() == 2 * geno.count()
+
+
+def test_results_of_other_tools(spark, tmp_path):
+    from mosaica.sources import results
+
+    (tmp_path / "p.eigenvec").write_text("#FID IID PC1 PC2\n0 a 0.5 -1e-3\n0 b 0.25 2\n")
+    (tmp_path / "p.eigenval").write_text("3.5\n1.25\n")
+    pcs, values = results.eigenvectors(spark, str(tmp_path / "p"))
+    assert values == [3.5, 1.25] and sorted(map(tuple, pcs.collect())) == [("a", 0.5, -0.001), ("b", 0.25, 2.0)]
+    (tmp_path / "r.log").write_text("start\n\nSummary result of REML analysis:\nSource\tVariance\tSE\nV(G)\t0.4\t0.1\nV(e)\t0.6\t0.2\nVp\t1.0\t0.1\n\nSampling variance/covariance of the estimates of variance components:\n0.01\t-0.005\n-0.005\t0.04\n")
+    (tmp_path / "r.hsq").write_text("Source\tVariance\tSE\nlogL\t-12.5\nn\t100\n")
+    got = results.variance_components(spark, str(tmp_path / "r"))
+    assert (got["loglik"], got["n"]) == (-12.5, 100)
+    assert sorted(map(tuple, got["est"].collect())) == [("V(G)", 0.4, 0.1), ("V(e)", 0.6, 0.2)]
+    assert {(r["a"], r["b"]): r["value"] for r in got["varcov"].collect()}[("V(e)", "V(G)")] == -0.005
