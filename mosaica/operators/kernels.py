@@ -291,6 +291,8 @@ class Tiles:
         spark = kernel.sparkSession
         ensure_on_workers(spark)
         self.columns, self.tile = columns, tile
+        # Written, as a kernel is dear and is read three times here.
+        kernel = written(kernel.select("i", "j", *columns))
         index = dense_index(kernel.select(F.col("i").alias("entity")).unionByName(kernel.select(F.col("j").alias("entity"))).distinct(), "entity", "at")
         index = written(index.select("entity", "at"))
         self.ids = np.array([r[0] for r in index.orderBy("at").select("entity").toLocalIterator()], np.int64)  # a number for each entity
