@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from .alleles import multiply, of_ancestry
 
 
-def uniform(seed: int, *keys: str | Column) -> Column:
+def uniform(seed: int | Column, *keys: str | Column) -> Column:
     """In (0, 1), by hash."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def normal(seed: int, *keys: str | Column) -> Column:
+def normal(seed: int | Column, *keys: str | Column) -> Column:
     """Standard normal by Box and Muller."""
     return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(2 * math.pi * uniform(seed + 1, *keys))
 
@@ -196,13 +196,16 @@ def gamma(shape: Column, seed: int, *keys: str | Column, tries: int = 12) -> Col
     over 0.95); a shape below 1 is drawn one higher and scaled by a power of a uniform number."""
     d = F.when(shape < 1, shape + 1).otherwise(shape) - 1 / 3
     c = 1 / F.sqrt(9 * d)
-    tried = []
-    for t in range(tries):
-        x, u = normal(seed + 10 * t, *keys), uniform(seed + 10 * t + 5, *keys)
-        v = F.pow(1 + c * x, F.lit(3.0))
-        tried.append(F.when((v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(v)), d * v))
+
+    def proposal(t: Column) -> Column:
+        x = normal(F.lit(seed) + 10 * t, *keys)
+        return F.struct(x.alias("x"), F.pow(1 + c * x, F.lit(3.0)).alias("v"), uniform(F.lit(seed + 5) + 10 * t, *keys).alias("u"))
+
+    # One small expression over the numbers of the tries, so that plans stay small.
+    tried = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), proposal)
+    accepted = lambda p: (p["v"] > 0) & (F.log(p["u"]) < 0.5 * p["x"] * p["x"] + d - d * p["v"] + d * F.log(p["v"]))
     low = F.when(shape < 1, F.pow(uniform(seed + 7, *keys), 1 / shape)).otherwise(1.0)
-    return F.coalesce(*tried, d) * low
+    return d * F.coalesce(F.get(F.filter(tried, accepted), F.lit(0))["v"], F.lit(1.0)) * low
 
 
 def balding_nichols(freqs: DataFrame, fst: float, n_anc: int, seed: int = 1) -> DataFrame:
