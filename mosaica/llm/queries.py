@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, licenses, mixing, packing, preference, quality, simhash, substring_dedup
+from . import ann, embedding_dedup, langid, licenses, mixing, packing, preference, quality, runs, simhash, substring_dedup, urls, variants
 from .common import table
 
 
@@ -132,6 +132,86 @@ WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.rid = a.rid AND a.start < b.start +
                   AND row(-b.dice, -b.n, b.license, b.template, b.start) < row(-a.dice, -a.n, a.license, a.template, a.start))
 """
 
+#: crc32 of a string in DuckDB: the table of the polynomial, then a fold over the bytes of its UTF-8 form.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS steps)"
+
+
+def _crc32_sql(text: str) -> str:
+    number = "CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT)"
+    return f"xor(list_reduce(list_transform(range(0, len(hx) // 2), lambda i: {number}), lambda c, b: xor(c // 256, steps[xor(c, b) % 256 + 1]), 4294967295), 4294967295)".replace("hx", f"hex(encode({text}))")
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", runs.longest_exponent(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+#: Pairs of equal words a period apart, as islands: rows taken apart by rowid, every period's stretches, of which the smallest period of each stays.
+OP11_SQL = r"""
+WITH """ + CRC_TABLE + r""",
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, """ + _crc32_sql("CAST(doc_id AS VARCHAR)") + r""" AS h FROM documents, crc),
+g AS (SELECT *, len(words) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(0, n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS words FROM p),
+w AS (SELECT rid, n, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM t),
+e AS (SELECT x.rid, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+l AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e) GROUP BY rid, q, island),
+r AS (SELECT rid, start, length, min(q) AS period FROM l WHERE length >= greatest(24, 3 * q) GROUP BY rid, start, length),
+s AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY rid),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM r) WHERE k = 1),
+x AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT w.rid, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN x ON w.rid = x.rid AND w.i = x.i WHERE x.i IS NULL GROUP BY w.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN s USING (rid) LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)
+"""
+
+#: Fixed values of the contract: the rules that the pages are judged by.
+OP12_RULES = "('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {OP12_RULES} AS r(host, path, verdict)")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
+OP12_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {OP12_RULES}),
+c AS (SELECT page_id, row_number() OVER () AS rid, CASE WHEN contains(url, '://') THEN regexp_replace(substr(url, instr(url, '://') + 3), '[?#].*$', '', 's') ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, rid, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM c),
+f AS (SELECT u.rid, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY u.rid ORDER BY length(r.host) + length(r.path) DESC, length(r.host) DESC) AS k
+      FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (rid)
+"""
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(variants.with_typos(variants.occurrences(table(spark, sf_dir, "documents"))))
+    return variants.forms(words)
+
+
+#: Near words share what is left without a letter at one place (replaced), or one is what the other leaves (inserted).
+OP13_SQL = r"""
+WITH RECURSIVE """ + CRC_TABLE + r""",
+o AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) WHERE length(w) >= 5 GROUP BY ALL),
+h AS (SELECT w, c, """ + _crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w") + r""" AS h FROM o, crc),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+b AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, n AS near_n, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(near)) AS k FROM p),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON v.word = b.word),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk w ON f.word = w.word JOIN f l ON l.word = w.at AND l.form IS NULL
+"""
+
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -144,5 +224,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_runs": op11_runs,
+    "op12_urls": op12_urls,
+    "op13_variants": op13_variants,
 }
-ORACLE_SQL = {"op4_preference": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_licenses": _op10_sql()}
+ORACLE_SQL = {"op4_preference": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": OP8_SQL, "op10_licenses": _op10_sql(), "op11_runs": OP11_SQL, "op12_urls": OP12_SQL, "op13_variants": OP13_SQL}
