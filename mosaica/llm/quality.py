@@ -127,24 +127,31 @@ def start(dim: int, rank: int, share: float, mean: np.ndarray, scale: np.ndarray
 def train(docs: DataFrame, labels: DataFrame, dim: int = 1 << 16, rank: int = 8, sample: int = 6000, epochs: int = 4, rate: float = 0.1, l2: float = 1e-5, seed: int = 9) -> Model:
     """Learn ``quality`` from labelled rows whose crc32(doc_id) mod 4 is not 2.
 
-    ``sample`` bounds what is fitted: the labelled ids of smallest hash. Only
-    their ids are broadcast. Their features, in pieces of bounded size, stream
-    through one task in seeded order, as the updates are sequential; the driver
-    gets the factors, whose size is fixed. Null labels and ids teach nothing; an
-    id with several labels has their mean; without labels every score is 0.5.
+    ``sample`` bounds what is fitted: the labelled ids of smallest hash, with one
+    text each (of several the one of smallest hash), so rows that share an id don't
+    break the bound. Only ids and text hashes are broadcast. Their features, in
+    pieces of bounded size, stream through one task in seeded order, as the updates
+    are sequential; the driver gets the factors, whose size is fixed. Null labels
+    and ids teach nothing, null and empty texts have only statistics; an id with
+    several labels has their mean; without labels every score is 0.5.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.avg("_y").alias("y")).withColumn("h", F.xxhash64("_id", F.lit(seed))).orderBy("h", "_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     # At most `sample` ids: a size fixed by the parameter, not by the data.
-    rows = texts.join(F.broadcast(marks), "_id").select(F.monotonically_increasing_id().alias("r"), "h", "y", "text")
+    marks = materialize_table(marks)
+    texts = texts.withColumn("t", F.xxhash64("text", F.lit(seed)))
+    one = texts.join(F.broadcast(marks.select("_id")), "_id").groupBy("_id").agg(F.min("t").alias("t"))
+    rows = texts.join(F.broadcast(marks.join(one, "_id")), ["_id", "t"]).select("h", "y", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_by_bytes(batches, "text"):
             found = [features(t, dim) for t in part.column("text").to_pylist()]
-            yield from pieces(part.select(["r", "h", "y"]), found, [pa.int64(), pa.float64()], ["ids", "x"])
+            yield from pieces(part.select(["h", "y"]), found, [pa.int64(), pa.float64()], ["ids", "x"])
 
-    taken = materialize_table(map_arrow(rows, sparse, "r long, h long, y double, part int, ids array<long>, x array<double>"))
+    # Equal rows give equal pieces, of which one stays.
+    taken = map_arrow(rows, sparse, "h long, y double, part int, ids array<long>, x array<double>").groupBy("h", "y", "part")
+    taken = materialize_table(taken.agg(F.first("ids").alias("ids"), F.first("x").alias("x")))
     # The last piece of a row ends with its statistics.
     k = len(STATISTICS)
     last = taken.select("y", "part", F.posexplode("ids").alias("i", "id"), F.col("x")).where(F.col("id") >= dim).select("y", (F.col("id") - dim).alias("s"), F.element_at("x", F.col("i") + 1).alias("x"))
@@ -158,79 +165,20 @@ def train(docs: DataFrame, labels: DataFrame, dim: int = 1 << 16, rank: int = 8,
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(start(dim, rank, found[0]["share"], mean, scale, seed), rate, l2)
-        for row in joined(batches, ["turn", "r"], ["ids", "x"]):
+        for row in joined(batches, ["turn", "h"], ["ids", "x"]):
             machine.step(row["ids"], row["x"], row["y"])
         m = machine.m
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(m.w))), pa.array(np.concatenate(([m.w0], m.w))), pa.array([None, *m.v], pa.list_(pa.float64()))], ["feature", "w", "v"])
 
-    got = map_arrow(stream.repartition(1).sortWithinPartitions("turn", "place", "r", "part"), fitted, "feature long, w double, v array<double>").toPandas().sort_values("feature")  # dim + 16 rows
+    got = map_arrow(stream.repartition(1).sortWithinPartitions("turn", "place", "h", "part"), fitted, "feature long, w double, v array<double>").toPandas().sort_values("feature")  # dim + 16 rows
     return Model(dim, float(got.w.iloc[0]), got.w.to_numpy()[1:].copy(), np.stack(got.v.to_numpy()[1:]), mean, scale)
 
 
-def score(self, text: str | None) -> float:
-        ids, x = features(text, self.dim)
-        return float(1 / (1 + np.exp(-np.clip(interactions(self.w0, self.w[ids], self.v[ids], self.prepared(ids, x)), -35, 35))))
-
-
-def interactions(w0: float, w: np.ndarray, v: np.ndarray, x: np.ndarray) -> float:
-    """The machine's sum for one row, linear in its features: the square of sums less the sum of squares."""
-    s = x @ v
-    return float(w0 + x @ w + 0.5 * (s @ s - ((x * x) @ (v * v)).sum()))
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], dim: int, rank: int, epochs: int, rate: float, l2: float, seed: int) -> Model:
-    """Adaptive-gradient descent on log loss, in seeded order."""
-    rng = np.random.default_rng(seed)
-    size, k = dim + len(STATISTICS), len(STATISTICS)
-    stats = np.array([x[-k:] for _, x, _ in rows]).reshape(len(rows), k)
-    mean, scale = (stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)) if len(rows) else (np.zeros(k), np.ones(k))
-    y_mean = float(np.mean([y for *_, y in rows])) if rows else 0.5
-    y_mean = min(max(y_mean, 0.01), 0.99)
-    m = Model(dim, float(np.log(y_mean / (1 - y_mean))), np.zeros(size), rng.normal(0, 0.02, (size, rank)), mean, scale)
-    gw, gv = np.full(size, 1e-2), np.full((size, rank), 1e-2)
-    data = [(ids, m.prepared(ids, x), y) for ids, x, y in rows]
-    for _ in range(epochs):
-        for r in rng.permutation(len(data)):
-            ids, x, y = data[r]
-            w, v = m.w[ids], m.v[ids]
-            s = x @ v
-            out = m.w0 + x @ w + 0.5 * (s @ s - ((x * x) @ (v * v)).sum())
-            g = 1 / (1 + np.exp(-np.clip(out, -35, 35))) - y
-            m.w0 -= 0.01 * g
-            dw = g * x + l2 * w
-            dv = g * (x[:, None] * s[None, :] - (x * x)[:, None] * v) + l2 * v
-            gw[ids] += dw * dw
-            gv[ids] += dv * dv
-            m.w[ids] = w - rate * dw / np.sqrt(gw[ids])
-            m.v[ids] = v - rate * dv / np.sqrt(gv[ids])
-    return m
-
-
-def train(docs: DataFrame, labels: DataFrame, dim: int = 1 << 16, rank: int = 8, sample: int = 6000, epochs: int = 4, rate: float = 0.1, l2: float = 1e-5, seed: int = 9) -> Model:
-    """Learn ``quality`` from labelled rows whose crc32(doc_id) mod 4 is not 2.
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of every whole text, however long; null and empty texts are scored by their statistics.
 
-    ``sample`` bounds what is fitted: the labelled ids of smallest hash. Only
-    their ids are broadcast and only their features (at most ``dim`` numbers
-    each) reach the driver. Null labels and ids teach nothing; an id with
-    several labels has their mean; without labels every score is 0.5.
+    Repeated rows and shared or null ids give a row each; columns other than doc_id and text aren't read; ties are equal scores.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
-    marks = marks.groupBy("_id").agg(F.avg("_y").alias("_y")).withColumn("_h", F.xxhash64("_id", F.lit(seed))).orderBy("_h", "_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    # At most `sample` ids: a size fixed by the parameter, not by the data.
-    joined = texts.join(F.broadcast(marks), "_id").select("_h", "_y", "text")
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices_by_bytes(batches, "text"):
-            found = [features(t, dim) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("_h"), part.column("_y"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["h", "y", "ids", "x"])
-
-    got = map_arrow(joined, sparse, "h long, y double, ids array<long>, x array<double>").orderBy("h").limit(sample).collect()
-    return fit([(np.array(r["ids"]), np.array(r["x"]), r["y"]) for r in got], dim, rank, epochs, rate, l2, seed)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every whole text; null and empty texts are scored by their statistics."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +191,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """doc_id, held_out, score, predicted (1 where score >= threshold).
 
-    Repeated rows give repeated rows; null ids are not held out; an empty table gives no row.
+    Repeated rows give repeated rows; null ids are not held out; an empty table gives no row; very long
+    texts are read whole; further columns of either table, whatever their names, are left out.
     """
     found = score(docs, train(docs, labels, **options))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
