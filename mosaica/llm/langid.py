@@ -181,10 +181,12 @@ def train(
     """Learn from text and lang of the rows whose crc32(doc_id) mod 4 is not 2.
 
     Document frequencies cover all of these rows' texts. ``sample`` +
-    ``calibration`` labelled rows (the bound of what is fitted; those of smallest
-    id hash) train the weights and the temperature. Rows with a null text or
-    lang, or without a letter, teach nothing; without labels the model has no
-    language and predicts ``und``.
+    ``calibration`` labelled texts (the bound of what is fitted; those of smallest
+    hash of id and text) train the weights and the temperature. Rows that share an
+    id, or have none, are told apart by their texts; equal rows count once, and of
+    several langs of theirs the smallest. Rows with a null text or lang, or without
+    a letter, teach nothing; without labels the model has no language and predicts
+    ``und``.
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("text").isNotNull())
@@ -208,21 +210,23 @@ def train(
     kept = found[found.feature >= 0]
     idf[kept.feature.to_numpy()] = np.log((1 + n_docs) / (1 + kept.n.to_numpy())) + 1
 
-    chosen = rows.where(F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", F.lit(seed)))
+    chosen = rows.where(F.col("lang").isNotNull()).withColumn("h", F.xxhash64("id", "text", F.lit(seed)))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices_by_bytes(batches, "text"):
             found = [counts(t, dim, longest) for t in part.column("text").to_pylist()]
-            yield from pieces(part.select(["r", "h", "lang"]), found, [pa.int32(), pa.int32()], ["ids", "ns"])
+            yield from pieces(part.select(["h", "lang"]), found, [pa.int32(), pa.int32()], ["ids", "ns"])
 
-    # The hashes that bound the sample, found without texts: only the sample's texts are then reduced.
+    # The hash that bounds the sample; only the sample's texts are then reduced.
     limit = sample + calibration
-    top = chosen.select("h").orderBy("h").limit(limit).agg(F.max("h"), F.count("*")).first()
+    top = chosen.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h"), F.count("*")).first()
     nothing = Model([], idf, np.zeros(dim + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 1.0, dim, longest)
     if not top[1]:
         return nothing
-    taken = chosen.where(F.col("h") <= top[0]).select(F.monotonically_increasing_id().alias("r"), "h", "lang", "text")
-    taken = materialize_table(map_arrow(taken, sparse, "r long, h long, lang string, part int, ids array<int>, ns array<int>"))
+    taken = chosen.where(F.col("h") <= top[0]).select("h", "lang", "text")
+    # Equal rows give equal pieces, of which one stays.
+    taken = map_arrow(taken, sparse, "h long, lang string, part int, ids array<int>, ns array<int>").groupBy("h", "part")
+    taken = materialize_table(taken.agg(F.min("lang").alias("lang"), F.first("ids").alias("ids"), F.first("ns").alias("ns")))
     languages = [r[0] for r in taken.select("lang").distinct().orderBy("lang").limit(limit).collect()]
     if not languages:
         return nothing
@@ -234,7 +238,7 @@ def train(
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(dim, len(languages), alpha, beta, l1, l2)
         logits, truth, dense = [], [], None
-        for row in joined(batches, ["turn", "r"], ["ids", "ns"]):
+        for row in joined(batches, ["turn", "h"], ["ids", "ns"]):
             ids, y = row["ids"], languages.index(row["lang"])
             x = vector(ids, row["ns"], idf)
             if row["turn"] < epochs:
@@ -251,7 +255,7 @@ def train(
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["feature", "of", "weight"])
 
     # One task: at most ``sample`` + ``calibration`` documents, each in pieces, pass by it in order.
-    fit = map_arrow(stream.repartition(1).sortWithinPartitions("turn", "place", "r", "part"), fitted, "feature long, of long, weight double")
+    fit = map_arrow(stream.repartition(1).sortWithinPartitions("turn", "place", "h", "part"), fitted, "feature long, of long, weight double")
     got = fit.toPandas().sort_values(["feature", "of"])  # at most (dim + 1) x languages + 1 rows
     w = got[got.feature < dim]
     return Model(languages, idf, by_feature(w.feature.to_numpy(), dim), w.of.to_numpy(), w.weight.to_numpy(), got.weight[got.feature == dim].to_numpy(), float(got.weight.iloc[-1]), dim, longest)
@@ -273,14 +277,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def language(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score: trained on the part of ``docs`` that may be learnt from, applied to all.
 
-    Repeated rows give repeated rows; null ids are not held out; an empty table gives no row.
+    Repeated rows give repeated rows; null ids are not held out; an empty table gives no row; very long texts are
+    read whole; of languages with equal scores the first in order is predicted; further columns are left out.
     """
     found = identify(docs, train(docs, **options))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The documents whose language is known with a score of ``least`` at least; all columns and the text as it was."""
+    """The documents whose language is known with a score of ``least`` at least; all columns and the text as it was.
+
+    Null texts and texts without a letter go; null ids stay; repeated rows stay or go together; an empty table gives no row.
+    """
     model = train(docs, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
