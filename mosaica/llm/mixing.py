@@ -112,22 +112,40 @@ def plan(docs: DataFrame, block_words: int = 16, shard_words: int = 1_000_000, r
     return laid.withColumn("taken", F.col("full") * F.col("size") + F.col("part"))
 
 
+def numbered(df: DataFrame, keys: list[str], name: str, run: int = 1000) -> DataFrame:
+    """Add ``name``: 1, 2, ... among the rows of each key, in runs of at most ``run`` rows, so that no task gets a whole hot key.
+
+    Only one row for each run of a key is summed up by key.
+    """
+    rows = materialize_table(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_run", F.floor(F.col("_row") / run))
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("_row"))
+    runs = rows.groupBy(*keys, "_run").count()
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*keys, "_run", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.withColumn("_place", place).join(runs, [*keys, "_run"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_row", "_run", "_place", "_before")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, all columns kept: whole copies as often as taken, and the taken run of words of a document
-    that is taken in part (words joined by one space; ``n_chars``, where present, follows)."""
-    found = materialize_table(plan(docs, **options).where("taken > 0").select("mark", "source", "full", "part_from", "part", "size"))
+    that is taken in part (words joined by one space; ``n_chars``, where present, follows).
+
+    Rows of equal id, text and source share the takes that the plan gives them, one each. Null texts and
+    texts without a word are never taken; null ids and sources are like any other; an empty table gives no row.
+    """
     keys = ["_mark", "_source"]
-    takes = found.groupBy(F.col("mark").alias("_mark"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source")).agg(F.sort_array(F.collect_list(F.struct("full", "part_from", "part", "size"))).alias("_takes"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source")
+    takes = materialize_table(plan(docs, **options).select(F.col("mark").alias("_mark"), source, F.struct("full", "part_from", "part", "size").alias("_take"), (F.col("taken") > 0).alias("_taken")))
     # The document as one struct: no name of its columns can clash.
-    rows = docs.select(mark_of(options.get("seed", 8)).alias("_mark"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"), F.struct(*docs.columns).alias("_doc"))
-    rows = rows.join(takes, keys)
-    # Equal rows share one list of takes; each is given its own by its place among them.
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_doc.text")))
-    one = rows.where(F.size("_takes") == 1).select("_doc", F.element_at("_takes", 1).alias("_take"), *keys)
-    if not found.groupBy("mark", "source").count().where("count > 1").isEmpty():
-        many = rows.where(F.size("_takes") > 1).select("_doc", F.try_element_at("_takes", nth).alias("_take"), *keys)
-        one = one.unionByName(many)
-    once = one.where(F.col("_take").isNotNull())
+    rows = docs.select(mark_of(options.get("seed", 8)).alias("_mark"), source, F.struct(*docs.columns).alias("_doc"))
+    repeated, many = broadcast_if_small(takes.groupBy(*keys).count().where("count > 1").select(*keys))
+    taken = takes.where("_taken").drop("_taken")
+    if many:
+        alone = rows.join(taken.join(repeated, keys, "left_anti"), keys)
+        shared = numbered(rows.join(repeated, keys, "left_semi"), keys, "_nth").join(numbered(taken.join(repeated, keys, "left_semi"), keys, "_nth"), [*keys, "_nth"])
+        once = alone.select("_doc", "_take").unionByName(shared.select("_doc", "_take"))
+    else:
+        once = rows.join(taken, keys).select("_doc", "_take")
     none = F.array().cast("array<bigint>")
     # 1..full: whole copies; -1: the run of words taken in part.
     copies = F.concat(F.when(F.col("_take.full") > 0, F.sequence(F.lit(1).cast("long"), F.col("_take.full"))).otherwise(none), F.when(F.col("_take.part") > 0, F.array(F.lit(-1).cast("long"))).otherwise(none))

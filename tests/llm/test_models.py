@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+
 from mosaica.llm import langid, quality
 from mosaica.llm.common import table
 
@@ -58,7 +59,7 @@ def test_weights_are_sparse_and_those_of_dense_updates(spark):
     idf = np.log((1 + len(seen)) / (1 + df)) + 1
     np.testing.assert_allclose(model.idf, idf)
     limit = 80
-    keyed = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).alias("h"))
+    keyed = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(5)).alias("h"))
     keyed = keyed.select("doc_id", "h", (F.pmod(F.xxhash64("h", F.lit("calibrate")), F.lit(limit)) < 20).alias("cal"), *[F.xxhash64("h", F.lit(e), F.lit(5)).alias(f"p{e}") for e in range(4)])
     keys = {r["doc_id"]: r for r in keyed.collect()}
     taken = sorted((r for r in seen), key=lambda r: keys[r[0]]["h"])[:limit]
@@ -140,6 +141,66 @@ def test_machine_is_that_of_dense_updates():
         assert machine.m.score(t) == pytest.approx(1 / (1 + np.exp(-out)))
 
 
+def dense_fit(rows, dim, rank, epochs, seed, order, rate=0.1, l2=1e-5):
+    """The same fit with full-length vectors and all pairs' gradients, in the given order of each epoch."""
+    k = len(quality.STATISTICS)
+    full = np.zeros((len(rows), dim + k))
+    for i, (text, _) in enumerate(rows):
+        ids, x = quality.features(text, dim)
+        full[i, ids] = x
+    used = [set(quality.features(t, dim)[0].tolist()) for t, _ in rows]
+    mean, scale = full[:, dim:].mean(axis=0), np.maximum(full[:, dim:].std(axis=0), 1e-3)
+    full[:, dim:] = np.clip((full[:, dim:] - mean) / scale, -4, 4) / 4
+    y = np.array([q for _, q in rows])
+    w0, w, v = np.log(y.mean() / (1 - y.mean())), np.zeros(dim + k), np.random.default_rng(seed).normal(0, 0.02, (dim + k, rank))
+    gw, gv = np.full(w.shape, 1e-2), np.full(v.shape, 1e-2)
+    for turn in range(1, epochs + 1):
+        for i in order(turn):
+            x, has = full[i], np.array([j in used[i] for j in range(dim + k)])
+            pairs = x[:, None] * x[None, :] * (v @ v.T)
+            out = w0 + w @ x + (pairs.sum() - np.trace(pairs)) / 2
+            g = 1 / (1 + np.exp(-out)) - y[i]
+            w0 -= 0.01 * g
+            dw = np.where(has, g * x + l2 * w, 0)
+            others = np.array([x[j] * (x @ v - x[j] * v[j]) for j in range(dim + k)])
+            dv = np.where(has[:, None], g * others + l2 * v, 0)
+            gw, gv = gw + dw * dw, gv + dv * dv
+            w, v = w - rate * dw / np.sqrt(gw), v - rate * dv / np.sqrt(gv)
+    return w0, w, v
+
+
+def test_the_trained_machine_is_that_of_dense_updates(spark):
+    """quality.train itself, on a table, with texts longer than a piece and an id that has two texts."""
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{j}" for j in rng.integers(0, 900, rng.integers(1, 1500 if i % 9 == 0 else 20))) for i in range(40)}
+    docs = spark.createDataFrame([*texts.items(), (5, texts[5]), (5, texts[5])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)] + [(None, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels, dim=1024, rank=2, epochs=2, seed=9)
+    known = labels.where("doc_id is not null").where(~quality.held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit(9)))
+    ids = [(r.doc_id, r.quality) for r in known.orderBy("doc_id").collect()]
+    rank = {t: {r.doc_id: r.p for r in known.select("doc_id", F.xxhash64("h", F.lit(t), F.lit(9)).alias("p")).collect()} for t in (1, 2)}
+    order = lambda turn: sorted(range(len(ids)), key=lambda i: rank[turn][ids[i][0]])
+    w0, w, v = dense_fit([(texts[i], q) for i, q in ids], 1024, 2, 2, 9, order)
+    assert model.w0 == pytest.approx(w0)
+    np.testing.assert_allclose(model.w, w, atol=1e-9)
+    np.testing.assert_allclose(model.v, v, atol=1e-9)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """Thousands of labelled rows under one id, or none, don't break the bound; equal rows count once."""
+    seen = []
+    for module in (langid, quality):
+        joined = module.joined
+        monkeypatch.setattr(module, "materialize_table", lambda df, f=module.materialize_table: (seen.append(t := f(df)), t)[1])
+        assert joined
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id") % 2500).alias("text"), F.lit("en").alias("lang"))
+    langid.train(docs, sample=10, calibration=4, dim=64)
+    assert seen[-1].select("h").distinct().count() == 14
+    same = spark.range(3000).select(F.lit(8).cast("long").alias("doc_id"), F.concat(F.lit("t "), F.col("id")).alias("text"))
+    quality.train(same, spark.createDataFrame([(8, 1), (9, 0)], "doc_id long, quality int"), dim=64, rank=2, sample=5)
+    assert seen[-1].select("h").distinct().count() == seen[-1].count() == 1
+
+
 def test_structure_statistics():
     """The statistics of a text counted by hand."""
     text = "Ab cd 12 !\nAb cd 12 !\n\u00e9 x x"

@@ -334,6 +334,24 @@ def test_mix_equal_rows_and_shared_ids(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, plan), key=repr)
 
 
+def test_mix_of_very_many_equal_rows(spark):
+    docs = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"), F.col("id").alias("other"))
+    docs = docs.unionByName(spark.range(50_000).select((F.col("id") + 10).alias("doc_id"), F.lit("x y").alias("text"), F.lit("t").alias("source"), F.lit(-1).cast("long").alias("other")))
+    taken = mixing.plan(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("rows")).orderBy("source").collect()
+    out = mixing.mix(docs)
+    got = out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n"), F.count("*").alias("rows")).orderBy("source").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in taken]
+    # Each of the equal rows has takes of its own: none comes more often than the plan's largest.
+    assert out.where("source = 's'").groupBy("other").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_equal_rows_of_which_one_is_taken(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 2 + [(2, "q " * 5000, "t")], "doc_id long, text string, source string")
+    taken = mixing.plan(docs).groupBy("source").agg(F.sum("taken")).collect()
+    got = mixing.mix(docs).groupBy("source").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))))).collect()
+    assert sorted(map(tuple, got)) == sorted(t for t in map(tuple, taken) if t[1])
+
+
 def test_sainte_lague_is_highest_quotients(spark):
     rng = random.Random(5)
     for seats in (1, 7, 40, 333):
