@@ -1,4 +1,12 @@
-"""Local-ancestry segments: right-open runs [start, stop) of variant positions with both haplotypes' ancestries."""
+"""Local-ancestry segments: right-open runs [start, stop) of variant positions with both haplotypes' ancestries.
+
+Dense ancestry is run-length encoded in two levels. A map-side aggregate packs a
+person's ancestries of 64 consecutive variants into a few words of bits, so that
+what is shuffled is a row for each person and range, not genotypes; a panel that
+is stored by variants needs no more memory for that than people x open ranges.
+Changes inside a range are bit operations; a range's last variant is then
+compared with the next range's first, so runs that a range's end cut are stitched.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +15,72 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import running_sum
 
+#: Variants of a range: the bits of a word.
+RANGE = 64
+
+
 def person():
     """A person's segments in order."""
     return Window.partitionBy("indiv").orderBy("stop")
 
 
-def encode(geno: DataFrame) -> DataFrame:
-    """Dense ancestry to segments: a break after each variant where either haplotype changes, and at the end."""
-    w = Window.partitionBy("indiv").orderBy("snp")
-    ahead = [F.lead(c).over(w) for c in ("c0", "c1")]
-    last = ahead[0].isNull() | (ahead[0] != F.col("c0")) | (ahead[1] != F.col("c1"))
-    ends = geno.select("indiv", "snp", F.col("c0").alias("anc0"), F.col("c1").alias("anc1"), last.alias("_last"), F.first("snp").over(w).alias("_first")).where("_last")
-    ends = ends.select("indiv", (F.col("snp") + 1).alias("stop"), "anc0", "anc1", "_first")
-    return ends.select("indiv", F.lag("stop").over(person()).alias("_prev"), "_first", "stop", "anc0", "anc1").select("indiv", F.coalesce("_prev", "_first").alias("start"), "stop", "anc0", "anc1")
+def bit(place: Column) -> Column:
+    """A word with only that bit."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+
+
+def has(word: Column, place: Column) -> Column:
+    return F.call_function("shiftrightunsigned", word, place.cast("int")).bitwiseAND(F.lit(1).cast("long"))
+
+
+def packed_bits(rows: DataFrame, keys: list[str], planes: dict[str, Column], where: str = "snp") -> DataFrame:
+    """keys, range and a word for each boolean column: bit i is set if it holds at variant 64 * range + i. Summed map-side."""
+    at = F.col(where).cast("long")
+    word = lambda c: F.bit_or(F.when(c, bit(F.pmod(at, F.lit(RANGE)))).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy(*keys, F.floor(at / RANGE).alias("range")).agg(*[word(c).alias(name) for name, c in planes.items()])
+
+
+def encode(geno: DataFrame, n_anc: int | None = None) -> DataFrame:
+    """Dense ancestry to segments: a break after each variant where either haplotype changes, and at the end.
+
+    indiv, start, stop, anc0, anc1. A missing ancestry (null) is one of its own;
+    variants that are left out break nothing. Without ``n_anc`` the largest code is
+    looked up first.
+    """
+    if n_anc is None:
+        n_anc = 1 + (geno.agg(F.max(F.greatest("c0", "c1")).alias("m")).first()["m"] or 0)
+    n_bits = max(1, n_anc.bit_length())  # codes from 1 on, 0 is missing
+    code = {h: F.coalesce(F.col(f"c{h}").cast("int") + 1, F.lit(0)) for h in (0, 1)}
+    planes = {f"p{h}_{k}": code[h].bitwiseAND(F.lit(1 << k)) != 0 for h in (0, 1) for k in range(n_bits)}
+    words = packed_bits(geno, ["indiv"], {"present": F.lit(True)} | planes)
+    # Bits of variants that aren't there take the next one's: filled downwards in doubling steps.
+    down = lambda c, n: F.shiftrightunsigned(c, n)
+    for step in (1, 2, 4, 8, 16, 32):
+        below = F.col("upto") if step > 1 else F.col("present")
+        words = words.select(
+            "indiv", "range", "present", below.bitwiseOR(down(below, step)).alias("upto"),
+            *[F.col(p).bitwiseOR(down(F.col(p), step).bitwiseAND(F.bitwise_not(below))).alias(p) for p in planes],
+        )
+    value = lambda h, place: sum((has(F.col(f"p{h}_{k}"), place) * (1 << k) for k in range(1, n_bits)), has(F.col(f"p{h}_0"), place))
+    line = Window.partitionBy("indiv").orderBy("range")
+    first = F.struct(*[value(h, F.lit(0)).alias(f"v{h}") for h in (0, 1)])
+    words = words.withColumn("_first", first).withColumn("_next", F.lead("_first").over(line)).withColumn("_start", F.lag("range").over(line).isNull())
+    changes = None
+    for p in planes:
+        d = F.col(p).bitwiseXOR(down(F.col(p), 1))
+        changes = d if changes is None else changes.bitwiseOR(d)
+    inner = down(F.col("upto"), 1)  # the variants that have another behind them in their range
+    top = F.col("present").bitwiseAND(F.bitwise_not(inner))
+    places = F.sequence(F.lit(0), F.lit(RANGE - 1))
+    words = words.withColumn("_top", F.array_max(F.filter(places, lambda i: has(top, i) == 1)))
+    ends = F.col("_next").isNull() | (value(0, F.col("_top")) != F.col("_next.v0")) | (value(1, F.col("_top")) != F.col("_next.v1"))
+    stops = F.when(ends, top).otherwise(F.lit(0).cast("long")).bitwiseOR(changes.bitwiseAND(F.col("present")).bitwiseAND(inner))
+    origin = F.when(F.col("_start"), F.col("range") * RANGE + F.array_min(F.filter(places, lambda i: has(F.col("present"), i) == 1)))
+    words = words.withColumn("_origin", origin).withColumn("_stops", stops)
+    words = words.withColumn("_origin", F.first("_origin", ignorenulls=True).over(line)).where(F.col("_stops") != 0)
+    broken = words.withColumn("_i", F.explode(F.filter(places, lambda i: has(F.col("_stops"), i) == 1)))
+    broken = broken.select("indiv", "_origin", (F.col("range") * RANGE + F.col("_i") + 1).alias("stop"), *[F.nullif(value(h, F.col("_i")), F.lit(0)).alias(f"_v{h}") for h in (0, 1)])
+    return broken.select("indiv", F.coalesce(F.lag("stop").over(person()), "_origin").alias("start"), "stop", *[(F.col(f"_v{h}") - 1).cast("int").alias(f"anc{h}") for h in (0, 1)])
 
 
 def with_starts(breaks: DataFrame, first: int = 0) -> DataFrame:
@@ -56,11 +117,10 @@ def merge_runs(segments: DataFrame) -> DataFrame:
 
 
 def haplotype_segments(geno: DataFrame) -> DataFrame:
-    """(indiv, ploidy, stop, anc): each haplotype's own breaks."""
-    w = Window.partitionBy("indiv").orderBy("snp")
-    both = geno.select("indiv", "snp", "c0", "c1", *[(F.lead(c).over(w).isNull() | (F.lead(c).over(w) != F.col(c))).alias(f"_e{c[1]}") for c in ("c0", "c1")])
-    out = F.array(*[F.struct(F.lit(h).alias("ploidy"), (F.col("snp") + 1).alias("stop"), F.col(f"c{h}").alias("anc"), F.col(f"_e{h}").alias("_e")) for h in (0, 1)])
-    return both.where("_e0 OR _e1").select("indiv", F.inline(out)).where("_e").drop("_e")
+    """(indiv, ploidy, stop, anc): each haplotype's own breaks, among those of the person."""
+    both = encode(geno).select("indiv", "stop", "anc0", "anc1", *[(F.lead("stop").over(person()).isNull() | ~F.lead(f"anc{h}").over(person()).eqNullSafe(F.col(f"anc{h}"))).alias(f"_e{h}") for h in (0, 1)])
+    out = F.array(*[F.struct(F.lit(h).alias("ploidy"), "stop", F.col(f"anc{h}").alias("anc"), F.col(f"_e{h}").alias("_e")) for h in (0, 1)])
+    return both.select("indiv", F.inline(out)).where("_e").drop("_e")
 
 
 def pair_haplotypes(haps: DataFrame) -> DataFrame:
