@@ -21,6 +21,7 @@ from .._ship import ensure_on_workers
 from ..functions.ordering import dense_index
 from .alleles import dosage, of_ancestry
 from .frames import written
+from .packed import coded_products
 
 TILE = 512
 BLOCK = 1024
@@ -117,33 +118,50 @@ def standardised(geno: DataFrame, method: str = "std", groups: DataFrame | None
     keys = ["snp"]
     if groups is not None:
         g, keys = g.join(groups, "indiv"), ["snp", "group"]
-    m = g.groupBy(*keys).agg(F.avg("g").alias("_m"), F.count("*").alias("_all"), F.sum(F.col("g") * F.col("g")).alias("_q"), F.count("g").alias("_n"))
-    # Imputed values are means: they add nothing to the sum of squares but count in the deviation's denominator.
-    sd = F.sqrt((F.col("_q") - F.col("_n") * F.col("_m") * F.col("_m")) / F.col("_all"))
-    m = m.select(*keys, "_m", sd.alias("_sd"))
+    m = moments(g, keys)
     centred = F.coalesce(F.col("g") - F.col("_m"), F.lit(0.0))
     z = centred if method == "allele" else F.when(F.col("_sd") > 1e-12, centred / F.col("_sd")).otherwise(0.0)
     return g.join(m, keys).select("snp", "indiv", z.alias("z"))
 
 
+def moments(g: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _m, _sd: mean of the dosages g that are there, and deviation of the mean-imputed ones."""
+    m = g.groupBy(*keys).agg(F.avg("g").alias("_m"), F.count("*").alias("_all"), F.sum(F.col("g") * F.col("g")).alias("_q"), F.count("g").alias("_n"))
+    # Imputed values are means: they add nothing to the sum of squares but count in the deviation's denominator.
+    sd = F.sqrt((F.col("_q") - F.col("_n") * F.col("_m") * F.col("_m")) / F.col("_all"))
+    return m.select(*keys, "_m", sd.alias("_sd"))
+
+
+def _scales(geno: DataFrame, method: str, name: str) -> DataFrame:
+    """snp, z_shift, z_scale that make standardised dosages of counts, the variant under another name."""
+    m = moments(geno.select("snp", dosage().cast("double").alias("g")), ["snp"])
+    scale = F.lit(1.0) if method == "allele" else F.when(F.col("_sd") > 1e-12, 1 / F.col("_sd")).otherwise(0.0)
+    return m.select(F.col("snp").alias(name), F.coalesce("_m", F.lit(0.0)).alias("z_shift"), scale.alias("z_scale"))
+
+
 def grm(geno: DataFrame, method: str = "std", groups: DataFrame | None = None) -> DataFrame:
     """i, j (i >= j), value: sum of z_i z_j over variants, divided by the number of all variants."""
-    z = standardised(geno, method, groups).select(F.lit(0).cast("long").alias("block"), F.col("snp").alias("feature"), F.col("indiv").alias("entity"), "z")
     n = geno.agg(F.countDistinct("snp").alias("_n"))
+    if groups is None and method in ("std", "allele"):
+        counts = geno.select(F.lit(0).cast("long").alias("block"), F.col("snp").alias("feature"), F.col("indiv").alias("entity"), dosage().alias("z"))
+        return coded_products(counts, ["z"], by_feature=_scales(geno, method, "feature")).crossJoin(F.broadcast(n)).select("i", "j", (F.col("z_z") / F.col("_n")).alias("value"))
+    z = standardised(geno, method, groups).select(F.lit(0).cast("long").alias("block"), F.col("snp").alias("feature"), F.col("indiv").alias("entity"), "z")
     return cross_products(z, ["z"]).crossJoin(F.broadcast(n)).select("i", "j", (F.col("z_z") / F.col("_n")).alias("value"))
 
 
 def _by_ancestry(geno: DataFrame, n_anc: int, prior: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    a = geno.select("snp", "indiv", *[of_ancestry(k).cast("double").alias(f"a{k + 1}") for k in range(n_anc)])
+    """Products of all ancestries' counts, weighted by prior variance, and the total of that."""
+    names = [f"a{k + 1}" for k in range(n_anc)]
+    counts = geno.select(F.lit(0).cast("long").alias("block"), F.col("snp").alias("feature"), F.col("indiv").alias("entity"), *[of_ancestry(k).alias(f"a{k + 1}") for k in range(n_anc)])
     prior = geno.select("snp").distinct().withColumn("prior_var", F.lit(1.0)) if prior is None else prior.select("snp", "prior_var")
-    scaled = a.join(prior, "snp").select(F.lit(0).cast("long").alias("block"), F.col("snp").alias("feature"), F.col("indiv").alias("entity"), *[(F.col(f"a{k + 1}") * F.sqrt("prior_var")).alias(f"a{k + 1}") for k in range(n_anc)])
-    return scaled, prior.agg(F.sum("prior_var").alias("_w"))
+    scales = prior.select(F.col("snp").alias("feature"), *[c for n in names for c in (F.lit(0.0).alias(f"{n}_shift"), F.sqrt("prior_var").alias(f"{n}_scale"))])
+    return coded_products(counts, names, by_feature=scales), prior.agg(F.sum("prior_var").alias("_w"))
 
 
 def admix_grm_raw(geno: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """i, j, g1, g2, g12, g21: ancestry-specific products over two ancestries, divided by the total prior variance (i >= j; g21 is g12 of j and i)."""
     a, w = _by_ancestry(geno, 2, prior)
-    p = cross_products(a, ["a1", "a2"]).crossJoin(F.broadcast(w))
+    p = a.crossJoin(F.broadcast(w))
     return p.select("i", "j", *[(F.col(s) / F.col("_w")).alias(n) for s, n in (("a1_a1", "g1"), ("a2_a2", "g2"), ("a1_a2", "g12"), ("a2_a1", "g21"))])
 
 
@@ -152,7 +170,7 @@ def admix_grm(geno: DataFrame, n_anc: int, prior: DataFrame | None = None) -> Da
     a, w = _by_ancestry(geno, n_anc, prior)
     names = [f"a{k + 1}" for k in range(n_anc)]
     total = lambda pairs: sum((F.col(c) for c in pairs[1:]), F.col(pairs[0]))
-    p = cross_products(a, names).crossJoin(F.broadcast(w))
+    p = a.crossJoin(F.broadcast(w))
     k1 = total([f"{x}_{x}" for x in names])
     k2 = total([f"{x}_{y}" for x in names for y in names if x != y]) if n_anc > 1 else F.lit(0.0)
     return p.select("i", "j", (k1 / F.col("_w")).alias("k1"), (k2 / F.col("_w")).alias("k2"))
@@ -163,14 +181,23 @@ def merge_kernels(parts: DataFrame, columns: list[str], weight: str = "w") -> Da
     return parts.groupBy("i", "j").agg(*[F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(weight)).alias(c) for c in columns])
 
 
-def ancestry_ld(geno: DataFrame, snps: DataFrame, covariates: DataFrame | None = None) -> DataFrame:
+def ancestry_ld(geno: DataFrame, snps: DataFrame, covariates: DataFrame | None = None, within: int | None = None) -> DataFrame:
     """chrom, s, t (s >= t), ld11, ld22, ld12, ld21 over two ancestries inside chromosomes: products of the alleles of each
-    ancestry, residualised on the intercept (and on covariates: indiv, columns), divided by the number of people."""
-    a = geno.select("snp", "indiv", *[of_ancestry(k).cast("double").alias(f"a{k + 1}") for k in range(2)])
-    a = residualised(a, ["a1", "a2"], covariates)
-    v = a.join(snps.select("snp", "chrom"), "snp").select(F.col("chrom").cast("long").alias("block"), F.col("indiv").alias("feature"), F.col("snp").alias("entity"), "a1", "a2")
+    ancestry, residualised on the intercept (and on covariates: indiv, columns), divided by the number of people; with
+    ``within`` only of variants fewer places apart."""
+    names = ["a1", "a2"]
+    a = geno.select("snp", "indiv", *[of_ancestry(k).alias(f"a{k + 1}") for k in range(2)])
     n = geno.agg(F.countDistinct("indiv").alias("_n"))
-    p = cross_products(v, ["a1", "a2"]).crossJoin(F.broadcast(n))
+    chrom = F.broadcast(snps.select("snp", "chrom")) if snps.count() <= 50_000 else snps.select("snp", "chrom")
+    place = [F.col("chrom").cast("long").alias("block"), F.col("snp").alias("entity")]
+    if covariates is None:
+        means = a.groupBy("snp").agg(*[F.avg(c).alias(f"{c}_shift") for c in names]).join(chrom, "snp")
+        means = means.select(*place, *[c for x in names for c in (F.coalesce(f"{x}_shift", F.lit(0.0)).alias(f"{x}_shift"), F.lit(1.0).alias(f"{x}_scale"))])
+        p = coded_products(a.join(chrom, "snp").select(*place, F.col("indiv").alias("feature"), *names), names, by_entity=means, within=within)
+    else:
+        v = residualised(a.select("snp", "indiv", *[F.col(c).cast("double") for c in names]), names, covariates)
+        p = cross_products(v.join(chrom, "snp").select(*place, F.col("indiv").alias("feature"), *names), names, within=within)
+    p = p.crossJoin(F.broadcast(n))
     return p.select(F.col("block").cast("int").alias("chrom"), F.col("i").alias("s"), F.col("j").alias("t"), *[(F.col(x) / F.col("_n")).alias(y) for x, y in (("a1_a1", "ld11"), ("a2_a2", "ld22"), ("a1_a2", "ld12"), ("a2_a1", "ld21"))])
 
 
@@ -211,10 +238,12 @@ def tagging(ld: DataFrame) -> DataFrame:
 def correlations(geno: DataFrame, snps: DataFrame, within: int | None = None) -> DataFrame:
     """chrom, s, t (s > t), corr of mean-imputed dosages inside chromosomes, with ``within`` only of variants fewer places
     apart; pairs with a constant variant are left out."""
-    z = standardised(geno, "std").join(snps.select("snp", "chrom"), "snp")
-    v = z.select(F.col("chrom").cast("long").alias("block"), F.col("indiv").alias("feature"), F.col("snp").alias("entity"), "z")
+    chrom = F.broadcast(snps.select("snp", "chrom")) if snps.count() <= 50_000 else snps.select("snp", "chrom")
+    place = [F.col("chrom").cast("long").alias("block"), F.col("snp").alias("entity")]
+    counts = geno.select("snp", "indiv", dosage().alias("z")).join(chrom, "snp").select(*place, F.col("indiv").alias("feature"), "z")
+    scales = _scales(geno, "std", "snp").join(chrom, "snp").select(*place, "z_shift", "z_scale")
     n = geno.agg(F.countDistinct("indiv").alias("_n"))
-    p = cross_products(v, ["z"], within=within).crossJoin(F.broadcast(n)).select(F.col("block").cast("int").alias("chrom"), F.col("i").alias("s"), F.col("j").alias("t"), (F.col("z_z") / F.col("_n")).alias("corr"))
+    p = coded_products(counts, ["z"], by_entity=scales, within=within).crossJoin(F.broadcast(n)).select(F.col("block").cast("int").alias("chrom"), F.col("i").alias("s"), F.col("j").alias("t"), (F.col("z_z") / F.col("_n")).alias("corr"))
     useful = p.where("s = t AND corr > 0.5").select(F.col("s").alias("_v"))
     return p.where("s > t").join(useful, F.col("s") == F.col("_v"), "left_semi").join(useful, F.col("t") == F.col("_v"), "left_semi")
 
