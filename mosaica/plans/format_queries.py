@@ -149,7 +149,7 @@ def haplotype_breaks(spark, d):
     return segments.haplotype_segments(B.genotypes(spark, d))
 
 
-@query("residual_alleles", "WITH m AS (SELECT snp, avg(g1) AS m1, avg(g2) AS m2, regr_slope(g1, cov) AS b1, regr_slope(g2, cov) AS b2, avg(cov) AS mc FROM apa JOIN indivs USING (indiv) GROUP BY snp) SELECT snp, indiv, round(g1 - m1 - b1 * (cov - mc), 6) AS a1, round(g2 - m2 - b2 * (cov - mc), 6) AS a2 FROM apa JOIN indivs USING (indiv) JOIN m USING (snp)")
+@query("residual_alleles", "SELECT snp, indiv, round(g1 - avg(g1) OVER w - regr_slope(g1, cov) OVER w * (cov - avg(cov) OVER w), 6) AS a1, round(g2 - avg(g2) OVER w - regr_slope(g2, cov) OVER w * (cov - avg(cov) OVER w), 6) AS a2 FROM apa JOIN indivs USING (indiv) WINDOW w AS (PARTITION BY snp)")
 def residual_alleles(spark, d):
     from ..operators.alleles import of_ancestry
 
