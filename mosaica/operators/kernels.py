@@ -342,6 +342,13 @@ class Tiles:
         schema = "ti long, tj long, " + ", ".join(f"{c} array<double>" for c in columns)
         self.table = written(k.groupBy("ti", "tj").applyInPandas(dense, schema))
 
+    @classmethod
+    def of(cls, table: DataFrame, columns: list[str], tile: int, ids: np.ndarray) -> Tiles:
+        """Of a written table (ti, tj, columns; ti >= tj, tiles on the diagonal whole) over entities in this order."""
+        self = cls.__new__(cls)
+        self.table, self.columns, self.tile, self.ids = table, columns, tile, ids
+        return self
+
     def times(self, v: np.ndarray) -> dict[str, np.ndarray]:
         """Each kernel times v (entities x columns)."""
         tile, names, n, width = self.tile, self.columns, len(self.ids), v.shape[1]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ensure_on_workers
 from ..functions.special import chi2_sf
+from . import cholesky
 from .kernels import Tiles
 
 
@@ -169,15 +170,19 @@ def _people(kernels: DataFrame, people: DataFrame, columns: list[str], names: li
     return tiles, rows[columns].to_numpy(float).reshape(len(tiles.ids), len(columns))
 
 
-def correlation_curve(kernels: DataFrame, people: DataFrame, covariates: list[str], grid: list[float] | None = None, tile: int = 512, direct: int = DIRECT, probes: int = 10, steps: int = 60, seed: int = 5) -> DataFrame:
+def correlation_curve(kernels: DataFrame, people: DataFrame, covariates: list[str], grid: list[float] | None = None, tile: int = 512, direct: int = DIRECT, probes: int | None = None, steps: int = 60, seed: int = 5) -> DataFrame:
     """rg, loglkl, vg, ve: the restricted likelihood of K1 + rg K2 at each grid point. People missing from either side are left out.
 
-    Up to ``direct`` people, the matrices are shared (67 MB) and points are
-    factored in parallel. Beyond, no matrix leaves its tiles: Lanczos recurrences
-    of all points, from y and from ``probes`` random vectors, run side by side
-    on products of tiles with a thin matrix; quadratic forms of y are exact to
-    rounding after few steps, the log determinant is a mean over the probes,
-    which are the same at every point, so that curves are smooth.
+    Exact at every size. Up to ``direct`` people, the matrices are shared (67 MB)
+    and points are factored in parallel. Beyond, no matrix leaves its tiles: the
+    points' covariances are factored by blocked Cholesky rounds side by side, at
+    the genetic shares that a search for each point's maximum asks for.
+
+    With ``probes`` (beyond ``direct`` people) it is an estimate at far less work:
+    Lanczos recurrences of all points, from y and from so many random vectors, on
+    products of tiles with a thin matrix; quadratic forms of y are exact to
+    rounding after few steps, the log determinant is a mean over the probes, which
+    are the same at every point, so that curves are smooth.
     """
     spark = kernels.sparkSession
     grid = [i / 20 for i in range(21)] if grid is None else grid
@@ -199,6 +204,8 @@ def correlation_curve(kernels: DataFrame, people: DataFrame, covariates: list[st
     q = np.linalg.qr(c)[0][:, : np.linalg.matrix_rank(c)]
     off = lambda v: v - q @ (q.T @ v)
     free = n - q.shape[1]
+    if probes is None:
+        return spark.createDataFrame(_exact_curve(tiles, [float(g) for g in grid], y, q, free), schema)
     z = off(np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes)))
     first = np.column_stack((off(y), z))
     w = first.shape[1]
@@ -222,6 +229,22 @@ def correlation_curve(kernels: DataFrame, people: DataFrame, covariates: list[st
     return spark.createDataFrame(out, schema)
 
 
+def _exact_curve(tiles: Tiles, grid: list[float], y: np.ndarray, q: np.ndarray, free: int) -> list[tuple[float, float, float, float]]:
+    """(rg, restricted log-likelihood, genetic variance, environmental variance) at every grid point's best genetic share.
+    Shares below 0 are allowed as far as the matrix stays positive."""
+    known: dict[tuple[int, float], tuple[float, float]] = {}
+
+    def at(asked: list[tuple[int, float]]) -> list[float]:
+        forms = cholesky.quadratic_forms(tiles, [{"k1": t, "k2": t * grid[g], "e": 1 - t} for g, t in asked], y, q)
+        for key, (log, form) in zip(asked, forms, strict=True):
+            var = form / free
+            known[key] = (-0.5 * (free * np.log(2 * np.pi * var) + log + free), var) if np.isfinite(log) and var > 0 else (-np.inf, 0.0)
+        return [known[key][0] for key in asked]
+
+    best = cholesky.peaks(at, len(grid), -0.5, 0.999)
+    return [(rg, float(ll), float(var * t), float(var * (1 - t))) for g, (rg, t) in enumerate(zip(grid, best, strict=True)) for ll, var in (known[g, t],)]
+
+
 def he_covariance(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], tile: int = 512, columns: int = 256, probes: int | None = None, seed: int = 5) -> tuple[dict[str, float], np.ndarray]:
     """(variances of the kernels and e, their sampling covariance D^-1 V D^-1) of Haseman-Elston regression.
 
@@ -259,13 +282,15 @@ def he_covariance(kernels: DataFrame, names: list[str], people: DataFrame, covar
     return est, inv @ v @ inv
 
 
-def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], tile: int = 512, direct: int = DIRECT, probes: int = 40, rounds: int = 50, tolerance: float = 1e-6, seed: int = 5) -> dict:
+def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, covariates: list[str], tile: int = 512, direct: int = DIRECT, probes: int | None = None, rounds: int = 50, tolerance: float = 1e-6, seed: int = 5) -> dict:
     """Variances of several kernels and e by restricted maximum likelihood: {"var", "varcov", "rounds"}.
 
     Average-information steps. What is needed of V^-1 is its product with y, the
-    covariates and vectors that come of them, and traces of P K_a: up to
-    ``direct`` people from the inverse, beyond by conjugate gradients on products
-    of tiles, with traces as means over ``probes`` random vectors.
+    covariates and vectors that come of them, and traces of P K_a. Exact at every
+    size: up to ``direct`` people from one inverse, beyond from the inverse as
+    tiles, by blocked Cholesky rounds. With ``probes`` (beyond ``direct`` people)
+    an estimate at less work: conjugate gradients on products of tiles, traces
+    as means over so many random vectors.
     """
     tiles, x = _people(kernels, people, ["y", *covariates], names, tile)
     n = len(tiles.ids)
@@ -289,11 +314,33 @@ def reml_components(kernels: DataFrame, names: list[str], people: DataFrame, cov
     def each(v: np.ndarray) -> list[np.ndarray]:
         return [*tiles.times(v).values(), v]
 
+    if probes is None:
+        var, cov, done = _tiled_components(tiles, each, y, c, rounds, tolerance)
+        return {"var": dict(zip(full, var.tolist(), strict=True)), "varcov": cov, "rounds": done}
     z = np.random.default_rng(seed).choice([-1.0, 1.0], size=(n, probes))
     var, cov, done = stochastic_components(each, y, c, z, rounds, tolerance)
     return {"var": dict(zip(full, var.tolist(), strict=True)), "varcov": cov, "rounds": done}
 
 
+def _tiled_components(tiles: Tiles, each: Callable, y: np.ndarray, c: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Components from inverses as tiles; the last one is kept, as a step that is accepted is the next one's start."""
+    last: dict[bytes, Tiles | None] = {}
+
+    def at(var: np.ndarray) -> Tiles | None:
+        if var.tobytes() not in last:
+            last.clear()
+            got = cholesky.inverse(tiles, dict(zip([*tiles.columns, "e"], var.tolist(), strict=True)))
+            last[var.tobytes()] = got[1] if got else None
+        return last[var.tobytes()]
+
+    def whole(var: np.ndarray) -> np.ndarray:
+        got = cholesky.traces(at(var), tiles)
+        return np.array([got[k] for k in [*tiles.columns, "e"]])
+
+    nothing = np.zeros((len(y), 0))
+    return _average_information(each, lambda v, b: at(v).times(b)["v"], lambda v: bool(v[-1] > 0) and at(v) is not None, y, c, nothing, 1.0, rounds, tolerance, whole)
+
+
 def stochastic_components(each: Callable, y: np.ndarray, c: np.ndarray, z: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
     """Components from products with the kernels alone; conjugate gradients meet a negative curvature where the covariance isn't positive."""
 
@@ -340,9 +387,9 @@ def _dense_components(dense: list[np.ndarray], y: np.ndarray, c: np.ndarray, rou
     return _average_information(lambda v: [*(k @ v for k in dense), v], lambda v, b: np.linalg.solve(total(v), b), positive, y, c, one, 1.0, rounds, tolerance)
 
 
-def _average_information(each: Callable, solve: Callable, positive: Callable, y: np.ndarray, c: np.ndarray, z: np.ndarray, weight: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+def _average_information(each: Callable, solve: Callable, positive: Callable, y: np.ndarray, c: np.ndarray, z: np.ndarray, weight: float, rounds: int, tolerance: float, traces: Callable | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(variances, their covariance, rounds): ``each`` multiplies by every kernel, ``solve`` by the inverse covariance; traces
-    are ``weight`` times sums over the columns of z."""
+    are ``weight`` times sums over the columns of z, or come from ``traces`` (those of the inverse times every kernel)."""
     var = np.full(len(each(y[:, None])), y.var())
     var /= len(var)
     for done in range(1, rounds + 1):
@@ -353,7 +400,11 @@ def _average_information(each: Callable, solve: Callable, positive: Callable, y:
         py, pz = project(vy, y), project(vz, z)
         kpy = np.column_stack(each(py[:, None]))
         ai = kpy.T @ project(solve(var, kpy), kpy) / 2
-        score = ((kpy * py[:, None]).sum(axis=0) - weight * np.array([(pz * k).sum() for k in each(z)])) / 2
+        if traces is None:
+            trace = weight * np.array([(pz * k).sum() for k in each(z)])
+        else:
+            trace = traces(var) - np.array([np.trace(middle @ (vc.T @ k)) for k in each(vc)])
+        score = ((kpy * py[:, None]).sum(axis=0) - trace) / 2
         step = np.linalg.lstsq(ai, score, rcond=None)[0]
         # The covariance has to stay positive: a step that leaves is halved.
         scale = 1.0
