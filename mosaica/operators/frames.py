@@ -33,7 +33,17 @@ def written(df: DataFrame) -> DataFrame:
 
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for t in tables:
+        hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+        where = hadoop.Path(t.written_to)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def counted(df: DataFrame, most: int = 50_000) -> DataFrame:

@@ -14,13 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ensure_on_workers
 from ..functions.ordering import dense_index
 from .alleles import dosage, of_ancestry
-from .frames import written
+from .frames import discard, written
 from .packed import coded_products
 
 TILE = 512
@@ -248,67 +248,6 @@ def correlations(geno: DataFrame, snps: DataFrame, within: int | None = None) ->
     return p.where("s > t").join(useful, F.col("s") == F.col("_v"), "left_semi").join(useful, F.col("t") == F.col("_v"), "left_semi")
 
 
-def stretches(links: DataFrame) -> DataFrame:
-    """(chrom, a, b; a > b) -> with ``stretch``: links in different stretches of a chromosome share no variant, as no link
-    crosses the gap between them. What is decided along linked variants is decided stretch by stretch."""
-    line = Window.partitionBy("chrom").orderBy("b", "a")
-    reach = F.max("a").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.coalesce((F.col("b") > reach).cast("int"), F.lit(1))
-    return links.withColumn("_f", first).withColumn("stretch", F.sum("_f").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
-
-
-def prune(r2: DataFrame, snps: DataFrame, window: int = 100, least: float = 0.1, frequency: str | None = None) -> DataFrame:
-    """Variants that stay when, in order, each that is linked (r2 above ``least``, fewer than ``window`` places apart) to one
-    that stays is dropped. The order is that of variants, or with ``frequency`` (a column of snps) that of falling minor
-    frequency, so that of two linked variants the rarer goes. A task has a stretch of linked variants, not a chromosome."""
-    pairs = r2.where((F.col("r2") > least) & (F.abs(F.col("s") - F.col("t")) < window)).select("chrom", F.greatest("s", "t").alias("a"), F.least("s", "t").alias("b"))
-    minor = snps.select("snp", F.least(F.col(frequency), 1 - F.col(frequency)).cast("double").alias("f") if frequency else F.lit(0.0).alias("f"))
-    pairs = stretches(pairs).join(minor.select(F.col("snp").alias("a"), F.col("f").alias("fa")), "a").join(minor.select(F.col("snp").alias("b"), F.col("f").alias("fb")), "b")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = {v: (-f, v) for v, f in [*zip(pdf["a"], pdf["fa"], strict=True), *zip(pdf["b"], pdf["fb"], strict=True)]}
-        linked: dict[int, list[int]] = {v: [] for v in order}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            linked[a].append(b)
-            linked[b].append(a)
-        kept: set[int] = set()
-        for v in sorted(order, key=order.get):
-            if kept.isdisjoint(linked[v]):
-                kept.add(v)
-        return pd.DataFrame({"snp": sorted(set(order) - kept)}, dtype="int64")
-
-    dropped = pairs.groupBy("chrom", "stretch").applyInPandas(greedy, "snp long")
-    return snps.join(dropped, "snp", "left_anti")
-
-
-def clump_candidates(stats: DataFrame, r2: DataFrame, p1: float, p2: float, least: float, kb: int) -> DataFrame:
-    """index, snp, r2: variants of p <= p2 within ``kb`` and linked above ``least`` with an index variant of p <= p1."""
-    a = stats.where(F.col("p") <= p1).select("chrom", F.col("snp").alias("index"), F.col("pos").alias("_pos"), F.col("p").alias("index_p"))
-    b = stats.where(F.col("p") <= p2).select("chrom", "snp", "pos", "p")
-    both = r2.select("chrom", F.col("s").alias("index"), F.col("t").alias("snp"), "r2").unionByName(r2.select("chrom", F.col("t").alias("index"), F.col("s").alias("snp"), "r2")).where(F.col("r2") > least)
-    return both.join(a, ["chrom", "index"]).join(b, ["chrom", "snp"]).where(F.abs(F.col("pos") - F.col("_pos")) <= kb * 1000).select("chrom", "index", "index_p", "snp", "p", "r2")
-
-
-def clump(stats: DataFrame, candidates: DataFrame, p1: float) -> DataFrame:
-    """chrom, index, members: index variants in order of p take the candidates that no better index has taken."""
-    tops = stats.where(F.col("p") <= p1).select("chrom", F.col("snp").alias("index"), F.col("p").alias("index_p"), F.lit(None).cast("long").alias("snp"))
-    rows = tops.unionByName(candidates.select("chrom", "index", "index_p", "snp"))
-    spans = rows.select("chrom", "index", "index_p", "snp", F.greatest("index", F.coalesce("snp", "index")).alias("a"), F.least("index", F.coalesce("snp", "index")).alias("b"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        out = []
-        for (_, index), g in sorted(pdf.groupby(["index_p", "index"]), key=lambda x: x[0]):
-            if index in used:
-                continue
-            mine = sorted({int(x) for x in g["snp"].dropna()} - used - {index})
-            used |= {index, *mine}
-            out.append((int(pdf["chrom"].iloc[0]), int(index), mine))
-        return pd.DataFrame(out, columns=["chrom", "index", "members"])
-
-    return stretches(spans).select("chrom", "stretch", "index", "index_p", "snp").groupBy("chrom", "stretch").applyInPandas(greedy, "chrom int, index long, members array<long>")
-
-
 class Tiles:
     """A symmetric kernel (i, j, value; i >= j) as a written table of dense tiles, which multiplies thin matrices.
 
@@ -341,6 +280,7 @@ class Tiles:
 
         schema = "ti long, tj long, " + ", ".join(f"{c} array<double>" for c in columns)
         self.table = written(k.groupBy("ti", "tj").applyInPandas(dense, schema))
+        discard(kernel, index)
 
     @classmethod
     def of(cls, table: DataFrame, columns: list[str], tile: int, ids: np.ndarray) -> Tiles:

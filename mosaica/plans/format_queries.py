@@ -174,15 +174,6 @@ def admixture_bars(spark, d):
     return plotdata.admixture_bars(p, ["prop1", "prop2"]).select("indiv", "main", "place", "ancestry", r6("bottom"), r6("top"))
 
 
-@query("clump")
-def clump(spark, d):
-    from .kernel_queries import _association
-
-    r2 = kernels.correlations(B.genotypes(spark, d), B.variants(spark, d)).withColumn("r2", F.col("corr") * F.col("corr"))
-    s = _association(spark, d)
-    return kernels.clump(s, kernels.clump_candidates(s, r2, 0.05, 0.2, 0.1, 3000), 0.05)
-
-
 @query("he_moments_covariance")
 def he_moments_covariance(spark, d):
     """a, estimate, se of the variances of both kernels and the environment."""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import association as A
 from ..operators import kernels as K
+from ..operators import linkage as L
+from ..operators.frames import written
 from ..sources import bridge as B
 from .base import query, r6
 
@@ -92,10 +94,16 @@ def ld_r2_window(spark, d):
     return r2.where("s - t < 20 AND r2 > 0.1").select("chrom", "s", "t", r6("r2"))
 
 
-@query("ld_prune")
+@query(
+    "ld_prune",
+    f"""WITH RECURSIVE {_CORR}, nb AS MATERIALIZED (SELECT s AS snp, list(t) AS earlier FROM r WHERE s - t < 100 AND corr * corr > 0.1 GROUP BY s),
+       line AS MATERIALIZED (SELECT chrom, snp, coalesce(earlier, []) AS earlier, row_number() OVER (PARTITION BY chrom ORDER BY snp) AS k FROM snps LEFT JOIN nb USING (snp)),
+       walk AS (SELECT chrom, k, [snp] AS kept FROM line WHERE k = 1 UNION ALL SELECT o.chrom, o.k, CASE WHEN list_has_any(w.kept, o.earlier) THEN w.kept ELSE list_append(w.kept, o.snp) END FROM walk w JOIN line o ON o.chrom = w.chrom AND o.k = w.k + 1)
+       SELECT snp, chrom, pos FROM snps WHERE snp IN (SELECT unnest(kept) FROM (SELECT chrom, arg_max(kept, k) AS kept FROM walk GROUP BY chrom))""",
+)
 def ld_prune(spark, d):
     r2 = K.correlations(B.genotypes(spark, d), B.variants(spark, d), 100).withColumn("r2", F.col("corr") * F.col("corr"))
-    return K.prune(r2, B.variants(spark, d)).select("snp", "chrom", "pos")
+    return L.prune(r2, B.variants(spark, d)).select("snp", "chrom", "pos")
 
 
 def _association(spark, d):
@@ -107,10 +115,30 @@ rs AS (SELECT *, yy - (c * u * u - 2 * b * u * v + a * v * v) / CASE WHEN a * c
 st AS (SELECT snp, chrom, pos, pow(1 + ((yy - r) / r), -(n - 3) / 2.0) AS p FROM rs JOIN snps USING (snp) WHERE n > 3)"""
 
 
-@query("clump_pairs", f"WITH {_CORR}, {_P}, both_ AS (SELECT chrom, s AS i, t AS k, corr * corr AS r2 FROM r UNION ALL SELECT chrom, t, s, corr * corr FROM r) SELECT x.chrom, x.i AS index, x.k AS snp, round(r2, 6) AS r2 FROM both_ x JOIN st a ON a.snp = x.i JOIN st b ON b.snp = x.k WHERE r2 > 0.1 AND a.p <= 0.05 AND b.p <= 0.2 AND abs(a.pos - b.pos) <= 3000000")
+_LINKED = f"{_CORR}, {_P}, both_ AS (SELECT chrom, s AS i, t AS k, corr * corr AS r2 FROM r UNION ALL SELECT chrom, t, s, corr * corr FROM r), linked AS (SELECT x.chrom, x.i AS index, x.k AS snp, r2 FROM both_ x JOIN st a ON a.snp = x.i JOIN st b ON b.snp = x.k WHERE r2 > 0.1 AND a.p <= 0.05 AND b.p <= 0.2 AND abs(a.pos - b.pos) <= 3000000)"
+
+
+def _clump_candidates(spark, d):
+    s = written(_association(spark, d))
+    return s, L.clump_candidates(s, L.clump_links(B.genotypes(spark, d), s, 0.05, 0.2, 3000), 0.05, 0.2, 0.1, 3000)
+
+
+@query("clump_pairs", f"WITH {_LINKED} SELECT chrom, index, snp, round(r2, 6) AS r2 FROM linked")
 def clump_pairs(spark, d):
-    r2 = K.correlations(B.genotypes(spark, d), B.variants(spark, d)).withColumn("r2", F.col("corr") * F.col("corr"))
-    return K.clump_candidates(_association(spark, d), r2, 0.05, 0.2, 0.1, 3000).select("chrom", "index", "snp", r6("r2"))
+    return _clump_candidates(spark, d)[1].select("chrom", "index", "snp", r6("r2"))
+
+
+@query(
+    "clump",
+    f"""WITH RECURSIVE {_LINKED}, cand AS MATERIALIZED (SELECT index, list(snp ORDER BY snp) AS cand FROM linked GROUP BY index),
+       line AS MATERIALIZED (SELECT chrom, st.snp AS index, coalesce(cand, []) AS cand, row_number() OVER (PARTITION BY chrom ORDER BY p, st.snp) AS k FROM st LEFT JOIN cand ON cand.index = st.snp WHERE p <= 0.05),
+       walk AS (SELECT chrom, k, index, cand AS mine, list_append(cand, index) AS used, true AS stays FROM line WHERE k = 1
+           UNION ALL SELECT chrom, k, index, mine, CASE WHEN stays THEN list_append(list_concat(used, mine), index) ELSE used END, stays
+           FROM (SELECT o.chrom, o.k, o.index, [x FOR x IN o.cand IF NOT list_contains(w.used, x)] AS mine, w.used, NOT list_contains(w.used, o.index) AS stays FROM walk w JOIN line o ON o.chrom = w.chrom AND o.k = w.k + 1))
+       SELECT chrom, index, array_to_string(mine, ',') AS members FROM walk WHERE stays""",
+)
+def clump(spark, d):
+    return L.clump(*_clump_candidates(spark, d), 0.05).select("chrom", "index", F.array_join("members", ",").alias("members"))
 
 
 @query("pca")

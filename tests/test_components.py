@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaica.operators import kernels as K
-from mosaica.operators import simulate, variance
+from mosaica.operators import linkage, simulate, variance
 
 
 def lower(spark, **mats):
@@ -48,7 +48,7 @@ def test_prune(spark, frequency):
     for v in sorted(range(80), key=lambda v: (-min(f[v], 1 - f[v]) if frequency else 0, v)):
         if not any((max(v, w), min(v, w)) in near for w in kept):
             kept.append(v)
-    assert sorted(r["snp"] for r in K.prune(r2, snps, 10, 0.3, frequency).collect()) == sorted(kept)
+    assert sorted(r["snp"] for r in linkage.prune(r2, snps, 10, 0.3, frequency).collect()) == sorted(kept)
 
 
 def test_clump(spark):
@@ -56,8 +56,8 @@ def test_clump(spark):
     p = rng.uniform(0, 1, 60) ** 3
     stats = spark.createDataFrame([(i // 30, i, i * 1000, float(p[i])) for i in range(60)], "chrom int, snp long, pos long, p double")
     links = [(i // 30, i, j, float(rng.random())) for i in range(60) for j in range(i) if i // 30 == j // 30 and rng.random() < 0.3]
-    cand = K.clump_candidates(stats, spark.createDataFrame(links, "chrom int, s long, t long, r2 double"), 0.05, 0.4, 0.5, 8)
-    got = {r["index"]: r["members"] for r in K.clump(stats, cand, 0.05).collect()}
+    cand = linkage.clump_candidates(stats, spark.createDataFrame(links, "chrom int, s long, t long, r2 double"), 0.05, 0.4, 0.5, 8)
+    got = {r["index"]: r["members"] for r in linkage.clump(stats, cand, 0.05).collect()}
     linked = {frozenset(x[1:3]) for x in links if x[3] > 0.5 and abs(x[1] - x[2]) <= 8}
     used, want = set(), {}
     for i in sorted((i for i in range(60) if p[i] <= 0.05), key=lambda i: (p[i], i)):

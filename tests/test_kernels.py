@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaica.operators import kernels as K
-from mosaica.operators import scores, segments, variance
+from mosaica.operators import linkage, scores, segments, variance
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +67,7 @@ def test_ld_with_covariates(spark, panel):
 def test_prune_keeps_no_linked_pair(panel):
     _, _, geno, snps = panel
     r2 = K.correlations(geno, snps).withColumn("r2", F.col("corr") * F.col("corr"))
-    left = {r["snp"] for r in K.prune(r2, snps, least=0.2).collect()}
+    left = {r["snp"] for r in linkage.prune(r2, snps, least=0.2).collect()}
     bad = [1 for r in r2.where("r2 > 0.2").collect() if r["s"] in left and r["t"] in left]
     assert left and not bad
 
