@@ -26,6 +26,7 @@ from .._ship import ensure_on_workers
 from ..functions.special import chi2_sf, f_sf
 from .alleles import dosage, haplotypes_of, of_ancestry
 from .frames import cut
+from .logistic import one_pass, statistics
 
 METHODS = ("ATT", "SNP1", "TRACTOR", "JOINT", "ASE", "ADM", "HET")
 
@@ -203,11 +204,12 @@ def _logistic(rows: DataFrame, names: list[str], steps: int = 100) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def logistic(geno: DataFrame, indivs: DataFrame, pheno: str, n_anc: int, method: str = "ATT", covariates: list[str] | None = None) -> DataFrame:
+def logistic(geno: DataFrame, indivs: DataFrame, pheno: str, n_anc: int, method: str = "ATT", covariates: list[str] | None = None, most: int = 500_000) -> DataFrame:
     """As ``linear`` for a phenotype of 0 and 1: likelihood-ratio tests of maximum-likelihood fits.
 
-    Every step of the fits is one map-side combined sum per variant, so no row
-    or group grows with the number of people. Steps run when this is called.
+    Up to ``most`` people, whose phenotypes and covariates are shared with the tasks, the panel is read once and a block
+    of variants takes all its steps in a task. Beyond, every step of the fits is one map-side combined sum per variant,
+    so no row or group grows with the number of people; steps then run when this is called. Both stop alike.
     """
     covariates = covariates or []
     variables, tested = design(method, n_anc)
@@ -218,29 +220,20 @@ def logistic(geno: DataFrame, indivs: DataFrame, pheno: str, n_anc: int, method:
     need = dict(columns(n_anc))
     xs = [f"x{i}" for i in range(len(covariates) + 1)]
     vs = [*variables, "G"] if method == "HET" else variables
-    wide = geno.select("snp", "indiv", *[need[v].cast("double").alias(v) for v in dict.fromkeys(vs)])
-    wide = wide.where(F.col(vs[0]).isNotNull()) if method == "ADM" else wide.where(F.concat(*vs).isNotNull())
+    null_names = [*xs, "G"] if method == "HET" else [*xs, *[v for i, v in enumerate(variables) if i not in tested]]
     ensure_on_workers(geno.sparkSession)
     people = cut(people)
-    rows = wide.join(F.broadcast(people) if people.count() <= 50_000 else people, "indiv")
-    full = _logistic(rows, [*xs, *variables])
-    null = _logistic(rows, [*xs, "G"] if method == "HET" else [*xs, *[v for i, v in enumerate(variables) if i not in tested]])
-    both = full.join(null.select("snp", F.col("before").alias("null_ll"), F.col("state").alias("null_state")), "snp")
+    count = people.count()
+    if count <= most:
+        both = one_pass(geno, people, {v: need[v] for v in dict.fromkeys(vs)}, [*xs, *variables], null_names)
+    else:
+        wide = geno.select("snp", "indiv", *[need[v].cast("double").alias(v) for v in dict.fromkeys(vs)])
+        wide = wide.where(F.col(vs[0]).isNotNull()) if method == "ADM" else wide.where(F.concat(*vs).isNotNull())
+        rows = wide.join(F.broadcast(people) if count <= 50_000 else people, "indiv")
+        full, null = _logistic(rows, [*xs, *variables]), _logistic(rows, null_names)
+        both = full.join(null.select("snp", F.col("before").alias("null_ll"), F.col("state").alias("null_state")), "snp")
     cols = [f"{v}_{x}" for v in variables for x in ("BETA", "SE")]
-    schema = "snp long, " + ", ".join(f"{c} double" for c in cols) + ", N long, STAT double, P double"
-    q = n_anc - 1 if method == "HET" else len(tested)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            ok = ((pdf["state"] == 1) & (pdf["null_state"] == 1)).to_numpy()
-            est = np.stack([np.stack(pdf["beta"].to_list()), np.stack(pdf["se"].to_list())], 2)[:, len(xs) :].reshape(len(pdf), -1)
-            stat = np.where(ok, np.maximum(0.0, 2 * (pdf["before"] - pdf["null_ll"]).to_numpy()), 0.0)
-            out = pd.DataFrame(np.where(ok[:, None], est, np.nan), columns=cols)
-            yield out.assign(snp=pdf["snp"].to_numpy(), N=pdf["n"].to_numpy(), STAT=np.where(ok, stat, np.nan), P=np.where(ok, chi2_sf(stat, q), np.nan))[["snp", *cols, "N", "STAT", "P"]]
-
-    solved = both.mapInPandas(run, schema)
+    solved = statistics(both, cols, len(xs), n_anc - 1 if method == "HET" else len(tested), chi2_sf)
     return solved.select("snp", *[F.nanvl(c, F.lit(None)).alias(c) for c in cols], "N", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("STAT", "P")])
 
 

@@ -76,10 +76,10 @@ def test_missing_alleles_change_only_their_variants(spark, frames):
     assert {s for s in whole if whole[s] != holed[s]} == {3, 5}
 
 
-@pytest.mark.parametrize("method", ["ATT", "TRACTOR", "HET"])
-def test_logistic(frames, study, method):
+@pytest.mark.parametrize(("method", "most"), [("ATT", 500_000), ("TRACTOR", 500_000), ("HET", 500_000), ("TRACTOR", 0)])
+def test_logistic(frames, study, method, most):
     a, c, cov, _, b = study
-    got = {r["snp"]: r for r in A.logistic(*frames, "b", K, method, ["x"]).collect()}
+    got = {r["snp"]: r for r in A.logistic(*frames, "b", K, method, ["x"], most).collect()}
 
     def fit(x, y):
         w = np.zeros(x.shape[1])
@@ -125,7 +125,7 @@ def test_logistic_gathers_no_people(frames, study, monkeypatch):
         raise AssertionError("a variant's people in one row")
 
     monkeypatch.setattr(A.F, "collect_list", refuse)
-    got = {r["snp"]: r for r in A.logistic(geno, indivs, "b", K, "ATT", ["x"]).collect()}
+    got = {r["snp"]: r for r in A.logistic(geno, indivs, "b", K, "ATT", ["x"], most=0).collect()}
     assert len(got) == M and got[7]["P"] is None and got[7]["N"] == N
     for s in (0, 1, 3):
         v, _ = design(a, c, s, "ATT")
@@ -138,3 +138,30 @@ def test_logistic_gathers_no_people(frames, study, monkeypatch):
             w = w + np.linalg.solve(h, x.T @ (y - mu))
         assert got[s]["N"] == keep.sum()
         np.testing.assert_allclose([got[s]["G_BETA"], got[s]["G_SE"]], [w[2], np.sqrt(np.linalg.inv(h)[2, 2])], rtol=1e-3)
+
+
+@pytest.mark.parametrize("method", A.METHODS)
+def test_logistic_in_one_pass_equals_its_steps(spark, frames, study, method):
+    """Every number of both ways, with blocks of two variants, ids far apart, people without a phenotype and genotypes of strangers."""
+    geno, indivs = frames
+    far = lambda df: df.withColumn("indiv", A.F.col("indiv") * 37 + 5)
+    some = far(indivs).withColumn("b", A.F.when(A.F.col("indiv") != 42, A.F.col("b"))).where("indiv <> 79")
+    one = {r["snp"]: r for r in A.logistic(far(geno), some, "b", K, method, ["x"]).collect()}
+    steps = {r["snp"]: r for r in A.logistic(far(geno), some, "b", K, method, ["x"], most=0).collect()}
+    assert one.keys() == steps.keys() and len(one) == M
+    for s, r in one.items():
+        want = steps[s]
+        assert r["N"] == want["N"] and [v is None for v in r] == [v is None for v in want]
+        np.testing.assert_allclose([v for v in r if v is not None], [v for v in want if v is not None], rtol=1e-6, atol=1e-8)
+
+
+def test_logistic_in_small_blocks_without_rows(spark, frames):
+    geno, indivs = frames
+    people = A.prepared(indivs, "b", ["x"]).drop("y").join(indivs.select("indiv", A.F.col("b").cast("double").alias("y")), "indiv")
+    need = {"G": dict(A.columns(K))["G"]}
+    whole = sorted(map(tuple, A.one_pass(geno, people, need, ["x0", "x1", "G"], ["x0", "x1"]).drop("beta", "se").collect()))
+    small = sorted(map(tuple, A.one_pass(geno.repartition(5), people, need, ["x0", "x1", "G"], ["x0", "x1"], cells=130).drop("beta", "se").collect()))
+    assert len(whole) == M
+    np.testing.assert_allclose(np.array(small), np.array(whole), rtol=1e-9)
+    assert not A.one_pass(geno.where("false"), people, need, ["x0", "G"], ["x0"]).collect()
+    assert not A.one_pass(geno, people.where("false"), need, ["x0", "G"], ["x0"]).collect()
