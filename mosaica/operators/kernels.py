@@ -167,10 +167,14 @@ def admix_grm_raw(geno: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
 def admix_grm(geno: DataFrame, n_anc: int, prior: DataFrame | None = None) -> DataFrame:
     """i, j, k1, k2: products within ancestries and between different ones, divided by the total prior variance."""
-    a, w = _by_ancestry(geno, n_anc, prior)
+    return ancestry_kernel(*_by_ancestry(geno, n_anc, prior), n_anc)
+
+
+def ancestry_kernel(products: DataFrame, weight: DataFrame, n_anc: int) -> DataFrame:
+    """i, j, k1, k2 of products of all ancestries' counts (a1_a1, a1_a2, ...) and their total weight (one row, _w)."""
     names = [f"a{k + 1}" for k in range(n_anc)]
     total = lambda pairs: sum((F.col(c) for c in pairs[1:]), F.col(pairs[0]))
-    p = a.crossJoin(F.broadcast(w))
+    p = products.crossJoin(F.broadcast(weight))
     k1 = total([f"{x}_{x}" for x in names])
     k2 = total([f"{x}_{y}" for x in names for y in names if x != y]) if n_anc > 1 else F.lit(0.0)
     return p.select("i", "j", (k1 / F.col("_w")).alias("k1"), (k2 / F.col("_w")).alias("k2"))

@@ -53,7 +53,12 @@ class Product:
             self.n = 0
 
     def add(self, feature: np.ndarray, word: np.ndarray, bits: list[np.ndarray], params: list[np.ndarray] | None) -> None:
-        """Rows in order of feature; ``params`` are a row's shifts and scales by name, or None where entities have their own."""
+        """Rows in order of feature and word; ``params`` are a row's shifts and scales by name, or None where entities have their
+        own. Rows of one feature and word, of different entities, are one row."""
+        first = np.flatnonzero(np.concatenate(([True], (feature[1:] != feature[:-1]) | (word[1:] != word[:-1]))))
+        if len(first) < len(feature):
+            feature, word, bits = feature[first], word[first], [np.bitwise_or.reduceat(w, first) for w in bits]
+            params = None if params is None else [p[first] for p in params]
         fresh = np.concatenate(([feature[0] != self.feature], feature[1:] != feature[:-1]))
         order = self.n - 1 + np.cumsum(fresh)
         a = 0
@@ -78,7 +83,7 @@ class Product:
                 self.has[side, k : k + RANGE] |= np.unpackbits(there.view(np.uint8), bitorder="little").astype(bool)
             for p in range(len(x)):
                 shift, scale = (self.own[side, 0, p][at], self.own[side, 1, p][at]) if params is None else (params[2 * p][mine][:, None], params[2 * p + 1][mine][:, None])
-                x[p, n[mine][:, None], at] = numbers(bits[0][mine], bits[1 + 2 * p][mine], bits[2 + 2 * p][mine], shift, scale)
+                x[p, n[mine][:, None], at] += numbers(bits[0][mine], bits[1 + 2 * p][mine], bits[2 + 2 * p][mine], shift, scale)
 
     def rows(self, within: int | None) -> Iterator[tuple[np.ndarray, ...]]:
         self.fold()
@@ -93,6 +98,13 @@ class Product:
             yield i + ti * self.tile, j + tj * self.tile, *(self.sum[p, q][i, j] for p in range(len(self.x)) for q in range(len(self.x)))
 
 
+def packed_counts(counts: DataFrame, names: list[str]) -> DataFrame:
+    """(block, feature, entity, <names>: 0, 1, 2 or null) -> block, feature, word, present and two planes of bits for each name."""
+    code = {n: F.coalesce(F.col(n).cast("int"), F.lit(3)) for n in names}
+    planes = {f"{n}_{k}": code[n].bitwiseAND(F.lit(1 << k)) != 0 for n in names for k in (0, 1)}
+    return packed_bits(counts, ["block", "feature"], {"present": F.lit(True)} | planes, where="entity").withColumnRenamed("range", "word")
+
+
 def coded_products(counts: DataFrame, names: list[str], by_feature: DataFrame | None = None, by_entity: DataFrame | None = None, tile: int = TILE, within: int | None = None, tasks: int | None = None) -> DataFrame:
     """(block, feature, entity, <names>: 0, 1, 2 or null) -> block, i, j (i >= j), and <a>_<b> = sum over features of a_i * b_j,
     a = (count - shift) * scale, 0 for null and for rows that aren't there.
@@ -101,20 +113,26 @@ def coded_products(counts: DataFrame, names: list[str], by_feature: DataFrame |
     (block, entity, the same). Entities are compared inside their ``block`` only, and with ``within`` only those fewer places
     apart. A block of few cells is dealt over about ``tasks`` tasks by features.
     """
-    spark = counts.sparkSession
+    tile = RANGE * -(-(tile if within is None else min(tile, max(RANGE, within))) // RANGE)
+    tiles = counts.select("block", F.floor(F.col("entity") / tile).alias("tile"))
+    return word_products(packed_counts(counts, names), tiles, names, by_feature, by_entity, tile, within, tasks)
+
+
+def word_products(words: DataFrame, tiles: DataFrame, names: list[str], by_feature: DataFrame | None = None, by_entity: DataFrame | None = None, tile: int = TILE, within: int | None = None, tasks: int | None = None, least: int | None = None) -> DataFrame:
+    """The products of counts that are packed already (``packed_counts``), over the tiles (block, tile; repeats allowed) that
+    hold entities. With ``least`` only cells whose larger tile is at least that are made."""
+    spark = words.sparkSession
     ensure_on_workers(spark)
     tasks = tasks or min(64, max(8, spark.sparkContext.defaultParallelism))
-    tile = RANGE * -(-(tile if within is None else min(tile, max(RANGE, within))) // RANGE)
-    code = {n: F.coalesce(F.col(n).cast("int"), F.lit(3)) for n in names}
-    planes = {f"{n}_{k}": code[n].bitwiseAND(F.lit(1 << k)) != 0 for n in names for k in (0, 1)}
-    words = packed_bits(counts, ["block", "feature"], {"present": F.lit(True)} | planes, where="entity").withColumnRenamed("range", "word")
+    feature_type = words.schema["feature"].dataType
+    planes = [f"{n}_{k}" for n in names for k in (0, 1)]
     given = [f"{n}_{x}" for n in names for x in ("shift", "scale")]
     if by_feature is not None:
         words = words.join(by_feature.select("feature", *[F.col(c).cast("double").alias(c) for c in given]), "feature")
     else:
         words = words.select("*", *[F.lit(None).cast("double").alias(c) for c in given])
     words = words.select("block", "feature", "word", "present", *planes, *given, F.lit(None).cast("array<double>").alias("own"))
-    tiles = counts.select("block", F.floor(F.col("entity") / tile).alias("tile")).distinct().groupBy("block").agg(F.sort_array(F.collect_set("tile")).alias("_t"))
+    tiles = tiles.distinct().groupBy("block").agg(F.sort_array(F.collect_set("tile")).alias("_t"))
     size = F.size("_t")
     cells = size * (size + 1) / 2 if within is None else size * (2 if within > 1 else 1)
     tiles = tiles.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.lit(tasks) / cells)).cast("int"))
@@ -126,12 +144,14 @@ def coded_products(counts: DataFrame, names: list[str], by_feature: DataFrame |
         plain = F.array(*[F.lit(float(k % 2)) for k in range(len(given))])
         own = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(RANGE - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), plain)))
         zero = F.lit(0).cast("long")
-        words = words.unionByName(of.select("block", F.lit(None).cast(counts.schema["feature"].dataType).alias("feature"), "word", zero.alias("present"), *[zero.alias(p) for p in planes], *[F.lit(None).cast("double").alias(c) for c in given], own.alias("own")))
+        words = words.unionByName(of.select("block", F.lit(None).cast(feature_type).alias("feature"), "word", zero.alias("present"), *[zero.alias(p) for p in planes], *[F.lit(None).cast("double").alias(c) for c in given], own.alias("own")))
         part = F.when(F.col("own").isNotNull(), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(part)
     # A tile goes to the cells it is the larger or the smaller half of.
     mine = F.floor(F.col("word") / (tile // RANGE))
     reach = None if within is None else -(-(within - 1) // tile)
     near = F.col("_t") if within is None else F.filter("_t", lambda o: F.abs(o - F.col("_mine")) <= reach)
+    if least is not None:
+        near = F.filter(near, lambda o: F.greatest(o, F.col("_mine")) >= least)
     rows = words.withColumn("_mine", mine).join(tiles, "block").withColumn("_o", F.explode(near)).withColumn("part", F.explode(part))
     rows = rows.select("block", F.greatest("_mine", "_o").alias("ti"), F.least("_mine", "_o").alias("tj"), "part", F.col("feature").cast("long").alias("feature"), "word", "present", *planes, *given, "own")
     rows = rows.repartition("block", "ti", "tj", "part").sortWithinPartitions("block", "ti", "tj", "part", F.asc_nulls_first("feature"), "word")

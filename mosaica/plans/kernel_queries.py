@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import association as A
 from ..operators import kernels as K
 from ..operators import linkage as L
-from ..operators.frames import written
+from ..operators.frames import checkpoint_folder, written
 from ..sources import bridge as B
 from .base import query, r6
 
@@ -60,6 +62,18 @@ def admix_grm_merge(spark, d):
     return K.merge_kernels(parts, ["k1", "k2"]).select("i", "j", r6("k1"), r6("k2"))
 
 
+@query("kernel_growing", f"WITH {_PAIRS} SELECT i, j, round(g1 + g2, 6) AS k1, round(g12 + g21, 6) AS k2 FROM pairs")
+def kernel_growing(spark, d):
+    """The kernel of people who come in three batches, the second of them twice: equal to that of all at once."""
+    from ..streaming.incremental import grow, grown_kernel
+
+    out = f"{checkpoint_folder(spark)}/growing-{uuid.uuid4().hex}"
+    g, prior = B.genotypes(spark, d), _prior(spark, d)
+    for number, third in enumerate((2, 0, 0, 1)):
+        grow(g.where(F.pmod("indiv", F.lit(3)) == third), out, min(number, 1) if number < 3 else 2, 2, prior)
+    return grown_kernel(spark, out, 2, prior).select("i", "j", r6("k1"), r6("k2"))
+
+
 _LD = """c AS (SELECT chrom, snp, indiv, g1 - avg(g1) OVER (PARTITION BY snp) AS g1, g2 - avg(g2) OVER (PARTITION BY snp) AS g2 FROM apa JOIN snps USING (snp)),
 ld AS (SELECT a.chrom, a.snp AS s, b.snp AS t, avg(a.g1 * b.g1) AS ld11, avg(a.g2 * b.g2) AS ld22, avg(a.g1 * b.g2) AS ld12, avg(a.g2 * b.g1) AS ld21 FROM c a JOIN c b ON a.chrom = b.chrom AND a.indiv = b.indiv AND a.snp >= b.snp GROUP BY ALL)"""
 
