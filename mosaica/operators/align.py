@@ -48,13 +48,13 @@ def in_reference(snps: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def lift_over(snps: DataFrame, chain: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """snp, chrom, pos by chain blocks (chrom, start, stop, to_chrom, to_start, forward); -1 where a position maps nowhere or to several places."""
+    """snp, chrom, pos by chain blocks (chrom, start, stop, to_chrom, to_start, forward); -1 where a position maps nowhere, to several places or to no numbered chromosome (null)."""
     from .dataset import range_join
 
     hit = range_join(snps.select("snp", "chrom", "pos"), chain, "pos", "start", "stop", width, on=["chrom"])
     at = F.when(F.col("forward"), F.col("to_start") + F.col("pos") - F.col("start")).otherwise(F.col("to_start") + F.col("stop") - 1 - F.col("pos"))
     one = hit.groupBy("snp").agg(F.count("*").alias("_n"), F.first("to_chrom").alias("_c"), F.first(at).alias("_p")).where("_n = 1")
-    return snps.join(one, "snp", "left").select("snp", F.coalesce("_c", F.lit(-1)).alias("chrom"), F.coalesce("_p", F.lit(-1)).alias("pos"))
+    return snps.join(one.where("_c IS NOT NULL"), "snp", "left").select("snp", F.coalesce("_c", F.lit(-1)).alias("chrom"), F.coalesce("_p", F.lit(-1)).alias("pos"))
 
 
 def interpolate_genetic(snps: DataFrame, gmap: DataFrame) -> DataFrame:

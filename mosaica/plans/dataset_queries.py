@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import align as L
 from ..operators import dataset as D
 from ..operators import segments as S
@@ -201,12 +202,28 @@ def hm3_semi(spark, d):
 _CHAIN = "chain AS (SELECT chrom, min(pos) + k * 9000 AS start, min(pos) + k * 9000 + 9000 + 2000 * (k % 2) AS stop, chrom + 100 AS to_chrom, 5000000 + k * 20000 AS to_start, k % 3 <> 1 AS forward FROM snps, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY chrom, k)"
 
 
-@query("liftover_map", f"WITH {_CHAIN}, hit AS (SELECT s.snp, count(*) AS n, any_value(to_chrom) AS c, any_value(CASE WHEN forward THEN to_start + pos - start ELSE to_start + stop - 1 - pos END) AS p FROM snps s JOIN chain b ON s.chrom = b.chrom AND pos >= start AND pos < stop GROUP BY s.snp) SELECT snp, CASE WHEN n = 1 THEN c ELSE -1 END AS chrom, CASE WHEN n = 1 THEN p ELSE -1 END AS pos FROM snps LEFT JOIN hit USING (snp)")
-def liftover_map(spark, d):
-    v = B.variants(spark, d).select("snp", "chrom", "pos")
+_LIFTED = f"WITH {_CHAIN}, hit AS (SELECT s.snp, count(*) AS n, any_value(to_chrom) AS c, any_value(CASE WHEN forward THEN to_start + pos - start ELSE to_start + stop - 1 - pos END) AS p FROM snps s JOIN chain b ON s.chrom = b.chrom AND pos >= start AND pos < stop GROUP BY s.snp) SELECT snp, CASE WHEN n = 1 THEN c ELSE -1 END AS chrom, CASE WHEN n = 1 THEN p ELSE -1 END AS pos FROM snps LEFT JOIN hit USING (snp)"
+
+
+def _chain(spark, d):
+    v = B.variants(spark, d).select("chrom", "pos")
     c = v.groupBy("chrom").agg(F.min("pos").alias("_m")).select("chrom", "_m", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
-    chain = c.selectExpr("chrom", "_m + k * 9000 AS start", "_m + k * 9000 + 9000 + 2000 * (k % 2) AS stop", "chrom + 100 AS to_chrom", "CAST(5000000 + k * 20000 AS BIGINT) AS to_start", "k % 3 <> 1 AS forward")
-    return L.lift_over(v, chain, width=9000)
+    return c.selectExpr("chrom", "_m + k * 9000 AS start", "_m + k * 9000 + 9000 + 2000 * (k % 2) AS stop", "chrom + 100 AS to_chrom", "CAST(5000000 + k * 20000 AS BIGINT) AS to_start", "k % 3 <> 1 AS forward")
+
+
+@query("liftover_map", _LIFTED)
+def liftover_map(spark, d):
+    return L.lift_over(B.variants(spark, d).select("snp", "chrom", "pos"), _chain(spark, d), width=9000)
+
+
+@query("liftover_table_function", _LIFTED)
+def liftover_table_function(spark, d):
+    return tables.lift_over(spark, B.variants(spark, d), _chain(spark, d), width=9000)
+
+
+@query("decode_table_function", "SELECT unnest(range(start, stop)) AS snp, indiv, anc0 AS c0, anc1 AS c1 FROM segs")
+def decode_table_function(spark, d):
+    return tables.decode(spark, segments(spark, d))
 
 
 _MAP = "gmap AS (SELECT chrom, pos AS position, sum(size) OVER (PARTITION BY chrom ORDER BY pos) / 100.0 AS cm FROM snps WHERE size > 25)"
