@@ -57,6 +57,23 @@ def lift_over(snps: DataFrame, chain: DataFrame, width: int = 1_000_000) -> Data
     return snps.join(one.where("_c IS NOT NULL"), "snp", "left").select("snp", F.coalesce("_c", F.lit(-1)).alias("chrom"), F.coalesce("_p", F.lit(-1)).alias("pos"))
 
 
+def lifted(table: DataFrame, chain: DataFrame, keep_chrom: bool = False, width: int = 1_000_000) -> DataFrame:
+    """The rows of a table with chrom and pos at their new places; those that don't map to one place are left out. With
+    ``keep_chrom`` only the position changes."""
+    places = table.select("chrom", "pos").distinct()
+    moved = lift_over(places.select(F.struct("chrom", "pos").alias("snp"), "chrom", "pos"), chain, width).where("pos <> -1")
+    moved = moved.select(F.col("snp.chrom").alias("chrom"), F.col("snp.pos").alias("pos"), F.col("chrom").alias("_c"), F.col("pos").alias("_p"))
+    to = {"chrom": F.col("chrom" if keep_chrom else "_c"), "pos": F.col("_p")}
+    return table.join(moved, ["chrom", "pos"]).select(*[to.get(c, F.col(c)).alias(c) for c in table.columns])
+
+
+def sorted_variants(snps: DataFrame) -> DataFrame:
+    """Variants in the order of chrom, pos and then of their numbers: snp counts from 0 in that order, from_snp is the old number."""
+    from ..functions.ordering import dense_index
+
+    return dense_index(snps.withColumnRenamed("snp", "from_snp"), ["chrom", "pos", "from_snp"], "snp")
+
+
 def interpolate_genetic(snps: DataFrame, gmap: DataFrame) -> DataFrame:
     """Add ``cm``: piecewise linear on the map's knots (chrom, position, cm), by the edge segments outside of them.
 
