@@ -134,8 +134,10 @@ def vcf(spark: SparkSession, path: str, region: tuple[int, int, int] | None = No
 
 
 def significant(c: Column, digits: int = 6) -> Column:
-    """A number as %.<digits>g writes it, null as NA."""
-    return F.coalesce(F.regexp_replace(F.format_string(f"%.{digits}g", c), r"(\.\d*?)0+(e|$)", "$1$2"), F.lit("NA"))
+    """A number as %.<digits>g writes it (a decimal tie away from zero), null and NaN as NA."""
+    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}g", c), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    infinite = F.when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
+    return F.when(F.isnan(c) | c.isNull(), "NA").otherwise(F.coalesce(infinite, plain))
 
 
 def write_table(df: DataFrame, path: str, digits: int = 6) -> None:

@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaica import cli
 from mosaica.panel import Panel
@@ -104,6 +105,14 @@ def test_bed(spark, tmp_path):
         binary.read_bed(spark, str(tmp_path / "c.bed"), 7)
 
 
+@pytest.mark.parametrize("digits", [4, 6, 8])
+def test_significant_digits(spark, digits):
+    xs = [0.0, 3.0, -3.0, 2.5, 100.0, 7500.0, 120.5, 100000.0, 999999.6, 1e6, 1234567.0, 0.1, 0.0001, 0.00001234, 1e-5, 1.5e-10, 1e300, 1e-300, 12345.678, float("inf"), -float("inf")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*xs, None, float("nan")])], "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(text.significant(F.col("x"), digits)).collect()]
+    assert got == [f"%.{digits}g" % x for x in xs] + ["NA", "NA"]
+
+
 def test_lines_of_a_file_in_several_splits(spark, tmp_path):
     want = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(5000)]
     (tmp_path / "long.txt").write_text("\n".join(want) + "\n")
