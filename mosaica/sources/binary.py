@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ensure_on_workers
+from ..operators.frames import discard, written
 from .text import whitespace_table
 
 BED_MAGIC = b"\x6c\x1b\x01"
@@ -59,11 +60,37 @@ def read_kernel(spark: SparkSession, prefix: str, step: int = _STEP) -> tuple[Da
 
 
 def write_kernel(kernel: DataFrame, ids: list[tuple[str, str]], n_snp: int, prefix: str) -> None:
-    """One file by its format: entries come to the driver in order, partition by partition, never all at once."""
+    """<prefix>.grm.bin, .grm.N.bin and .grm.id. Every entry of the lower triangle has to be there once.
+
+    Tasks sort ranges of entries and encode them in blocks of bytes, whose table is
+    written; as the format is one file, the driver puts the blocks together, one
+    partition of them at a time.
+    """
+    ensure_on_workers(kernel.sparkSession)
+    place = (F.expr("i * (i + 1) DIV 2") + F.col("j")).alias("k")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            if len(k):
+                if (np.diff(k) != 1).any():
+                    raise ValueError("kernel entries are missing or repeat")
+                data = batch.column(1).to_numpy().astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(k[0])]), pa.array([len(k)]), pa.array([data], pa.binary())], ["k", "n", "data"])
+
+    rows = kernel.select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("value").cast("double")).select(place, "value")
+    blocks = written(rows.repartitionByRange("k").sortWithinPartitions("k").mapInArrow(encoded, "k long, n long, data binary"))
+    at = 0
     with open(f"{prefix}.grm.bin", "wb") as out, open(f"{prefix}.grm.N.bin", "wb") as counts:
-        for row in kernel.orderBy("i", "j").toLocalIterator():
-            out.write(np.float32(row["value"]).tobytes())
-            counts.write(np.float32(n_snp).tobytes())
+        for row in blocks.orderBy("k").toLocalIterator():
+            if row["k"] != at:
+                raise ValueError("kernel entries are missing or repeat")
+            at += row["n"]
+            out.write(row["data"])
+            counts.write(np.full(row["n"], n_snp, "<f4").tobytes())
+    discard(blocks)
+    if at != len(ids) * (len(ids) + 1) // 2:
+        raise ValueError(f"{at} entries for {len(ids)} people")
     with open(f"{prefix}.grm.id", "w") as out:
         out.writelines(f"{f}\t{i}\n" for f, i in ids)
 

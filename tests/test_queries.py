@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["af_per_anc", "append_snp_info", "lanc_impute", "lanc_encode", "align_snp", "merge_indiv", "assoc_tractor", "assoc_joint", "grm_std", "admix_ld", "partial_pgs_ref", "hdi", "he_design", "meta_random", "liftover_map", "genetic_interp", "rfmix_range_join", "manhattan_data", "ld_prune", "clump_pairs", "clump", "residual_alleles"]
+NAMES = ["af_per_anc", "append_snp_info", "lanc_impute", "lanc_encode", "align_snp", "merge_indiv", "assoc_tractor", "assoc_joint", "grm_std", "admix_ld", "partial_pgs_ref", "hdi", "he_design", "meta_random", "liftover_map", "genetic_interp", "rfmix_range_join", "manhattan_data", "ld_prune", "clump_pairs", "clump", "residual_alleles", "kernel_growing", "liftover_table_function", "decode_table_function", "breakpoints_read", "sample_blocks_read", "rfmix_assign", "bim_read", "digits_written", "lanc_written", "table_written", "columns_appended"]
 
 
 def plain(v):

@@ -88,6 +88,18 @@ def test_kernel_files(spark, tmp_path):
     # Ranges of three entries, read by several tasks, give the same.
     small, _ = binary.read_kernel(spark, str(tmp_path / "k"), 12)
     assert small.rdd.getNumPartitions() > 1 and sorted(map(tuple, small.collect())) == rows
+    # The file's bytes are the entries in order, also when batches and partitions cut them; a lost or repeated one is an error.
+    want = np.array([v for _, _, v in rows], "<f4").tobytes()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        given = lambda rows: binary.write_kernel(spark.createDataFrame(rows, "i long, j long, value double").repartition(5), [("f", str(i)) for i in range(n)], 5, str(tmp_path / "k"))
+        given(rows[::-1])
+        assert (tmp_path / "k.grm.bin").read_bytes() == want and (tmp_path / "k.grm.N.bin").read_bytes() == np.full(len(rows), 5, "<f4").tobytes()
+        for bad in (rows[:10] + rows[11:], rows + rows[3:4], rows[:-1], rows[1:]):
+            with pytest.raises(Exception, match="missing or repeat|entries for"):
+                given(bad)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_bed(spark, tmp_path):
