@@ -1,24 +1,28 @@
 """Licence scan: Dice coefficient of word bigrams against licence templates, in DataFrame functions only.
 
 A text's words are its lower-cased runs of letters and digits, so line breaks
-and comment marks make no difference. A template is laid where the text has one
-of its anchors - bigrams of long words, spread over the template, so many for a
-short one that no fitting place can lack them all - and the words it then covers
-are a unit A. It fits if 2 |A n T| / (|A| + |T|) over sets of bigrams reaches the
-threshold. That needs |A| of |T| t / (2 - t) at least (no unit is longer than
-its template), which prunes units that the text's ends cut short before their
-bigrams are made. Of fits that overlap, the best stays: a notice inside a file,
-wrapped over many lines, is one row, and so is a licence's text.
-
-The templates are a fixed table and are broadcast. Only fits, a few small rows,
-are shuffled. Long licences have their opening as a template.
+and comment marks make no difference. A template is laid at every place of a
+text, and the words it then covers are a unit A. It fits if
+2 |A n T| / (|A| + |T|) over sets of bigrams reaches the threshold. That needs
+|A n T| of |T| t / (2 - t) at least, so a fit may lack few of the template's
+bigrams: of its marks, the longest ones, a unit must hold so many that units
+with fewer are left out before their bigrams are made, and none of them fits.
+A notice fits at its place and, less well, some words before and after it. So a
+template stands where it fits and the text has one of its anchors - bigrams of
+long words, spread over the template - at the anchor's place; of its fits that
+overlap no better one of these (an altered notice may lack all anchors) it
+stands at the best ones. So each fit that overlaps no better one stands. Where templates that stand overlap, the best stays: a notice inside a
+file, wrapped over many lines, is one row, and so is a licence's text.
+
+The templates are a fixed table of literals. Only fits, a few small rows, are
+shuffled. Long licences have their opening as a template.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize_table
@@ -78,8 +82,8 @@ def words_of(text: str) -> list[str]:
 
 
 def anchors(words: list[str], threshold: float = THRESHOLD, most: int = 8) -> list[int]:
-    """Places of a template's anchors: the longest bigram of each of k equal stretches. A fit has t / (2 - t) of the
-    template's n bigrams at least, so with one anchor more than it may lack (up to ``most``) one is there."""
+    """Places of a template's anchors: the longest bigram of each of k equal stretches, ``most`` at most. Fits that lack
+    all of so few are found by ``marks``."""
     n = len(words) - 1
     k = max(1, min(most, int((2 - 2 * threshold) / (2 - threshold) * n + SLACK) + 1))
     cut = [n * i // k for i in range(k + 1)]
@@ -96,8 +100,60 @@ def template_rows(templates: list[tuple[str, str]] = TEMPLATES, threshold: float
     return out
 
 
-def _bigrams(words, n):
-    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+def marks(words: list[str], threshold: float = THRESHOLD) -> tuple[list[str], int]:
+    """The longest of a template's distinct bigrams, and how many of them every fit has at least: a fit lacks at most
+    (2 - 2t) / (2 - t) of all, and there are twice as many marks and one more, or all bigrams."""
+    bigrams = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}, key=lambda x: (-len(x), x))
+    lacks = int((2 - 2 * threshold) / (2 - threshold) * len(bigrams) + SLACK)
+    found = bigrams[: 2 * lacks + 1]
+    return found, len(found) - lacks
+
+
+def _known(templates: list[tuple[str, str]], threshold: float) -> tuple[str, list[str], int]:
+    """Templates of two words or more as an array in SQL, all their marks, and the words of the longest."""
+    words = {n: w for n, (_, text) in enumerate(templates) if len(w := words_of(text)) > 1}
+    texts = lambda x: f"array({', '.join(map(repr, x))})"
+    rows, wanted = [], set()
+    for n, w in words.items():
+        own, need = marks(w, threshold)
+        wanted.update(own)
+        name = templates[n][0].replace("\\", "\\\\").replace("'", "\\'")
+        bigrams = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+        places = ", ".join(f"named_struct('anchor', '{w[i]} {w[i + 1]}', 'place', {i})" for i in anchors(w, threshold))
+        rows.append(f"named_struct('template', {n}, 'license', '{name}', 'size', {len(w)}, 'need', {need}, 'marks', {texts(own)}, 'bigrams', {texts(bigrams)}, 'anchors', array({places}))")
+    return f"array({', '.join(rows)})", sorted(wanted), max(map(len, words.values()), default=1)
+
+
+def _overlap(fits: DataFrame, others: DataFrame, longest: int, *more: Column) -> DataFrame:
+    """``fits`` a that overlap none of ``others`` b (of those for which ``more`` holds); overlapping ones share a stretch of
+    as many words as the longest template has, or have neighbouring ones."""
+    stretch = lambda c: F.floor(c / longest)
+    a = fits.withColumn("stretch", stretch(F.col("start"))).alias("a")
+    b = others.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")) - 1, stretch(F.col("start") + F.col("n") - 1)))).alias("b")
+    on = (F.col("a.row") == F.col("b.row")) & (F.col("a.stretch") == F.col("b.stretch"))
+    on &= (F.col("a.start") < F.col("b.start") + F.col("b.n")) & (F.col("b.start") < F.col("a.start") + F.col("a.n"))
+    for c in more:
+        on &= c
+    return a.join(b, on, "left_anti").drop("stretch")
+
+
+def _order(t: str) -> Column:
+    return F.struct((-F.col(f"{t}dice")).alias("d"), (-F.col(f"{t}n")).alias("n"), F.col(f"{t}license").alias("l"), F.col(f"{t}template").alias("t"), F.col(f"{t}start").alias("s"))
+
+
+def _standing(fits: DataFrame, longest: int) -> DataFrame:
+    """The anchored fits and, of a template's others that overlap no better one of these, the best, then the best that
+    overlaps none of those, and so on: a round takes those without a better one and leaves what overlaps none of them."""
+    same, better = F.col("a.template") == F.col("b.template"), _order("b.") < _order("a.")
+    stand = fits.where("anchored")
+    # A unit that a text's ends cut on both sides has several places, anchored ones perhaps: it is one fit.
+    rest = materialize_table(_overlap(fits.where("NOT anchored"), stand, longest, same, _order("b.") <= _order("a.")))
+    while not rest.isEmpty():
+        # Fits in one cell all overlap, so only the cell's best can stand; all of them can be the better one.
+        tops = rest.groupBy("row", "template", "cell").agg(F.min_by(F.struct(*rest.columns), _order("")).alias("_f")).select("_f.*")
+        best = materialize_table(_overlap(tops, rest, longest, same, better))
+        stand, rest = stand.unionByName(best), materialize_table(_overlap(rest, best, longest, same))
+    return stand
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -109,31 +165,40 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[st
     ids are reported as null; further columns are not read; an empty table gives
     no row.
     """
-    rows = template_rows(templates, threshold)
-    known = docs.sparkSession.createDataFrame(rows, "template int, license string, anchor string, place int, size int, bigrams array<string>")
-    firsts, wanted = sorted({r[2].split()[0] for r in rows}), sorted({r[2] for r in rows})
+    known, wanted, longest = _known(templates, threshold)
+    firsts = sorted({x.split()[0] for x in wanted})
     low = threshold / (2 - threshold) * (1 - SLACK)
-    longest = max(r[4] for r in rows)
     text = F.regexp_replace(F.lower(F.col("text").cast("string")), "[^a-z0-9]+", " ")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.trim(text), " ").alias("words")).where("words is not null")
-    # Only where the first word is an anchor's is a pair put together at all.
-    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.when(a.isin(firsts), F.concat(a, F.lit(" "), b)))
-    hits = F.filter(F.transform(pairs, lambda x, i: F.when(x.isin(wanted), F.struct(x.alias("anchor"), i.alias("at")))), lambda h: h.isNotNull())
-    d = d.withColumn("row", F.monotonically_increasing_id())
+    pair = lambda a, b: F.concat(a, F.lit(" "), b)
+    # Only where the first word is a mark's is a pair put together at all.
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.when(a.isin(firsts), pair(a, b)))
+    hits = F.filter(F.transform(pairs, lambda x, i: F.when(x.isin(wanted), F.struct(x.alias("mark"), i.alias("at")))), lambda h: h.isNotNull())
+    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "words", hits.alias("hits"))
+    there = F.array_distinct("hits.mark")
+    laid = F.when(F.size("hits") > 0, F.filter(F.expr(known), lambda t: F.size(F.array_intersect(t["marks"], there)) >= t["need"]))
     # The outer form, as Spark would compute the array twice to leave out rows without an element.
-    found = d.select("row", "doc_id", "words", F.explode_outer(hits).alias("hit")).where("hit is not null")
-    found = found.select("row", "doc_id", "words", F.col("hit.anchor").alias("anchor"), F.col("hit.at").alias("at")).join(F.broadcast(known), "anchor")
-    first, last = F.greatest(F.lit(0), F.col("at") - F.col("place")), F.least(F.size("words"), F.col("at") - F.col("place") + F.col("size"))
-    found = found.withColumn("start", first).withColumn("n", last - first).where(F.col("n") - 1 >= F.size("bigrams") * low)
-    found = found.select("row", "doc_id", "start", "n", "template", "license", "bigrams", F.slice("words", F.col("start") + 1, F.col("n")).alias("unit"))
-    found = found.select("row", "doc_id", "start", "n", "template", "license", "bigrams", F.array_distinct(_bigrams(F.col("unit"), F.col("n") - 1)).alias("own"))
-    dice = 2.0 * F.size(F.array_intersect("own", "bigrams")) / (F.size("own") + F.size("bigrams"))
-    fits = materialize_table(found.select("row", "doc_id", "start", "n", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold).distinct())
-    # A fit that overlaps a better one goes; they share a stretch of as many words as the longest template has, or have neighbouring ones.
-    order = lambda t: F.struct((-F.col(f"{t}.dice")).alias("d"), (-F.col(f"{t}.n")).alias("n"), F.col(f"{t}.license").alias("l"), F.col(f"{t}.template").alias("t"), F.col(f"{t}.start").alias("s"))
-    stretch = lambda c: F.floor(c / longest)
-    a = fits.withColumn("stretch", stretch(F.col("start"))).alias("a")
-    b = fits.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")) - 1, stretch(F.col("start") + F.col("n") - 1)))).alias("b")
-    overlap = (F.col("a.start") < F.col("b.start") + F.col("b.n")) & (F.col("b.start") < F.col("a.start") + F.col("a.n"))
-    best = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.stretch") == F.col("b.stretch")) & overlap & (order("b") < order("a")), "left_anti")
+    found = d.select("row", "doc_id", "words", "hits", F.explode_outer(laid).alias("t")).where("t is not null")
+    ats = F.transform(F.filter("hits", lambda h: F.array_contains("t.marks", h["mark"])), lambda h: h["at"])
+    found = found.select("row", "doc_id", "words", "t", ats.alias("ats"))
+    # Places whose unit has marks enough, each under the first of them; the first word may lie before the text's.
+    first = lambda j: F.greatest(F.get("ats", j + F.col("t.need") - 1) + 2 - F.col("t.size"), F.get("ats", j - 1) + 1)
+    spans = F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("t.need")), lambda j: F.when(first(j) <= F.get("ats", j), F.sequence(first(j), F.get("ats", j))))
+    found = found.select("row", "doc_id", "words", "t", F.flatten(F.filter(spans, lambda x: x.isNotNull())).alias("places")).where(F.size("places") > 0)
+    a = F.greatest(F.lit(0), F.element_at("places", 1))
+    stretch = F.slice("words", a + 1, F.least(F.size("words"), F.element_at("places", -1) + F.col("t.size")) - a)
+    found = found.select("row", "doc_id", "t", "places", F.size("words").alias("all"), a.alias("a"), stretch.alias("stretch"))
+    own = F.zip_with(F.slice("stretch", F.lit(1), F.size("stretch") - 1), F.slice("stretch", F.lit(2), F.size("stretch")), pair)
+    found = found.select("row", "doc_id", "t", "places", "all", "a", own.alias("own"))
+    anchored = lambda s: F.exists("t.anchors", lambda x: F.get("own", s + x["place"] - F.col("a")).eqNullSafe(x["anchor"]))
+    unit = lambda s: F.struct(F.greatest(F.lit(0), s).alias("start"), (F.least("all", s + F.col("t.size")) - F.greatest(F.lit(0), s)).alias("n"), anchored(s).alias("anchored"))
+    units = F.filter(F.array_distinct(F.transform("places", unit)), lambda u: u["n"] - 1 >= F.size("t.bigrams") * F.lit(low))
+    cut = lambda u: F.slice("own", u["start"] - F.col("a") + 1, u["n"] - 1)
+    dice = lambda u: 2.0 * F.size(F.array_intersect(cut(u), F.col("t.bigrams"))) / (F.size(F.array_distinct(cut(u))) + F.size("t.bigrams"))
+    fits = F.filter(F.transform(units, lambda u: F.struct(u["start"].alias("start"), u["n"].alias("n"), u["anchored"].alias("anchored"), dice(u).alias("dice"))), lambda f: f["dice"] >= threshold)
+    cell = F.floor(F.col("f.start") / F.greatest(F.lit(1), F.ceil(F.size("t.bigrams") * F.lit(low)))).alias("cell")
+    found = found.select("row", "doc_id", "t", F.explode_outer(fits).alias("f")).where("f is not null")
+    fits = materialize_table(found.select("row", "doc_id", "f.start", "f.n", "f.anchored", "t.template", "t.license", "f.dice", cell))
+    stand = _standing(fits, longest)
+    best = _overlap(stand, stand, longest, _order("b.") < _order("a."))
     return best.select("doc_id", F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("words"), "license", "dice")

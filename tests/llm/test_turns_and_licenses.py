@@ -110,3 +110,33 @@ def test_anchors_leave_no_fit_of_short_templates_out():
         w = licenses.words_of(template)
         n, places = len(w) - 1, licenses.anchors(w)
         assert len(set(places)) == len(places) == min(8, int(n / 3 + 1e-9) + 1)
+
+
+def test_notices_without_any_anchor(spark):
+    """A word of each of the eight anchors altered: each fit of brute force without a better one is found."""
+    texts, names = [], []
+    for name, template in licenses.TEMPLATES:
+        w = licenses.words_of(template)
+        for i in licenses.anchors(w):
+            w[i if len(w[i]) > 2 else i + 1] += "x"
+        if len(w) > 90:
+            texts.append(" ".join(["before"] * 9 + w + ["after"] * 9))
+            names.append(name)
+    w = licenses.words_of(of("mit"))
+    texts.append(" ".join(w[90:] + w[:90]))  # no word at its place in the whole
+    got = found(spark, texts)
+    for i, t in enumerate(texts):
+        fits = brute_scan(t)
+        rows = {(f[4], f[5] - f[4], f[2], round(-f[0], 9)) for f in fits}
+        assert set(the_best(fits)) <= set(got[i]) <= rows and got[i]
+    assert {"mit", "isc", "zlib", "unlicense"} <= {got[i][0][2] for i in range(len(names)) if len(got[i]) == 1} and len(names) == 6
+
+
+def test_a_notice_without_anchors_beside_another(spark):
+    """The first notice laid a few words late overlaps the second and is better; two of one template are two rows."""
+    isc = licenses.words_of(of("isc"))
+    for i in licenses.anchors(isc):
+        isc[i] += "x"
+    less = isc[:20] + ["other"] + isc[21:]
+    got = found(spark, [of("mit") + "\n" + " ".join(isc), " ".join(isc) + "\n" + of("mit"), " ".join(isc + less)])
+    assert {i: [x[2] for x in v] for i, v in got.items()} == {0: ["mit", "isc"], 1: ["isc", "mit"], 2: ["isc", "isc"]}
