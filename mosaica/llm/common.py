@@ -127,8 +127,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize_table(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared checkpoint folder (columnar, so smaller than a checkpoint)."""
+def materialize_table(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared checkpoint folder (columnar, so smaller than a checkpoint).
+
+    ``rows``: a bound on its rows, where known. A small table is then written by few tasks, 50,000 rows each or 12 in all,
+    as each file costs its executor some processes on a local file system.
+    """
+    if rows is not None:
+        df = df.coalesce(max(12, -(-rows // 50_000)))
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     for made in _SCOPES[-1:]:

@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = spread_join(both.where(F.col("v") > F.col("u")), low, ["u"], ["v"], total=before[0])
-        large = materialize_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = materialize_table(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), before[0])
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = spread_join(large, low, ["u"], ["v"], total=before[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize_table(rest.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        e = materialize_table(rest.unionByName(low.withColumnRenamed("m", "v")).distinct(), 2 * before[0])
         now = state(e)
         if now == before:
             break

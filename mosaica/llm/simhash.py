@@ -134,12 +134,13 @@ def segments_for(prints: int, radius: int) -> int:
 def grouped(docs: DataFrame, radius: int = 4, segments: int | None = None, shingle: int = 4, seed: int = 42, cap: int = 4096) -> tuple[DataFrame, DataFrame]:
     """((doc_id, tag, fp) of every row, (fp, root) of every fingerprint): equal roots are one group."""
     prints = materialize_table(fingerprints(docs, shingle, seed))
-    fps = materialize_table(prints.select("fp").distinct())
-    segments = segments or segments_for(fps.count(), radius)
+    fps = materialize_table(prints.select("fp").distinct(), prints.count())
+    n = fps.count()
+    segments = segments or segments_for(n, radius)
     rows = buckets.split_hot(index_rows(fps, radius, segments), hot_keys(fps, radius, segments, cap), "fp")
     links = map_arrow(buckets.dealt(rows), lambda b: _links(b, radius), "u long, v long")
     roots = connected_components(links).withColumnRenamed("node", "fp")
-    return prints, materialize_table(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return prints, materialize_table(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), n)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -154,9 +155,10 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     prints, groups = grouped(docs, **options)
     # Documents and fingerprints of one group may be a third of all: both joins deal them over tasks.
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    members = materialize_table(least.join(groups, "fp"))
+    n = groups.count()
+    members = materialize_table(least.join(groups, "fp"), n)
     smallest = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = materialize_table(spread_join(members, smallest, ["root"], ["fp"]).select("fp", "component_id"))
+    of_fp = materialize_table(spread_join(members, smallest, ["root"], ["fp"]).select("fp", "component_id"), n)
     return spread_join(prints, of_fp, ["fp"], ["tag"]).select("doc_id", "fp", "component_id")
 
 

@@ -380,3 +380,19 @@ def test_all_null_or_empty(spark):
     assert substring_dedup.remove_repeats(docs).agg(F.sum("n_words")).first()[0] == 0
     assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1}
     assert mixing.plan(docs).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_rounds_of_components_write_few_files(spark):
+    """Each file costs processes on an executor; 211 tasks with a few rows each made 211 files a table."""
+    from mosaica.llm.components import connected_components
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        roots = connected_components(spark.range(2000).select(F.col("id").alias("u"), (F.col("id") - F.col("id") % 500).alias("v")))
+        assert len(set(roots.inputFiles())) <= 12
+        assert {(r["root"], r["n"]) for r in roots.groupBy("root").agg(F.count("*").alias("n")).collect()} == {(500 * i, 500) for i in range(4)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
