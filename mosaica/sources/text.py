@@ -7,9 +7,13 @@ and the line's place in it. Parquet is the store for panels.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
 from ..operators.frames import counted
 
@@ -134,10 +138,13 @@ def vcf(spark: SparkSession, path: str, region: tuple[int, int, int] | None = No
 
 
 def significant(c: Column, digits: int = 6) -> Column:
-    """A number as %.<digits>g writes it (a decimal tie away from zero), null and NaN as NA."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}g", c), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
-    infinite = F.when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf"))
-    return F.when(F.isnan(c) | c.isNull(), "NA").otherwise(F.coalesce(infinite, plain))
+    """A number as %.<digits>g writes it (rounded from its binary value, an exact tie to the even digit), null and NaN as NA."""
+
+    def written(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x in numbers:
+            yield pa.array([None if v is None or v != v else f"%.{digits}g" % v for v in x.to_pylist()], pa.string())
+
+    return F.coalesce(F.arrow_udf(written, "string", ArrowUDFType.SCALAR_ITER)(c.cast("double")), F.lit("NA"))
 
 
 def write_table(df: DataFrame, path: str, digits: int = 6) -> None:

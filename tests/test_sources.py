@@ -125,6 +125,14 @@ def test_significant_digits(spark, digits):
     assert got == [f"%.{digits}g" % x for x in xs] + ["NA", "NA"]
 
 
+@pytest.mark.parametrize("digits", [6, 8])
+def test_significant_digits_of_ties(spark, digits):
+    # Integers and eighths that lie midway between two numbers of so many digits.
+    xs = [k * 10.0**e + 5 * 10.0 ** (e - 1) for k in (10 ** (digits - 1), 10 ** (digits - 1) + 1, 10**digits - 1) for e in (1, 2, 4)] + [1000000.5, 1000001.5, 10000000.5, 10000001.5, 100000.125, 100000.375]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(xs)), "i int, x double").orderBy("i").select(text.significant(F.col("x"), digits)).collect()]
+    assert got == [f"%.{digits}g" % x for x in xs]
+
+
 def test_lines_of_a_file_in_several_splits(spark, tmp_path):
     want = [f"line {i} " + "x" * (i % 50) if i % 7 else "" for i in range(5000)]
     (tmp_path / "long.txt").write_text("\n".join(want) + "\n")
