@@ -232,3 +232,12 @@ def test_results_of_other_tools(spark, tmp_path):
     assert (got["loglik"], got["n"]) == (-12.5, 100)
     assert sorted(map(tuple, got["est"].collect())) == [("V(G)", 0.4, 0.1), ("V(e)", 0.6, 0.2)]
     assert {(r["a"], r["b"]): r["value"] for r in got["varcov"].collect()}[("V(e)", "V(G)")] == -0.005
+
+
+def test_break_lines_with_runs_of_one_variant(spark, tmp_path):
+    from mosaica.plans import file_queries
+
+    want = [(h, s, a) for h in range(4) for s, a in zip((1, 2, 3, 7, 8), ((h + i) % 2 for i in range(5)), strict=True)]
+    path = file_queries._lines(spark, file_queries._break_lines(spark.createDataFrame(want, "hap long, stop long, anc int")), "bp", "AFR EUR")
+    got = [(2 * r["indiv"] + r["ploidy"], r["stop"], r["anc"]) for r in lanc.breakpoints(spark, path).collect()]
+    assert sorted(got) == want
