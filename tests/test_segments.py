@@ -90,3 +90,37 @@ def test_random_panel(spark):
     for r in S.counts(seg, 3).collect():
         assert [r[f"count{a + 1}"] for a in range(3)] == [(c[r["indiv"]] == a).sum() for a in range(3)]
     assert S.check(seg).first().asDict() == {"n_indiv": 6, "n_last": 1, "n_gap": 0}
+
+
+def test_runs_over_many_batches(spark):
+    rng = np.random.default_rng(4)
+    m, n = 300, 5
+    c = np.where(rng.random((n, 2, m)) < 0.1, 1, 0).cumsum(axis=2) % 3
+    codes = {(i, s): tuple(None if rng.random() < 0.02 else int(c[i, h, s]) for h in (0, 1)) for i in range(n) for s in range(m) if rng.random() < 0.8 and not (i == 1 and 64 <= s < 200)}
+    geno = spark.createDataFrame([(s, i, *v) for (i, s), v in codes.items()], "snp long, indiv long, c0 int, c1 int")
+    want, haps = [], []
+    for i in range(n):
+        at = [s for s in range(m) if (i, s) in codes]
+        last = at[0]
+        for s, nxt in zip(at, [*at[1:], None], strict=True):
+            if nxt is None or codes[i, s] != codes[i, nxt]:
+                want.append((i, last, s + 1, *codes[i, s]))
+                last = s + 1
+            haps += [(i, h, s + 1, codes[i, s][h]) for h in (0, 1) if nxt is None or codes[i, s][h] != codes[i, nxt][h]]
+    full = [(i, h, s, a) for i, h, s, a in haps if a is not None]
+    paired = []
+    for i in range(n):
+        stops = sorted({s for j, _, s, _ in haps if j == i})
+        side = [next((a for j, h, t, a in sorted(full, key=lambda x: x[2]) if (j, h) == (i, k) and t >= s), None) for s in stops for k in (0, 1)]
+        paired += [(i, b, s, *side[2 * k : 2 * k + 2]) for k, (b, s) in enumerate(zip([0, *stops[:-1]], stops, strict=True))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        segments, breaks = S.encode(geno), S.haplotype_segments(geno)
+        assert sorted(map(str, segments.collect())) == sorted(map(str, spark.createDataFrame(want, SEG).collect()))
+        assert sorted(map(str, breaks.collect())) == sorted(map(str, spark.createDataFrame(haps, "indiv long, ploidy int, stop long, anc int").collect()))
+        pairs = S.pair_haplotypes(breaks)
+        assert sorted(map(str, pairs.collect())) == sorted(map(str, spark.createDataFrame(paired, SEG).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Breaks are found along a person's words, not by windows over breaks.
+    assert "Window" not in pairs._jdf.queryExecution().toString()
