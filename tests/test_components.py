@@ -171,3 +171,10 @@ def test_spline_of_many_knots():
     np.testing.assert_allclose(variance.not_a_knot(x, np.sin(9 * x), at), np.sin(9 * at), atol=1e-6)
     x = np.array([0.0, 0.3, 0.5, 1.1])
     np.testing.assert_allclose(variance.not_a_knot(x, x**3, np.array([0.2, 0.9])), [0.008, 0.729])
+
+
+def test_kernels_are_made_once_for_moments(spark):
+    kernels = spark.createDataFrame([(i, j, 1.0 if i == j else 0.25, 0.5 / (1 + i + j)) for i in range(6) for j in range(i + 1)], "i long, j long, k1 double, k2 double")
+    people = spark.createDataFrame([(i, float(i * i % 7), 1.0) for i in range(6)], "indiv long, y double, one double")
+    for got in variance.he_moments(kernels, ["k1", "k2"], people, ["one"]):
+        assert got.inputFiles()
