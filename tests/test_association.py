@@ -165,3 +165,22 @@ def test_logistic_in_small_blocks_without_rows(spark, frames):
     np.testing.assert_allclose(np.array(small), np.array(whole), rtol=1e-9)
     assert not A.one_pass(geno.where("false"), people, need, ["x0", "G"], ["x0"]).collect()
     assert not A.one_pass(geno, people.where("false"), need, ["x0", "G"], ["x0"]).collect()
+
+
+def test_people_and_means_go_to_the_panel(spark):
+    from mosaica.operators.alleles import impute_mean
+
+    geno = spark.createDataFrame([(s, i, None if s == i else (s + i) % 2, i % 2, 0, 1) for s in range(4) for i in range(6)], "snp long, indiv long, a0 int, a1 int, c0 int, c1 int")
+    people = spark.createDataFrame([(i, float(i % 4)) for i in range(6)], "indiv long, pheno double")
+    g = geno.selectExpr("snp", "indiv", "CAST(a0 + a1 AS DOUBLE) AS g")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sums = A.sufficient(geno, A.prepared(people, "pheno", []), 2, 0)[0]
+        filled = impute_mean(g)
+        for df in (sums, filled):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        few = A.sufficient(geno, A.prepared(people, "pheno", []), 2, 0, most=1)[0]
+        assert sorted(map(str, few.collect())) == sorted(map(str, sums.collect()))
+        assert sorted(map(str, impute_mean(g, most=1).collect())) == sorted(map(str, filled.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
